@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import packing, sharding
 from .common import read_table
 
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,8 +24,13 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_rendezvous": op7_rendezvous,
+    "op9_best_fit": op9_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
