@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding
+from . import packing, sharding, warc
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
@@ -29,10 +33,12 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_warc": op4_warc,
     "op7_rendezvous": op7_rendezvous,
     "op9_best_fit": op9_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.ARCHIVE_SQL,
     "op7_rendezvous": sharding.SHARDS_SQL,
 }
