@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, warc
+from . import packing, quality, sharding, warc
 from .common import read_table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str) -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
@@ -33,12 +37,14 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op4_warc": op4_warc,
     "op7_rendezvous": op7_rendezvous,
     "op9_best_fit": op9_best_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality": quality.QUALITY_SQL,
     "op4_warc": warc.ARCHIVE_SQL,
     "op7_rendezvous": sharding.SHARDS_SQL,
 }
