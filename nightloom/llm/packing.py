@@ -143,7 +143,7 @@ def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, tokens.cut_before_words).encode
-        for batch in batches:
+        for batch in (part for whole in batches for part in tokens.slices(whole)):
             ids, count = tokens.append_end(*encode(batch.column("text").to_pylist()), end_id)
             pieces = -(-count // capacity)
             row = np.repeat(np.arange(len(count)), pieces)
