@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, toxicity, warc
+from . import packing, quality, sharding, substring, toxicity, warc
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op6_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.document_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
+    "op6_seed_extend": op6_seed_extend,
     "op7_rendezvous": op7_rendezvous,
     "op9_best_fit": op9_best_fit,
 }
@@ -51,5 +56,6 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality": quality.QUALITY_SQL,
     "op4_warc": warc.ARCHIVE_SQL,
+    "op6_seed_extend": substring.SUBSTRING_SQL,
     "op7_rendezvous": sharding.SHARDS_SQL,
 }
