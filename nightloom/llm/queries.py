@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, substring, toxicity, warc
+from . import ngram_join, packing, quality, sharding, substring, toxicity, warc
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Query] = {
     "op6_seed_extend": op6_seed_extend,
     "op7_rendezvous": op7_rendezvous,
     "op9_best_fit": op9_best_fit,
+    "op10_partenum": op10_partenum,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,4 +63,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc.ARCHIVE_SQL,
     "op6_seed_extend": substring.SUBSTRING_SQL,
     "op7_rendezvous": sharding.SHARDS_SQL,
+    "op10_partenum": ngram_join.JACCARD_SQL,
 }
