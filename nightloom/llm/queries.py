@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, quality, sharding, substring, toxicity, warc
+from . import mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op5_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_slots(read_table(spark, sf_dir, "documents"))
+
+
 def op6_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.document_digests(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
+    "op5_pfair": op5_pfair,
     "op6_seed_extend": op6_seed_extend,
     "op7_rendezvous": op7_rendezvous,
     "op9_best_fit": op9_best_fit,

@@ -32,7 +32,7 @@ SPAN = 0.5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
-SCORE_SCHEMA = "doc_id bigint, score double, spans array<struct<begin:int,end:int>>"
+SCORES = "score double, spans array<struct<begin:int,end:int>>"
 
 
 def features(word: str) -> list[str]:
@@ -254,10 +254,12 @@ def _calibrate(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[floa
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """SCORE_SCHEMA for every document: its score and the offsets (code points) of its toxic words.
+    """documents with score and spans, the offsets (code points) of the toxic words; columns of these names are replaced.
 
     A null or empty text has no spans and the score of a text without toxic words.
     """
+    documents = documents.drop("score", "spans")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), SCORES])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,15 +291,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 spans[k] = [{"begin": m.start(), "end": m.end()} for m, hit in zip(_WORD.finditer(texts[k]), toxic, strict=True) if hit]
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(model.document_scores(best, total)), pa.array(spans, kind)], names=["doc_id", "score", "spans"]
+                [*batch.columns, pa.array(model.document_scores(best, total)), pa.array(spans, kind)], names=[*batch.schema.names, "score", "spans"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCORE_SCHEMA)
+    return documents.mapInArrow(run, schema)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_spans of every document, by a model trained on the labels outside of the held-out fold."""
-    out = score(documents, train(training_sample(documents, labels)))
+    out = score(documents.select("doc_id", "text"), train(training_sample(documents, labels)))
     return out.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
