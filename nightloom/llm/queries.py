@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
+from . import idcodec, mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
 from .common import read_table
 
 
@@ -44,6 +44,10 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op8_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcodec.encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_pfair": op5_pfair,
     "op6_seed_extend": op6_seed_extend,
     "op7_rendezvous": op7_rendezvous,
+    "op8_range_coder": op8_range_coder,
     "op9_best_fit": op9_best_fit,
     "op10_partenum": op10_partenum,
 }
