@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcodec, mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
+from . import idcodec, images, mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.embedding_images(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read_table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_descriptors": op3_descriptors,
     "op4_warc": op4_warc,
     "op5_pfair": op5_pfair,
     "op6_seed_extend": op6_seed_extend,
