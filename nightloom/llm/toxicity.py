@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,33 +71,35 @@ def _g2(t: np.ndarray, n: np.ndarray, nt: int, nn: int) -> np.ndarray:
     return 2 * (part(t, both * nt / total) + part(n, both * nn / total) + part(nt - t, (total - both) * nt / total) + part(nn - n, (total - both) * nn / total))
 
 
-def _marking_features(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """The features that mark the tokens of toxic documents."""
-    nt, nn = len(toxic), len(clean)
-    seen_t, seen_n = Counter(f for d in toxic for f in d), Counter(f for d in clean for f in d)
-    names = sorted(f for f, n in seen_t.items() if n >= 2)
-    if not names or not nn:
-        return set()
-    t, n = np.array([seen_t[f] for f in names], float), np.array([seen_n[f] for f in names], float)
+def _marking_features(docs: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
+    """Which features mark the tokens of toxic documents. docs: the features of each document, once each."""
+    nt, nn = int(toxic.sum()), int((~toxic).sum())
+    counts = [np.zeros(n_features), np.zeros(n_features)]
+    for d, k in zip(docs, toxic, strict=True):
+        counts[int(k)][d] += 1
+    n, t = counts
     odds = np.log((t + 0.5) / (nt + 1)) - np.log((n + 0.5) / (nn + 1))
-    g2 = np.where(odds >= LOG_ODDS, _g2(t, n, nt, nn), 0)
-    marks = {names[i] for i in np.flatnonzero(g2 >= max(G2_LEAST, G2_SHARE * g2.max()))}
+    telling = (odds >= LOG_ODDS) & (t >= 2)
+    g2 = np.where(telling, _g2(t, n, nt, nn), 0)
+    marks = g2 >= max(G2_LEAST, G2_SHARE * g2.max(initial=0))
     # Cover: what the marks don't explain is explained by further features, the most telling first.
-    at = {f: i for i, f in enumerate(names)}
-    open_docs = [d for d in toxic if not d & marks]
+    names = np.flatnonzero(telling & ~marks)
+    place = np.full(n_features, -1)
+    place[names] = np.arange(len(names))
+    open_docs = [place[d][place[d] >= 0] for d, k in zip(docs, toxic, strict=True) if k and not marks[d].any()]
     left = np.zeros(len(names))
     for d in open_docs:
-        left[[at[f] for f in d if f in at]] += 1
-    for _ in range(len(open_docs)):
-        gain = np.where(odds >= LOG_ODDS, _g2(left, np.minimum(n, nn), nt, nn) * (left > 0), 0)
+        left[d] += 1
+    while len(names) and open_docs:
+        gain = np.where(left >= 2, _g2(left, n[names], nt, nn), 0)
         best = int(gain.argmax())
-        if gain[best] < G2_COVER or left[best] < 2:
+        if gain[best] < G2_COVER:
             break
-        marks.add(names[best])
-        explained = [d for d in open_docs if names[best] in d]
-        open_docs = [d for d in open_docs if names[best] not in d]
+        marks[names[best]] = True
+        explained = [d for d in open_docs if best in d]
+        open_docs = [d for d in open_docs if best not in d]
         for d in explained:
-            left[[at[f] for f in d if f in at]] -= 1
+            left[d] -= 1
     return marks
 
 
@@ -168,24 +170,41 @@ def _sums(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def train(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, ridge: float = 1e-6) -> Model:
     """Labels the tokens of the sample, fits the chain by Adam on its exact gradient, then the document score.
 
-    A sample without toxic or without clean documents gives a model that scores everything by its share of toxic documents.
+    The sample is emptied on the way, for memory. One without toxic or without clean documents gives a model that scores everything by its share of toxic documents.
     """
     n_toxic = sum(y for _, y in sample)
     if not n_toxic or n_toxic == len(sample):
         prior = (n_toxic + 0.5) / (len(sample) + 1) if sample else 1e-3
         return Model({}, -20.0, (-20.0, 0.0, 0.0, 0.0), (math.log(prior / (1 - prior)), 0.0, 0.0))
     words: dict[str, int] = {}
-    docs = [np.fromiter((words.setdefault(w, len(words)) for w in _WORD.findall(text)), np.int64) for text, _ in sample]
-    of_word = [features(w) for w in words]
-    sets = [set().union(*(of_word[i] for i in np.unique(d))) if len(d) else set() for d in docs]
+    docs = [np.fromiter((words.setdefault(w, len(words)) for w in _WORD.findall(text)), np.int32) for text, _ in sample]
     y = np.array([label for _, label in sample])
-    marks = _marking_features([s for s, k in zip(sets, y, strict=True) if k], [s for s, k in zip(sets, y, strict=True) if not k])
-    marked = np.array([any(f in marks for f in fs) for fs in of_word])
+    sample.clear()
+    # Features as numbers: those of word i are at col[edges[i]:edges[i + 1]].
+    known: dict[str, int] = {}
+    col, edges = array("i"), array("i", [0])
+    for w in words:
+        col.extend(known.setdefault(f, len(known)) for f in features(w))
+        edges.append(len(col))
+    col, edges = np.array(col), np.array(edges)
+    row = np.repeat(np.arange(len(words)), np.diff(edges))
+    in_doc = []
+    for d in docs:
+        u = np.unique(d)
+        size = edges[u + 1] - edges[u]
+        in_doc.append(np.unique(col[np.repeat(edges[u] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]).astype(np.int32))
+    marks = _marking_features(in_doc, y == 1, len(known))
+    marked = np.bincount(row, marks[col], len(words)) > 0
     # The model's features are those of toxic documents; all others share the bias.
-    seen = Counter(f for s, k in zip(sets, y, strict=True) if k for f in s)
-    names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 2))}
-    pairs = [(i, names[f]) for i, fs in enumerate(of_word) for f in fs if f in names]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    seen = np.zeros(len(known), np.int64)
+    for d, k in zip(in_doc, y, strict=True):
+        if k:
+            seen[d] += 1
+    del in_doc
+    used = np.cumsum(seen >= 2) - 1
+    names = {f: int(used[i]) for f, i in known.items() if seen[i] >= 2}
+    row, col = row[seen[col] >= 2], used[col[seen[col] >= 2]]
+    del known
     tokens, count = np.concatenate(docs), np.array([len(d) for d in docs])
     gold = marked[tokens] & np.repeat(y == 1, count)
     usable = np.repeat((y == 0) | (np.array([bool(marked[d].any()) for d in docs])), count)  # a toxic text without marks teaches nothing
