@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The bounded training sample: labelled rows of each kind, by a hash of doc_id, and characters in all.
-TOXIC_ROWS = 2000
-CLEAN_ROWS = 3000
-SAMPLE_CHARS = 40_000_000
+TOXIC_ROWS = 1600
+CLEAN_ROWS = 2000
+SAMPLE_CHARS = 14_000_000
 #: What a feature must reach to mark tokens: log odds, and G2 for the whole sample (a share of the largest) and for the cover.
 LOG_ODDS = 3.0
 G2_SHARE, G2_LEAST, G2_COVER = 0.15, 20.0, 15.0
