@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,3 +41,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words of a text as an array; of a null text an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done: it does so once the driver's collector has run."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -180,7 +180,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, broadc
         own = (
             anchors.select("anchor", "doc_id").distinct().join(shared, "anchor")
             .groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "differ")).alias("a"))
-            .select("doc_id", *(F.transform("a", lambda x, f=f: x[f]).alias(name) for f, name in (("anchor", "anchors"), ("first", "firsts"), ("differ", "differ"))))
+            .select("doc_id", F.col("a.anchor").alias("anchors"), F.col("a.first").alias("firsts"), F.col("a.differ").alias("differ"))
         )
         found = _extended(docs.join(own, "doc_id"), None, window, seed)
     found = materialize(found, "found")
