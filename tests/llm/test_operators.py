@@ -155,8 +155,8 @@ def test_edited_and_cropped_copies_share_a_class(spark):
     edits = [shown[0][8:, 4:58], np.clip(shown[1] * 0.8 + 20, 0, 255), shown[2] + rng.normal(size=shown[2].shape) * 3]
     rows = []
     for k, image in enumerate([*shown, *edits]):
-        x, y, angle, scale, bits = images.describe(image[None])[0]
-        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), x.tolist(), y.tolist(), angle.tolist(), scale.tolist(), [bytearray(b.tobytes()) for b in bits]))
+        buckets, places = images.keyed(images.describe(image[None])[0])
+        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), buckets.tolist(), places.tolist()))
     found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS)).collect()}
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2}
 
