@@ -1,0 +1 @@
+"""Column expressions and NumPy kernels."""

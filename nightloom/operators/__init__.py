@@ -1,0 +1 @@
+"""DataFrame operators of the sky part."""

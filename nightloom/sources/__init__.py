@@ -1,0 +1 @@
+"""Readers and views of tables."""

@@ -1,0 +1 @@
+"""The sky part has no stream: percentiles and clips of a stack do not merge, so maps are made in batch."""
