@@ -29,9 +29,9 @@ from . import tokens
 from .common import new_folder
 
 MAGIC = b"NLIDS01\n"
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 #: A task rolls its file after so many ids.
-FILE_IDS = 4_000_000
+FILE_IDS = 8_000_000
 END_ID = 1
 
 _ORDER1, _ORDER2 = 1024, 2048
@@ -89,8 +89,11 @@ class _Model:
         self.kind[:n] = np.minimum(kind, 15)
 
 
+_BIT_LENGTH = np.frexp(np.arange(2**16, dtype=np.float64))[1].astype(np.int64)
+
+
 def _kind(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    return _BIT_LENGTH[ids]
 
 
 def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:

@@ -185,7 +185,8 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, broadc
         found = _extended(docs.join(own, "doc_id"), None, window, seed)
     found = materialize(found, "found")
     windows = found.filter("anchor IS NOT NULL")
-    owners = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    # Written, so that the join below has a shuffle on both sides and Spark can split the rows of a hot window.
+    owners = materialize(windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"), "owners")
     compared = windows.join(owners, ["anchor", "window"]).filter("doc_id > first").select("doc_id", "fp", "start", "n")
     sure = found.filter("anchor IS NULL").select("doc_id", "fp", "start", "n")
     return sure.unionByName(compared).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
