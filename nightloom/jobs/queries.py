@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.functions import wcs
-from nightloom.operators import frames, geometry, stack, stars
+from nightloom.functions.resample import affine
+from nightloom.operators import frames, geometry, resample, stack, stars
 from nightloom.sources import catalog, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,3 +346,27 @@ def map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
 def image_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("data"))
+
+
+@query()
+def resample_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images turned and scaled onto a common 12 x 12 map, each by its own mapping."""
+    mapping = lambda k: affine(15.0 * (k % 7), 0.8 + 0.1 * (k % 5), (3.5, 3.5), (5.5, 5.5))
+    return _round(resample.to_map(_images(spark, sf_dir), (8, 8), (12, 12), mapping, strict=False), "v", digits=6)
+
+
+@query()
+def closed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resample.closed_masks(_images(spark, sf_dir), (8, 8), -0.1, 1)
+    return made.groupBy("image_id").agg(F.sum("v").cast("long").alias("n_masked"))
+
+
+@query(
+    f"SELECT image_id, count(*) FILTER (v < -0.1) AS n_below FROM ({_PIXELS}) GROUP BY image_id"
+)
+def threshold_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.pixels(spark, sf_dir).groupBy("image_id").agg(F.count_if(F.col("v") < -0.1).alias("n_below"))

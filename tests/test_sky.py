@@ -134,3 +134,31 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_adaptive_resampling():
+    from nightloom.functions import resample as R
+
+    rng = np.random.default_rng(0)
+    image = rng.normal(size=(20, 20)) + 5
+    taps = frames.shift_weights(0.0, 0.0)
+    same = R.resample(image, R.affine(0, 1, (0, 0), (0, 0)), (20, 20))
+    blurred = sum(w * image[10 + dy, 10 + dx] for dy, dx, w in taps)
+    assert same[10, 10] == pytest.approx(blurred, rel=1e-9) and math.isnan(same[0, 0])
+    # Twice as coarse: each pixel holds the light of four.
+    coarse = R.resample(np.full((40, 40), 3.0), R.affine(0, 2, (0.5, 0.5), (0, 0)), (20, 20), strict=False)
+    assert coarse == pytest.approx(np.full((20, 20), 12.0))
+    wrapped = R.resample(image, lambda x, y: ((x + 15) % 20, y), (20, 20), cyclic=True)
+    assert np.isfinite(wrapped[5:15]).all()
+    assert wrapped[10, 5] == pytest.approx(same.copy()[10, 0] if np.isfinite(same[10, 0]) else R.resample(image, lambda x, y: (x, y), (20, 20), cyclic=True)[10, 0])
+    holed = image.copy()
+    holed[10, 10] = np.nan
+    assert math.isnan(R.resample(holed, R.affine(0, 1, (0, 0), (0, 0)), (20, 20))[11, 11])
+
+
+def test_closing_fills_a_gap():
+    from nightloom.functions import resample as R
+
+    mask = np.zeros((9, 9), bool)
+    mask[3:6, 2] = mask[3:6, 4] = True
+    assert R.closed(mask, 1)[4, 3] and R.closed(mask, 1).sum() == 7 and R.closed(mask, 0).sum() == 6
