@@ -29,7 +29,9 @@ from . import tokens
 from .common import new_folder
 
 MAGIC = b"NLIDS01\n"
-BLOCK_IDS = 2048
+#: Ids of a block: as many as leave a file LANES blocks, within these bounds.
+BLOCK_IDS = (256, 2048)
+LANES = 512
 #: A task rolls its file after so many ids.
 FILE_IDS = 8_000_000
 END_ID = 1
@@ -96,7 +98,11 @@ def _kind(ids: np.ndarray) -> np.ndarray:
     return _BIT_LENGTH[ids]
 
 
-def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS) -> list[bytes]:
+def block_size(n_ids: int) -> int:
+    return min(max(n_ids // LANES, BLOCK_IDS[0]), BLOCK_IDS[1])
+
+
+def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS[1]) -> list[bytes]:
     """The code of each block of ids (under 2**16)."""
     lanes = -(-len(ids) // block_ids)
     if not lanes:
@@ -196,8 +202,9 @@ def decode_blocks(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return flat[: (lanes - 1) * block_ids + short].astype(np.uint32)
 
 
-def pack_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray, block_ids: int = BLOCK_IDS) -> bytes:
+def pack_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     """The bytes of a file."""
+    block_ids = block_size(len(ids))
     header = json.dumps({"documents": len(doc_ids), "ids": len(ids), "block_ids": block_ids}).encode()
     known = np.array([0 if x is None else x for x in doc_ids], "<i8")
     null = np.array([x is None for x in doc_ids], np.uint8)
