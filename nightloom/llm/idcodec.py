@@ -39,6 +39,7 @@ END_ID = 1
 _ORDER1, _ORDER2 = 1024, 2048
 _CLASSES = 17  # bit lengths of ids under 2**16
 _TOTAL = np.uint64(16)
+_EVERY = 16  # ids after which frequencies follow the counts
 _HITS_MOST = 61440  # of 65536; the rest keeps every class codable
 _WORD = np.uint64(32)
 _TOP, _BOTTOM = np.uint64(2**32), np.uint64(2**24)
@@ -51,42 +52,58 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
-        self.table1 = np.zeros(lanes * _ORDER1, np.uint32)  # id << 2 | confidence
-        self.table2 = np.zeros(lanes * _ORDER2, np.uint32)
-        self.hit2 = np.full((2, lanes * 16), 16384, np.int32)  # by confidences; by the kind of the last id
-        self.hit1 = np.full((2, lanes * 16), 16384, np.int32)
-        self.classes = np.tile(np.linspace(0, 4096, _CLASSES + 1).astype(np.int32), (lanes, 1))
+        self.table1 = np.zeros(lanes * _ORDER1, np.int64)  # id << 2 | confidence
+        self.table2 = np.zeros(lanes * _ORDER2, np.int64)
+        self.hit2 = np.full((2, lanes * 16), 16384, np.int64)  # by confidences; by the kind of the last id
+        self.hit1 = np.full((2, lanes * 16), 16384, np.int64)
+        self.counts = np.ones(lanes * _CLASSES, np.int32)  # of bit lengths
+        self.classes = np.zeros(lanes * (_CLASSES + 1), np.int64)  # their running frequencies, of 4096
+        self.row = self.lane * (_CLASSES + 1)
+        self.base1, self.base2, self.base16, self.base17 = (self.lane * k for k in (_ORDER1, _ORDER2, 16, _CLASSES))
+        self.steps = 0
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         self.kind = np.zeros(lanes, np.int64)
-        low, high = np.arange(_CLASSES + 1), 4096 - _CLASSES + np.arange(_CLASSES + 1)
-        self.targets = np.where(np.arange(_CLASSES + 1)[None, :] > np.arange(_CLASSES)[:, None], high, low).astype(np.int32)
 
     def predict(self, n: int) -> None:
-        lane, last = self.lane[:n], self.last[:n]
-        self.at1 = lane * _ORDER1 + (last * 0x9E37 >> 5) % _ORDER1
-        self.at2 = lane * _ORDER2 + ((last * 0x9E37 + self.before[:n] * 0x6A09) >> 4) % _ORDER2
-        one, two = self.table1[self.at1].astype(np.int64), self.table2[self.at2].astype(np.int64)
+        last = self.last[:n]
+        if self.steps % _EVERY == 0:
+            self._settle()
+        self.steps += 1
+        spread = last * 0x9E37
+        self.at1 = self.base1[:n] + (spread >> 5 & (_ORDER1 - 1))
+        self.at2 = self.base2[:n] + (spread + self.before[:n] * 0x6A09 >> 4 & (_ORDER2 - 1))
+        one, two = self.table1.take(self.at1), self.table2.take(self.at2)
         self.id1, self.id2, self.conf1, self.conf2 = one >> 2, two >> 2, one & 3, two & 3
-        self.by_conf = lane * 16 + self.conf2 * 4 + self.conf1
-        self.by_kind = lane * 16 + self.kind[:n]
-        self.f2 = np.minimum((3 * self.hit2[0][self.by_conf] + self.hit2[1][self.by_kind]) >> 2, _HITS_MOST - 2048) + 1
-        share1 = (3 * self.hit1[0][self.by_conf] + self.hit1[1][self.by_kind]) >> 2
+        self.by_conf = self.base16[:n] + self.conf2 * 4 + self.conf1
+        self.by_kind = self.base16[:n] + self.kind[:n]
+        self.old2 = self.hit2[0].take(self.by_conf), self.hit2[1].take(self.by_kind)
+        self.old1 = self.hit1[0].take(self.by_conf), self.hit1[1].take(self.by_kind)
+        self.f2 = np.minimum((3 * self.old2[0] + self.old2[1]) >> 2, _HITS_MOST - 2048) + 1
+        share1 = (3 * self.old1[0] + self.old1[1]) >> 2
         self.f1 = np.minimum(((_HITS_MOST - self.f2) * (share1 >> 2) >> 14) + 1, _HITS_MOST - self.f2)
         self.miss = 65536 - self.f2 - self.f1
 
+    def _settle(self) -> None:
+        """Makes frequencies of the counts, each at least 1; old counts fade."""
+        counts = self.counts.reshape(-1, _CLASSES)
+        running = np.cumsum(counts, axis=1, dtype=np.int64)
+        self.classes.reshape(-1, _CLASSES + 1)[:, 1:] = running * (4096 - _CLASSES) // running[:, -1:] + np.arange(1, _CLASSES + 1)
+        if self.steps % (16 * _EVERY) == 0:
+            counts -= counts >> 1
+
     def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, kind: np.ndarray) -> None:
         for table, at, known, conf in ((self.table1, self.at1, self.id1, self.conf1), (self.table2, self.at2, self.id2, self.conf2)):
             same = known == ids
             table[at] = np.where(same, known << 2 | np.minimum(conf + 1, 3), np.where(conf > 0, known << 2 | (conf - 1), ids << 2))
+        goal2, goal1 = np.where(hit2, 65535, 0), np.where(hit1, 65535, 0)
+        missed2 = np.flatnonzero(~hit2)
         for k, at in ((0, self.by_conf), (1, self.by_kind)):
-            old = self.hit2[k][at]
-            self.hit2[k][at] = old + ((np.where(hit2, 65535, 0) - old) >> 4)
-            old = self.hit1[k][at]
-            self.hit1[k][at] = np.where(hit2, old, old + ((np.where(hit1, 65535, 0) - old) >> 4))
+            self.hit2[k][at] = self.old2[k] + ((goal2 - self.old2[k]) >> 4)
+            old = self.old1[k][missed2]
+            self.hit1[k][at[missed2]] = old + ((goal1[missed2] - old) >> 4)
         missed = np.flatnonzero(~(hit1 | hit2))
-        rows = self.classes[missed]
-        self.classes[missed] = rows + ((self.targets[kind[missed]] - rows) >> 5)
+        self.counts[self.base17[missed] + kind[missed]] += 16
         self.before[:n], self.last[:n] = self.last[:n], ids
         self.kind[:n] = np.minimum(kind, 15)
 
@@ -139,9 +156,8 @@ def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS[1]) -> list[bytes]
         hit2 = model.id2 == x
         hit1 = ~hit2 & (model.id1 == x)
         kind = _kind(x)
-        row = model.classes[:n]
-        lane = model.lane[:n]
-        a, b = model.miss * row[lane, kind] >> 12, model.miss * row[lane, kind + 1] >> 12
+        at = model.row[:n] + kind
+        a, b = model.miss * model.classes.take(at) >> 12, model.miss * model.classes.take(at + 1) >> 12
         base = model.f2 + model.f1
         put(n, np.where(hit2, 0, np.where(hit1, model.f2, base + a)), np.where(hit2, model.f2, np.where(hit1, model.f1, b - a)))
         bits = np.where(hit1 | hit2, 0, np.maximum(kind - 1, 0))
@@ -187,10 +203,11 @@ def decode_blocks(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
         v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(65535)).astype(np.int64)
         base = model.f2 + model.f1
         hit2, hit1 = v < model.f2, (v >= model.f2) & (v < base)
-        edges = model.miss[:, None] * model.classes[:n] >> 12
-        kind = np.minimum(np.maximum((edges <= (v - base)[:, None]).sum(1) - 1, 0), _CLASSES - 1)
-        lane = model.lane[:n]
-        a, b = edges[lane, kind], edges[lane, kind + 1]
+        rest, row, kind = v - base, model.row[:n], np.zeros(n, np.int64)
+        for step in (16, 8, 4, 2, 1):  # the last class that begins at or before the rest
+            to = np.minimum(kind + step, _CLASSES)
+            kind = np.where((kind + step < _CLASSES) & (model.miss * model.classes.take(row + to) >> 12 <= rest), to, kind)
+        a, b = model.miss * model.classes.take(row + kind) >> 12, model.miss * model.classes.take(row + kind + 1) >> 12
         take(n, np.where(hit2, 0, np.where(hit1, model.f2, base + a)), np.where(hit2, model.f2, np.where(hit1, model.f1, b - a)))
         bits = np.where(hit1 | hit2, 0, np.maximum(kind - 1, 0))
         v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(65535)).astype(np.int64) >> (16 - bits)
