@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,8 +48,10 @@ def words_of(text: Column) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of plans that are done: it does so once the driver's collector has run."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def discard(*tables: DataFrame) -> None:
