@@ -435,6 +435,33 @@ def test_signatures_never_miss_a_similar_pair():
         assert best[1] >= 1 and any(c >= max(slack[(of == 0) & (band == k)].max(), 1) for k, c in Counter(int(k) for k, _ in shared).items())
 
 
+def test_ngram_join_of_short_texts_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(500):
+        base = [f"t{i}" for i in rng.integers(0, 10**6, int(rng.integers(7, 21)))]
+        for text in (base, [*base, "behind"], ["ahead", *base]):
+            rows.append((len(rows), " ".join(text)))
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert {d: (n, c) for d, n, c in zip(got.doc_id, got.n_shingles, got.component_id)} == brute_components(rows)
+
+
+def test_sets_of_many_and_of_few_empty_partitions_share_what_both_need():
+    rng = np.random.default_rng(12)
+    bands, mixed = ngram_join._bands(60), 0
+    for _ in range(4000):
+        n = int(rng.integers(3, 17))
+        base = rng.integers(0, 2**63, n, dtype=np.uint64) & ~np.uint64(2**24 - 1)
+        one, two = base, np.append(base, rng.integers(0, 2**63, dtype=np.uint64) & ~np.uint64(2**24 - 1))
+        of, band, sig, slack = ngram_join.signatures(np.array([n, n + 1]), np.concatenate([one, two]), bands)
+        need, have = [{(b, s): k for b, s, k, o in zip(band.tolist(), sig.tolist(), slack.tolist(), of.tolist()) if o == i} for i in (0, 1)]
+        shared = Counter(b for b, s in need.keys() & have.keys())
+        asked = {b: max(k for side in (need, have) for (c, _), k in side.items() if c == b) for b in shared}
+        mixed += len({b for b, _ in need}) != len({b for b, _ in have})
+        assert any(shared[b] >= asked[b] for b in shared)
+    assert mixed
+
+
 def test_ngram_join_of_odd_tables(spark):
     assert Counter((r.component_id, r.n_shingles) for r in ngram_join.join_documents(odd_rows(spark)).collect()) == Counter({(5, 1): 2, (None, 1): 1, (None, 0): 1})
     assert ngram_join.join_documents(empty(spark)).count() == 0
