@@ -4,8 +4,9 @@ Corners (Harris) are found on several scales; each gets an orientation from its
 256 binary tests in a pattern turned by it. Two descriptors that differ in fewer bits than there are bands agree on a
 band, so the tables of all bands join those within that Hamming distance. A pair of matched corners proposes
 a turn, a scale and a shift; images are linked where enough distinct corners propose the same. In a table's
-bucket images are held against hubs, never all against all: first against the smallest image, then
-against the smallest of what is not yet in its class, round by round.
+bucket images are first held against hubs: against the smallest image, then against the smallest of what is not
+yet in its class. What still lies in different classes is then held all against all, in blocks of bounded size, so classes
+are those of all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ SCALES = {1.0: 12, 0.75: 6, 0.5: 6}
 BITS, BANDS = 256, 4
 RADIUS = 11
 MIN_VOTES = 4
+#: Rounds against hubs before the rest of the buckets is compared.
 ROUNDS = 2
+#: Rows of a bucket that are held at once against as many others.
+BLOCK_ROWS = 512
 #: Bins of a proposal: degrees, halves of scale doublings, pixels.
 TURN_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.5, 10.0
 
@@ -179,6 +183,22 @@ def _consensus(matches: DataFrame) -> DataFrame:
     return votes.filter(F.col("votes") >= MIN_VOTES).select("u", "v").distinct()
 
 
+def _rest(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """Matches, in both directions, of all images that share a bucket and lie in different components. A large bucket's rows are cut into blocks by a hash, and each block meets each other one by a key of its own."""
+    placed = shared.join(parts, F.col("image_id") == F.col("key"), "left").withColumn("component", F.coalesce("component", "image_id")).drop("key")
+    open_ = (
+        placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks"))
+        .filter("a <> b").select("bucket", "blocks")
+    )
+    placed = materialize(placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("image_id", "place"), F.col("blocks"))), "open")
+    # Whoever proposes needs as many distinct corners in such buckets.
+    enough = placed.groupBy("image_id").agg(F.count_distinct(F.expr("place div 1024")).alias("n")).filter(F.col("n") >= MIN_VOTES).select("image_id")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    one = placed.join(enough, "image_id").select("bucket", F.col("block").alias("i"), blocks.alias("j"), F.col("image_id").alias("u"), F.col("place").alias("place_u"), F.col("component").alias("cu"))
+    two = placed.select("bucket", blocks.alias("i"), F.col("block").alias("j"), F.col("image_id").alias("v"), F.col("place").alias("place_v"), F.col("component").alias("cv"))
+    return one.join(two, ["bucket", "i", "j"]).filter("cu <> cv").select("u", "v", "place_u", "place_v")
+
+
 def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """image_id, class_id (the smallest image_id linked to it) and n_points of every image.
 
@@ -207,6 +227,7 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         new = materialize(_consensus(matches), "links")
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
+    parts = connected(links.unionByName(materialize(_consensus(_rest(shared, parts)), "links")))
     rows = described.select("image_id", "digest", F.size("places").cast("long").alias("n_points")).join(same, "digest", "left")
     return rows.join(parts, F.col("one") == F.col("key"), "left").select("image_id", F.coalesce("component", "one", "image_id").alias("class_id"), "n_points")
 

@@ -161,6 +161,17 @@ def test_edited_and_cropped_copies_share_a_class(spark):
     assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2}
 
 
+@pytest.mark.parametrize("block", [512, 5])
+def test_classes_of_mixed_buckets_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(images, "BLOCK_ROWS", block, raising=False)
+    # Six groups of two; every image has a corner in each common bucket at a place of its own, and pairs share their other places.
+    rng = np.random.default_rng(9)
+    spots = [[(int(x) * 128 + int(y)) * 1024 for x, y in rng.integers(0, 127, (6, 2))] for _ in range(6)]
+    rows = [(k, str(k), [b for c in range(6) for b in (c, -1 - 4 * k, -2 - 4 * k, -3 - 4 * k)], spots[k % 6]) for k in range(12)]
+    found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS)).collect()}
+    assert found == {k: k % 6 for k in range(12)}
+
+
 def test_images_of_odd_tables(spark):
     grid = np.random.default_rng(4).normal(size=64).tolist()
     rows = [(1, grid), (2, grid), (2, grid), (3, None), (4, [1.0]), (5, [0.5] * 64), (6, [0.5] * 64), (7, [None] * 64), (None, grid)]
