@@ -26,31 +26,35 @@ def clipped_mean(values: np.ndarray, n_sigma: float = 3.0, min_size: int = 10) -
     return float(kept.mean()) if len(kept) else math.nan
 
 
-def _levenberg_marquardt(model, jacobian, start: np.ndarray, y: np.ndarray, weight: np.ndarray, limit: int = 4000) -> np.ndarray | None:
-    """The weighted least-squares parameters, or None where the fit does not converge."""
+def _levenberg_marquardt(model, jacobian, start: np.ndarray, y: np.ndarray, weight: np.ndarray, far, limit: int = 4000) -> np.ndarray | None:
+    """The weighted least-squares parameters, or None where the fit does not converge.
+
+    The first two are the centre and the logarithm of the width. Converged is where a step is under 1e-10 of the parameters; far(p) ends a fit that runs away.
+    """
     p, damping = start.astype(float), 1e-3
     r = weight * (model(p) - y)
     cost = r @ r
     for _ in range(limit // (len(p) + 1)):
         j = weight[:, None] * jacobian(p)
         a, g = j.T @ j, j.T @ r
-        if np.abs(g).max() <= 1e-14 * max(cost, 1e-300) ** 0.5:
-            return p
+        # A centre on a bin has no slope there; it is damped as one a width off, so it doesn't drift.
+        steep = weight * model(p) / math.exp(p[1])
+        scale = np.diag(np.maximum([max(a[0, 0], steep @ steep), *np.diag(a)[1:]], 1e-300))
         while damping < 1e12:
             try:
-                step = np.linalg.solve(a + damping * np.diag(np.maximum(np.diag(a), 1e-300)), -g)
+                step = np.linalg.solve(a + damping * scale, -g)
             except np.linalg.LinAlgError:
                 damping *= 10
                 continue
             trial = weight * (model(p + step) - y)
-            if np.isfinite(trial).all() and trial @ trial <= cost:
+            small = np.abs(step).max() <= 1e-4 * max(np.abs(p).max(), 1e-12)  # there the cost has no digits left to compare
+            if np.isfinite(trial).all() and trial @ trial <= cost * (1 + 1e-9 * small) and abs(step[1]) < 1:
                 break
             damping *= 10
         else:
-            return p if cost < 1e300 else None
-        gained = cost - trial @ trial
-        p, r, cost, damping = p + step, trial, trial @ trial, max(damping / 10, 1e-12)
-        if np.abs(step).max() <= 1e-12 * max(np.abs(p).max(), 1e-12) or gained <= 1e-15 * cost:
+            return None
+        p, r, cost, damping = p + step, trial, trial @ trial, max(damping / 10, 1e-7)
+        if far(p) or np.abs(step).max() <= 1e-10 * max(np.abs(p).max(), 1e-12) and damping <= 1e-6:
             return p
     return None
 
@@ -74,29 +78,31 @@ def gaussian_centre(values: np.ndarray, n_sigma: float = 3.0, min_size: int = 50
         return math.nan
     height, x, width = made
     reach = float(np.ptp(x))
-    centre, spread = x[int(height.argmax())], reach / 4
+    if not reach:
+        return math.inf
+    start = [x[int(height.argmax())], math.log(reach / 4)]  # the logarithm of the width keeps it over 0
+    shape = lambda p: np.exp(-((x - p[0]) ** 2) / (2 * math.exp(2 * p[1])))
     if amplitude:
-        start = np.array([centre, spread, height.max()])
-        shape = lambda p: np.exp(-((x - p[0]) ** 2) / (2 * p[1] ** 2))
+        start.append(height.max())
         model = lambda p: p[2] * shape(p)
 
         def jacobian(p):
-            e, d = shape(p), x - p[0]
-            return np.stack([p[2] * e * d / p[1] ** 2, p[2] * e * d**2 / p[1] ** 3, e], 1)
+            e, z = shape(p), (x - p[0]) / math.exp(p[1])
+            return np.stack([p[2] * e * z / math.exp(p[1]), p[2] * e * z**2, e], 1)
     else:
         height = height / (width * height.sum())
-        start = np.array([centre, spread])
-        model = lambda p: np.exp(-((x - p[0]) ** 2) / (2 * p[1] ** 2)) / (math.sqrt(2 * math.pi) * p[1])
+        model = lambda p: shape(p) / (math.sqrt(2 * math.pi) * math.exp(p[1]))
 
         def jacobian(p):
-            m, d = model(p), x - p[0]
-            return np.stack([m * d / p[1] ** 2, m * (d**2 / p[1] ** 3 - 1 / p[1])], 1)
+            m, z = model(p), (x - p[0]) / math.exp(p[1])
+            return np.stack([m * z / math.exp(p[1]), m * (z**2 - 1)], 1)
 
+    implausible = lambda p: math.exp(min(p[1], 700.0)) > 5 * reach
     with np.errstate(all="ignore"):
-        found = _levenberg_marquardt(model, jacobian, start, height, np.sqrt(height)) if spread > 0 else None
+        found = _levenberg_marquardt(model, jacobian, np.array(start, float), height, np.sqrt(height), lambda p: p[1] > math.log(5 * reach) + 7)
     if found is None:
         return math.inf
-    return -math.inf if found[1] > 5 * reach else float(found[0])
+    return -math.inf if implausible(found) else float(found[0])
 
 
 _ERF = np.vectorize(math.erfc, otypes=[float])
@@ -106,7 +112,7 @@ def _log_cdf(z: np.ndarray) -> np.ndarray:
     """ln of the normal distribution function, by its asymptotic series far out."""
     far = z < -30
     near = np.log(0.5 * _ERF(-np.maximum(z, -30) / math.sqrt(2)))
-    w = np.minimum(z, -1)
+    w = np.minimum(z, -30)
     return np.where(far, -0.5 * w * w - np.log(-w) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / (w * w)), near)
 
 
@@ -123,16 +129,18 @@ def skew_location(values: np.ndarray, n_sigma: float = 3.0, min_size: int = 50)
     spread = kept.std() or 1e-12
     skew = float(np.clip(((kept - kept.mean()) ** 3).mean() / spread**3, -0.99, 0.99))
     found = _simplex(loss, np.array([2 * np.sign(skew) * abs(skew) ** (1 / 3), kept.mean() - 0.6 * np.sign(skew) * spread, math.log(1.2 * spread)]))
+    if found is None:
+        return math.inf
     return -math.inf if math.exp(found[2]) > 5 * np.ptp(kept) else float(found[1])
 
 
-def _simplex(f, start: np.ndarray, limit: int = 600) -> np.ndarray:
-    """Nelder and Mead's search for a minimum."""
+def _simplex(f, start: np.ndarray, limit: int = 4000) -> np.ndarray | None:
+    """Nelder and Mead's search for a minimum; None where it isn't reached within the limit."""
     points = [start] + [start + (0.1 if not start[k] else 0.1 * abs(start[k])) * np.eye(len(start))[k] for k in range(len(start))]
     ranked = sorted(((f(p), i, p) for i, p in enumerate(points)), key=lambda t: t[:2])
     for serial in range(len(points), limit):
         if ranked[-1][0] - ranked[0][0] < 1e-9 * (abs(ranked[0][0]) + 1e-9):
-            break
+            return ranked[0][2]
         middle = np.mean([p for _, _, p in ranked[:-1]], axis=0)
         worst = ranked[-1]
         tries = [(f(p), serial, p) for p in (middle + (middle - worst[2]),)]
@@ -148,7 +156,7 @@ def _simplex(f, start: np.ndarray, limit: int = 600) -> np.ndarray:
         else:
             ranked = [ranked[0]] + [(f(q), serial + k, q) for k, (_, _, p) in enumerate(ranked[1:]) for q in (ranked[0][2] + 0.5 * (p - ranked[0][2]),)]
         ranked.sort(key=lambda t: t[:2])
-    return ranked[0][2]
+    return None
 
 
 KERNELS = {
