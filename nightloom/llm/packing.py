@@ -1,11 +1,12 @@
 """Bound-certified packing of documents into sequences.
 
-Pieces are packed by best-fit decreasing in partitions of bounded size. Lower bounds by
-dual feasible functions say how few bins the pieces of a partition need; where best
-fit reaches the bound, the partition is certified and stays. The others have a gap:
-they keep their exactly full bins, exchange the documents of the rest among each other and
-run best fit again, as long as that saves bins. Only narrow rows (key, length,
-checksum) are moved; the driver sees a count for each round.
+Pieces are packed by best-fit decreasing in partitions of bounded size. Lower bounds by dual feasible functions say
+how few bins a partition needs, and, from the counts of all lengths, how few all need together. Where the bins of all
+partitions meet the common bound the packing is certified as a whole. Until then, partitions with a gap (over their own
+bound, or over their volume as long as the whole has one) keep their fuller bins and exchange the documents of the
+emptiest ones, half of their pieces, in half as many partitions, where best fit runs again. Each round has half of the pieces
+of the one before, so all rounds together cost twice the first, and the last is one partition that all gaps have come down to.
+Only narrow rows (key, length, checksum) are moved; the driver sees counts by length and two counts for each round.
 """
 
 from __future__ import annotations
@@ -25,20 +26,22 @@ from .common import materialize
 CAPACITY = 2048
 #: Pieces that one task packs.
 PER_PARTITION = 60_000
-ROUNDS = 4
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest of three families of dual-feasible-function bounds on the number of bins.
+    """The bound for items of these lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(have: np.ndarray, capacity: int) -> int:
+    """How many bins items need at least; have: the number of items of each length up to the capacity. The largest of three families of dual-feasible-function bounds on the number of bins.
 
     Sizes; sizes with those over capacity - e rounded to the capacity and those under e to 0,
     for each e up to half the capacity; sizes rounded down to multiples of 1/k, k up to 32.
     """
-    if not len(lengths):
-        return 0
-    have = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    have = have.astype(np.int64)
     size = np.arange(capacity + 1)
     up_to = np.concatenate([[0], np.cumsum(have)])
     sums = np.concatenate([[0], np.cumsum(have * size)])
@@ -76,61 +79,54 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
-    """Adds the bin of each piece, whether it is exactly full, and the partition's gap over its lower bound."""
+    """Adds the bin of each piece, whether it is the first of its bin, and whether the bin is given up: of a partition with a gap the emptiest bins with half of its pieces."""
     table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
     lengths = table["length"].to_numpy()
     bins = best_fit_decreasing(lengths, capacity)
     filled = np.bincount(bins, weights=lengths).astype(np.int64)
-    gap = len(filled) - lower_bound(lengths, capacity)
-    new = {"bin": bins, "full": filled[bins] == capacity, "gap": np.full(len(bins), gap)}
-    for name, values in new.items():
+    released = np.zeros(len(filled), bool)
+    if len(filled) > min(lower_bound(lengths, capacity), -(-int(filled.sum()) // capacity)):
+        order = np.argsort(filled, kind="stable")
+        pieces_up_to = np.cumsum(np.bincount(bins)[order])
+        released[order[: int(np.searchsorted(pieces_up_to, len(bins) / 2)) + 1]] = True
+    first = np.zeros(len(bins), bool)
+    first[np.unique(bins, return_index=True)[1]] = True
+    for name, values in (("bin", bins), ("first", first), ("released", released[bins])):
         table = table.append_column(name, pa.array(values))
     return table
 
 
-def _packed(pieces: DataFrame, round_no: int, capacity: int, per_partition: int, n_rows: int) -> DataFrame:
-    parts = max(1, -(-n_rows // per_partition))
+def _packed(pieces: DataFrame, round_no: int, capacity: int, parts: int) -> DataFrame:
     dealt = pieces.select(*pieces.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(parts)).alias("part"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin bigint, full boolean, gap bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin bigint, first boolean, released boolean"
     out = dealt.groupBy("part").applyInArrow(lambda table: _pack_partition(table, capacity), schema)
-    return out.withColumn("sequence_id", (F.lit(round_no) * F.lit(2**56) + F.col("part") * F.lit(2**32) + F.col("bin")).cast("long")).drop("bin")
+    return out.withColumn("sequence_id", (F.lit(round_no) * F.lit(2**56) + F.col("part") * F.lit(2**32) + F.col("bin")).cast("long")).drop("bin", "part")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """pieces (PIECE_SCHEMA; lengths 1 to capacity) with sequence_id and offset.
 
     Repeated rows are packed as rows of their own; an empty table gives an empty table.
     sequence_id is unique, not dense. Pieces as long as the capacity are sequences of their own.
     """
     columns = pieces.columns
-    whole = pieces.filter(F.col("length") == capacity).withColumn(
-        "sequence_id", F.lit(-1) - F.monotonically_increasing_id()
-    )
-    rest = pieces.filter(F.col("length") < capacity)
-    done: list[DataFrame] = [whole]
-    n_rows, before = rest.count(), None
-    current = rest
-    for round_no in range(rounds):
-        packed = materialize(_packed(current.select(*columns), round_no, capacity, per_partition, n_rows), "packed")
-        bins = packed.select("sequence_id").distinct().count()
-        if before is not None and bins >= before:  # the exchange saved nothing: the packing before it holds
-            break
-        if before is not None:
-            done[-1] = done[-1].filter(~F.col("_released"))
-        # What gap partitions hold outside of exactly full bins goes on; a lone partition has nobody to exchange with.
-        released = (F.col("gap") > 0) & ~F.col("full")
-        marked = packed.withColumn("_released", released)
-        done.append(marked)
-        stats = marked.filter("_released").agg(
-            F.count(F.lit(1)), F.countDistinct("sequence_id"), F.countDistinct("part")
-        ).first()
-        n_rows, before = stats[0], stats[1]
-        if stats[2] < 2:
-            break
-        current = marked.filter("_released")
-    sequences = done[0].select(*columns, "sequence_id")
-    for df in done[1:]:
-        sequences = sequences.unionByName(df.select(*columns, "sequence_id"))
+    sequences = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(-1) - F.monotonically_increasing_id())
+    current = pieces.filter(F.col("length") < capacity)
+    have = np.zeros(capacity + 1, np.int64)
+    for r in current.groupBy("length").count().collect():  # a row for each length, fewer than the capacity
+        have[r.length] = r["count"]
+    parts, round_no, left = max(1, -(-int(have.sum()) // per_partition)), 0, bound_of_counts(have, capacity)
+    while True:
+        packed = materialize(_packed(current, round_no, capacity, parts), "packed")
+        bins, given_up = packed.agg(F.count_if("first"), F.count_if(F.col("first") & F.col("released"))).first()
+        if parts == 1 or bins <= left or not given_up:  # nobody to exchange with, or nothing to gain
+            return _placed(sequences.unionByName(packed.drop("first", "released")))
+        sequences = sequences.unionByName(packed.filter("NOT released").drop("first", "released"))
+        current, left = packed.filter("released").select(*columns), left - (bins - given_up)
+        parts, round_no = -(-parts // 2), round_no + 1
+
+
+def _placed(sequences: DataFrame) -> DataFrame:
     within = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return sequences.withColumn("offset", (F.sum("length").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).cast("long"))
 
