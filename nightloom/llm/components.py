@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     Each round points all larger neighbours of a key at its smallest one, then
     the smaller ones; rounds go on until the links are stars. Rounds grow with the logarithm of the longest path.
-    Each round is written, so a lost executor costs one round.
+    Each round is written, so a lost executor costs one round; the one before it is deleted.
     """
     edges = materialize(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
@@ -26,10 +26,11 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.filter("u > v")
         small = down.join(_least(down), "u").select("u", "v", "m")
-        edges = materialize(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links"
-        )
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        made = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        counts = Observation()
+        new = materialize(made.observe(counts, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("hash")), "links")
+        discard(edges)
+        edges, now = new, (counts.get["n"], counts.get["hash"])
         if now == seen:
             break
         seen = now

@@ -6,8 +6,15 @@ any run follows from one running sum over the batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes that are hashed at once, and powers that a worker keeps.
+SLICE_BYTES = 1 << 20
+KEPT_POWERS = SLICE_BYTES + 2
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BASE, _WORD_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
@@ -29,11 +36,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers; those of the usual sizes are kept."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, KEPT_POWERS), base, np.uint64)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if n <= KEPT_POWERS:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 class _Sums:
@@ -43,7 +58,8 @@ class _Sums:
         n = len(values)
         self.inverse = _powers(pow(base, -1, 2**64), n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(base, n), out=self.sums[1:])
+        np.multiply(values, _powers(base, n), out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _M)
@@ -87,6 +103,17 @@ class Words:
         return np.arange(total) + np.repeat(self.first - (np.cumsum(have) - have), have), have
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1024):
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 1024, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows, and of so many bytes (of a list: items) in a column at most where a slice has several rows: hashing takes some 30 bytes of memory for each."""
+    if not batch.num_rows:
+        return
+    values = batch.column(column)
+    of = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    of = of.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(of)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, ends[at] - of[at] + size, side="right"))
+        n = min(max(fits - at, 1), rows)
+        yield batch.slice(at, n)
+        at += n
