@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.llm import mixing, ngram_join, packing, substring, toxicity
-from nightloom.llm.common import materialize, read_table, release
+from nightloom.llm.common import materialize, read_table
 from nightloom.llm.queries import tokenizer_path
 
 
@@ -22,9 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id; documents without words all stay."""
-    copies = materialize(ngram_join.join_documents(docs).filter("component_id <> doc_id").select("doc_id"), "copies")
-    release(spark)
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return ngram_join.keep_one(docs)
 
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
