@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives of pages, and their reader.
 
-Pages are cut into shards by ranges of page_id whose width follows from counts alone;
-within a shard records are sorted, and files roll by compressed size, so the archives of the same
+Pages are cut into shards by ranges of page_id of about equal bytes: the exact running sum of bytes in the order of page_id
+says where a shard begins, so neither gaps in the ids nor how rows are dealt matter. Within a shard
+records are sorted, and files roll by compressed size, so the archives of the same
 rows are the same bytes however often a task runs. Each file is written under a
 temporary name and renamed when whole; the manifest, a table written last by Spark's own
 committer, lists the files that count. Readers start from the manifest.
@@ -15,12 +16,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import discard, materialize, new_folder
 
 #: Payloads of fewer bytes are always written in full.
 REVISIT_FROM = 100
@@ -95,6 +99,18 @@ class _ShardFiles:
             self.out, self.roll = None, self.roll + 1
 
 
+def _cuts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Where shards begin: the smallest place of each; sizes(place, bytes): each place once. The driver sees one number for each shard."""
+    ranged = materialize(sizes.repartitionByRange("place").withColumn("part", F.spark_partition_id()), "sizes")
+    parts = ranged.groupBy("part").agg(F.sum("bytes").alias("sum"), F.min("place").alias("low"))  # a row for each partition
+    ahead = parts.select("part", F.coalesce(F.sum("sum").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = W.partitionBy("part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
+    shard = F.floor((F.col("ahead") + F.coalesce(F.sum("bytes").over(within), F.lit(0))) / F.lit(shard_bytes))
+    starts = ranged.join(F.broadcast(ahead), "part").withColumn("shard", shard).groupBy("shard").agg(F.min("place").alias("place")).select("place").toArrow()
+    discard(ranged)
+    return np.sort(starts["place"].to_numpy())
+
+
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archives of pages(page_id, url, html) under folder and returns the committed manifest.
 
@@ -105,14 +121,26 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll_by
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", html.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    lo, hi, total = pages.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum(F.octet_length("html") + 1), F.lit(0))).first()
-    n_shards = max(1, -(-total // shard_bytes))
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // n_shards))
-    shard = F.coalesce(F.floor((F.col("page_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(0)).cast("long")
+    # Rows of null page_id are placed by their digests, in shards of their own.
+    by_digest = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    rows = rows.withColumn("place", F.coalesce(F.col("page_id"), by_digest))
+    sizes = rows.groupBy(F.col("page_id").isNull().alias("unknown"), "place").agg(F.sum(F.octet_length("payload") + F.lit(1)).alias("bytes"))
+    known, unknown = (_cuts(sizes.filter(f"unknown = {flag}").select("place", "bytes"), shard_bytes) for flag in (False, True))
+    n_shards = max(1, len(known) + len(unknown))
+    cuts = spark.sparkContext.broadcast((known, unknown))  # 8 bytes for each shard
+
+    @F.pandas_udf("long")
+    def shard_of(place: pd.Series, no_id: pd.Series) -> pd.Series:
+        known, unknown = cuts.value
+        at = place.to_numpy()
+        with_id, without = np.searchsorted(known, at, side="right") - 1, len(known) + np.searchsorted(unknown, at, side="right") - 1
+        return pd.Series(np.where(no_id.to_numpy(), without, with_id))
+
+    shard = shard_of("place", F.col("page_id").isNull())
     # What a page revisits goes beside the page through the one range shuffle; the payloads are never joined.
-    keys = rows.filter(F.octet_length("payload") >= REVISIT_FROM).select("page_id", "digest")
+    keys = rows.filter(F.octet_length("payload") >= REVISIT_FROM).select("page_id", "place", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
-    marks = keys.join(first, "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    marks = keys.join(first, "digest").filter("page_id > refers_to").select("page_id", "place", "digest", "refers_to").distinct()
     both = rows.withColumn("refers_to", F.lit(None).cast("long")).withColumn("is_page", F.lit(1)).unionByName(
         marks.withColumn("is_page", F.lit(0)), allowMissingColumns=True
     )
@@ -157,14 +185,14 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The headers and the block of each record of a file."""
     data = memoryview(data)
     while data:
-        unpack, record, step = zlib.decompressobj(31), b"", 2**16
+        unpack, pieces, step = zlib.decompressobj(31), [], 2**16
         while not unpack.eof and data:  # in steps, as what follows a member is copied
             taken = data[:step]
-            record += unpack.decompress(taken)
+            pieces.append(unpack.decompress(taken))
             data = data[len(taken) - len(unpack.unused_data) :]
         if not unpack.eof:
             raise ValueError("a file ends within a record")
-        head, _, rest = record.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(pieces).partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(headers["Content-Length"])]
         if headers["WARC-Block-Digest"] != "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode():
