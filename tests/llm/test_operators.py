@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -203,6 +204,21 @@ def test_archives_round_trip_and_repeat_byte_for_byte(spark):
     assert out == want
 
 
+def test_shards_are_even_whatever_the_ids_are(spark):
+    text = [f"<p>{k}</p>" * 40 for k in range(400)]
+    rows = [(k, "u", text[k]) for k in range(200)] + [(2**50, "u", "far"), (-(2**50), "u", "far")] + [(None, "u", text[k]) for k in range(200, 400)] + [(2**40, "u", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen = []
+    for parts in (1, 6):
+        folder = new_folder(spark, "warc")
+        warc.write(pages.repartition(parts), folder, shard_bytes=20_000, roll_bytes=10**9)
+        seen.append({(r.file, r.sha256, r.records) for r in spark.read.parquet(f"{folder}/manifest").collect()})
+        assert warc.read(spark, folder).count() == len(rows)
+    assert seen[0] == seen[1] and len(seen[0]) > 8
+    longest = max(len(t) for t in text) + 1
+    assert max(n for _, _, n in seen[0]) * min(len(t) for t in text) <= 20_000 + longest + 3000
+
+
 def test_archives_of_an_empty_table(spark):
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -210,32 +226,70 @@ def test_archives_of_an_empty_table(spark):
 # --- mixing
 
 
-def test_schedule_keeps_within_one_block():
-    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.4}
+def brute_schedule(blocks, weights):
+    """Pfair with earliest deadlines by definition: each slot looks at every source's next block."""
+    left, done, out, slot, phase = dict(blocks), dict.fromkeys(blocks, 0), {}, 0, 0
+    while left:
+        w = {s: Fraction(n, mixing.UNIT) for s, n in mixing.shares({s: weights[s] for s in left}).items()}
+        base, j = slot, dict.fromkeys(left, 0)
+        while True:
+            t = slot - base
+            ready = [(math.ceil((j[s] + 1) / w[s]), s) for s in left if math.floor(j[s] / w[s]) <= t]
+            deadline, s = min(ready)
+            out[s, done[s]] = (phase, slot, base + math.floor(j[s] / w[s]), base + deadline)
+            j[s], done[s], slot = j[s] + 1, done[s] + 1, slot + 1
+            if done[s] == left[s]:
+                del left[s]
+                phase += 1
+                break
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5.0, "b": 3.0, "c": 1.0, "d": 0.5}, {"a": 0.45, "b": 0.1, "c": 0.44, "d": 0.01}, {"a": 1.0, "b": 1e-4, "c": 1.0, "d": 1.0}])
+def test_schedule_is_that_of_the_definition_and_keeps_within_one_block_of_the_weights(weights):
     blocks = {"a": 700, "b": 90, "c": 300, "d": 11}
-    slot_of = {}
-    for x in mixing.plan(blocks, weights, 64):
-        for j in range(x.count):
-            slot = x.base + j // x.share * x.period + x.places[j % x.share]
-            assert slot not in slot_of
-            slot_of[slot] = (x.source, x.first + j, x.phase, x.share / x.period)
-    assert sorted(slot_of) == list(range(sum(blocks.values())))
-    assert {(s, b) for s, b, _, _ in slot_of.values()} == {(s, b) for s, n in blocks.items() for b in range(n)}
-    by_phase = defaultdict(list)
-    for slot in sorted(slot_of):
-        by_phase[slot_of[slot][2]].append(slot_of[slot])
-    for rows in by_phase.values():
-        shares, seen = {s: w for s, _, _, w in rows}, Counter()
-        for t, (s, *_) in enumerate(rows, 1):
-            seen[s] += 1
-            assert all(abs(seen[x] - w * t) < 1 for x, w in shares.items())
-
-
-def test_mixture_holds_every_document_once(spark, docs):
+    table = mixing.schedule(blocks, weights).to_pylist()
+    got = {(r["source"], r["block"]): (r["phase"], r["slot"], r["release"], r["deadline"]) for r in table}
+    assert sorted(r["slot"] for r in table) == list(range(sum(blocks.values())))
+    assert got == brute_schedule(blocks, weights)
+    left, seen, start, phase = set(blocks), Counter(), 0, 0
+    for r in sorted(table, key=lambda r: r["slot"]):
+        if r["phase"] != phase:
+            left, seen, start, phase = {x["source"] for x in table if x["phase"] >= r["phase"]}, Counter(), r["slot"], r["phase"]
+        seen[r["source"]] += 1
+        assert r["release"] <= r["slot"] < r["deadline"]
+        total = sum(weights[s] for s in left)
+        assert all(abs(seen[s] - weights[s] / total * (r["slot"] + 1 - start)) < 1 + 1e-6 for s in left)
+
+
+def test_documents_take_the_slots_of_their_blocks(spark, docs):
+    rows = docs.collect()
+    size = {r.doc_id: len((r.text or "").encode()) + 1 for r in rows}
+    order = {r.doc_id: r.o for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("o")).collect()}
+    by_source = defaultdict(list)
+    for r in rows:
+        by_source[r.source or "\x00null"].append(r.doc_id)
+    blocks = {s: -(-sum(size[d] for d in ids) // 1000) for s, ids in by_source.items()}
+    slots = {(r["source"], r["block"]): r for r in mixing.schedule(blocks, {s: sum(size[d] for d in ids) ** 0.5 for s, ids in by_source.items()}).to_pylist()}
+    want = {}
+    for s, ids in by_source.items():
+        at = 0
+        for d in sorted(ids, key=lambda d: (order[d] % 2**64, d)):
+            r = slots[s, at // 1000]
+            want[d] = (r["block"], r["phase"], r["slot"], r["release"], r["deadline"])
+            at += size[d]
     out = mixing.schedule_documents(docs, block_bytes=1000).collect()
-    assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in docs.collect())
+    assert {r.doc_id: (r.block, r.phase, r.slot, r.release, r.deadline) for r in out} == want and len(out) == len(rows)
+    mixed = [r.doc_id for r in mixing.mix(docs, block_bytes=1000).collect()]
+    assert mixed == sorted(want, key=lambda d: (want[d][2], order[d], d))
     assert mixing.mix(docs, block_bytes=1000).columns == docs.columns
+
+
+def test_mixture_of_odd_tables(spark, docs):
     assert mixing.mix(odd_rows(spark)).count() == 4 and mixing.mix(empty(spark)).count() == 0
+    clash = docs.withColumn("_order", F.lit(1)).withColumn("_p", F.lit(2)).withColumn("fp", F.lit(3)).withColumn("_source", F.lit(4))
+    out = mixing.mix(clash, block_bytes=1000)
+    assert out.columns == clash.columns and {(r._order, r._p, r.fp, r._source) for r in out.collect()} == {(1, 2, 3, 4)}
     with pytest.raises(ValueError):
         mixing.mix(docs, weights={"hot": 1.0})
 
@@ -326,10 +380,20 @@ def test_remembered_chunks_give_the_library_ids(name, cut):
 @pytest.mark.parametrize("n", [0, 1, 99, 100, 101, 750])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
-    for ids in (rng.integers(0, 65536, n), rng.integers(0, 3, n), rng.zipf(1.3, n) % 65536, np.zeros(n, int), np.full(n, 65535)):
-        codes = idcodec.encode_blocks(ids.astype(np.int64), 100)
+    for ids in (rng.integers(0, 2**32, n), rng.integers(0, 3, n), rng.zipf(1.3, n) % 65536, np.zeros(n, int), np.full(n, 70000), np.arange(n) % 7):
+        tables, ranks = idcodec.Tables.of(ids)
+        codes = idcodec.encode_blocks(ranks, tables, 100)
         sizes = np.minimum(100, n - 100 * np.arange(len(codes)))
-        assert idcodec.decode_blocks(codes, sizes).tolist() == ids.tolist()
+        again = idcodec.Tables.unpack(tables.pack())
+        assert again.ids.take(idcodec.decode_blocks(codes, sizes, again)).tolist() == ids.tolist()
+
+
+def test_range_coder_beats_deflate_and_the_frequencies_of_ids(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").collect()]
+    ids, _ = tokens.append_end(*tokens.encoder(path("word_bpe_49k.json"), tokens.cut_at_whitespace).encode(texts), 1)
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    bits = len(idcodec.pack_file([1], np.array([len(ids)]), ids)) * 8 / len(ids)
+    assert bits < -(share * np.log2(share)).sum() < len(zlib.compress(ids.astype("<u2").tobytes())) * 8 / len(ids)
 
 
 def test_broken_files_are_refused():
