@@ -1,14 +1,16 @@
 """Token ids in range-coded files.
 
-A file holds documents in ascending order of doc_id. Its ids are cut into blocks that are coded on their own, each
-with a model that starts anew and a checksum. The model predicts the next id from the two before it (order 2)
-and from the one before it (order 1); what neither foresees is coded by its bit length under adaptive
-frequencies (order 0) and its remaining bits. Hits are mixed from two adaptive estimates, one by the
-confidence of both predictions and one by the kind of the id before. All blocks of a file are
-coded side by side, one id of each at a time, so the arithmetic runs over whole arrays.
-
-Layout: MAGIC, then for three parts (header as JSON, documents, blocks) a length (u32) and a CRC-32 (u32) and the bytes. Documents: doc_id (i64), null
-flags (u8) and counts (u32), deflated. Blocks: for each block ids (u32), bytes (u32) and the ids' CRC-32 (u32), then the code.
+A file holds documents in ascending order of doc_id. Its ids are cut into blocks that are coded on their own, each with a
+checksum and with a model that starts anew from the file's tables. The model mixes predictions of three orders: order 2 is
+the id that followed the two ids before it when the block last had them; order 1 is the id that followed the one before it, at
+first the one that most often does so in the file; order 0 is the frequencies of the file's ids, which code whatever the other two
+miss. How much of the range orders 2 and 1 get is estimated adaptively in two ways, by what either has achieved lately and by
+how sure the file's successor is, and mixed by weights that each block learns from the errors of both. All blocks of a file are
+coded side by side, one id of each at a time, so the arithmetic runs over whole arrays, and in whole numbers throughout.
+
+Layout: MAGIC, then for four parts (header as JSON, documents, tables, blocks) a length (u32) and a CRC-32 (u32) and the bytes. Documents:
+doc_id (i64), null flags (u8) and counts (u32), deflated. Tables: by rank the id (u32), frequency (u32), successor's rank (u32) and sureness
+(u8), deflated. Blocks: for each block ids (u32), bytes (u32) and the ids' CRC-32 (u32), then the code.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import new_folder
 
-MAGIC = b"NLIDS01\n"
+MAGIC = b"NLIDS02\n"
 #: Ids of a block: as many as leave a file LANES blocks, within these bounds.
 BLOCK_IDS = (256, 2048)
 LANES = 512
@@ -36,187 +39,200 @@ LANES = 512
 FILE_IDS = 8_000_000
 END_ID = 1
 
-_ORDER1, _ORDER2 = 1024, 2048
-_CLASSES = 17  # bit lengths of ids under 2**16
-_TOTAL = np.uint64(16)
-_EVERY = 16  # ids after which frequencies follow the counts
-_HITS_MOST = 61440  # of 65536; the rest keeps every class codable
+_ORDER1, _ORDER2 = 1024, 2048  # slots of a block
+_CONTEXTS = 32
+_FREQUENCIES = 22  # bits of the frequencies' total
+_SURE = 16  # grades of sureness
+_HITS_MOST = 61440  # of 65536; the rest keeps every id codable
+_FINE = 12  # bits of the range's total beyond the 16 of a hit
+_TOTAL = np.uint64(16 + _FINE)
 _WORD = np.uint64(32)
-_TOP, _BOTTOM = np.uint64(2**32), np.uint64(2**24)
-
-MANIFEST_SCHEMA = "file string, first_doc bigint, documents bigint, ids bigint, bytes bigint"
+_TOP = np.uint64(2**32)
+_RATE = 5
+
+MANIFEST_SCHEMA = "file string, part int, roll int, first_doc bigint, documents bigint, ids bigint, bytes bigint"
+
+
+class Tables:
+    """What a file's blocks start from. Ids are known by their rank among the file's distinct ids."""
+
+    def __init__(self, ids: np.ndarray, frequency: np.ndarray, successor: np.ndarray, sure: np.ndarray):
+        self.ids, self.frequency, self.successor, self.sure = ids, frequency, successor, sure
+        self.running = np.concatenate([[0], np.cumsum(frequency, dtype=np.int64)])
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Tables, np.ndarray]:
+        """The tables of a file's ids, and the ids as ranks."""
+        known, rank, count = np.unique(ids, return_inverse=True, return_counts=True)
+        n, m = len(ids), len(known)
+        if not n:
+            return cls(*(np.zeros(0, np.uint32),) * 3, np.zeros(0, np.uint8)), np.zeros(0, np.int32)
+        frequency = 1 + count * (2**_FREQUENCIES - m) // n
+        frequency[count.argmax()] += 2**_FREQUENCIES - frequency.sum()
+        pair, seen = np.unique(rank[:-1] * m + rank[1:], return_counts=True)
+        order = np.lexsort((seen, pair // m))
+        last = order[np.append((pair // m)[order][1:] != (pair // m)[order][:-1], np.ones(min(len(order), 1), bool))]
+        successor, sure = np.zeros(m, np.uint32), np.zeros(m, np.uint8)
+        successor[pair[last] // m] = pair[last] % m
+        sure[pair[last] // m] = seen[last] * (_SURE - 1) // count[pair[last] // m]
+        return cls(known.astype(np.uint32), frequency.astype(np.uint32), successor, sure), rank.astype(np.int32)
+
+    def pack(self) -> bytes:
+        gaps = np.diff(self.ids, prepend=np.uint32(0))
+        return zlib.compress(b"".join([x.astype("<u4").tobytes() for x in (gaps, self.frequency, self.successor)] + [self.sure.tobytes()]))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Tables:
+        raw = zlib.decompress(data)
+        m = len(raw) // 13
+        gaps, frequency, successor = np.frombuffer(raw, "<u4", 3 * m).reshape(3, m)
+        return cls(np.cumsum(gaps, dtype=np.uint32), frequency, successor, np.frombuffer(raw, np.uint8, m, 12 * m))
 
 
 class _Model:
     """The state of all lanes (blocks); n is the number of lanes still running."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.table1 = np.zeros(lanes * _ORDER1, np.int64)  # id << 2 | confidence
-        self.table2 = np.zeros(lanes * _ORDER2, np.int64)
-        self.hit2 = np.full((2, lanes * 16), 16384, np.int64)  # by confidences; by the kind of the last id
-        self.hit1 = np.full((2, lanes * 16), 16384, np.int64)
-        self.counts = np.ones(lanes * _CLASSES, np.int32)  # of bit lengths
-        self.classes = np.zeros(lanes * (_CLASSES + 1), np.int64)  # their running frequencies, of 4096
-        self.row = self.lane * (_CLASSES + 1)
-        self.base1, self.base2, self.base16, self.base17 = (self.lane * k for k in (_ORDER1, _ORDER2, 16, _CLASSES))
-        self.steps = 0
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.kind = np.zeros(lanes, np.int64)
+    def __init__(self, lanes: int, tables: Tables):
+        lane = np.arange(lanes)
+        self.successor, self.sure = tables.successor.astype(np.int32), tables.sure.astype(np.int64)
+        self.table1 = np.zeros(lanes * _ORDER1, np.int32)  # (rank + 1) << 2 | confidence; 0: nothing yet
+        self.table2 = np.zeros(lanes * _ORDER2, np.int32)
+        self.base1, self.base2, self.base = lane * _ORDER1, lane * _ORDER2, lane * _CONTEXTS
+        # Estimates of hits, of 65536: by the states of both tables (5 x 5), and by sureness and whether both agree; where they start.
+        state = np.arange(_CONTEXTS)
+        two = np.array([256, 12000, 20000, 30000, 40000, 256, 256])[state // 5]
+        one = np.array([6000, 5000, 14000, 24000, 36000])[state % 5]
+        sure = np.minimum(state % _SURE * 65536 // _SURE + 1024, 60000)
+        self.hits2 = [np.tile(x, lanes).astype(np.int64) for x in (two, np.full(_CONTEXTS, 8000))]
+        self.hits1 = [np.tile(x, lanes).astype(np.int64) for x in (one, sure)]
+        self.weight2, self.weight1 = np.full(lanes, 192, np.int64), np.full(lanes, 128, np.int64)  # of the first estimate, of 256
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
     def predict(self, n: int) -> None:
         last = self.last[:n]
-        if self.steps % _EVERY == 0:
-            self._settle()
-        self.steps += 1
-        spread = last * 0x9E37
-        self.at1 = self.base1[:n] + (spread >> 5 & (_ORDER1 - 1))
-        self.at2 = self.base2[:n] + (spread + self.before[:n] * 0x6A09 >> 4 & (_ORDER2 - 1))
-        one, two = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.id1, self.id2, self.conf1, self.conf2 = one >> 2, two >> 2, one & 3, two & 3
-        self.by_conf = self.base16[:n] + self.conf2 * 4 + self.conf1
-        self.by_kind = self.base16[:n] + self.kind[:n]
-        self.old2 = self.hit2[0].take(self.by_conf), self.hit2[1].take(self.by_kind)
-        self.old1 = self.hit1[0].take(self.by_conf), self.hit1[1].take(self.by_kind)
-        self.f2 = np.minimum((3 * self.old2[0] + self.old2[1]) >> 2, _HITS_MOST - 2048) + 1
-        share1 = (3 * self.old1[0] + self.old1[1]) >> 2
-        self.f1 = np.minimum(((_HITS_MOST - self.f2) * (share1 >> 2) >> 14) + 1, _HITS_MOST - self.f2)
-        self.miss = 65536 - self.f2 - self.f1
-
-    def _settle(self) -> None:
-        """Makes frequencies of the counts, each at least 1; old counts fade."""
-        counts = self.counts.reshape(-1, _CLASSES)
-        running = np.cumsum(counts, axis=1, dtype=np.int64)
-        self.classes.reshape(-1, _CLASSES + 1)[:, 1:] = running * (4096 - _CLASSES) // running[:, -1:] + np.arange(1, _CLASSES + 1)
-        if self.steps % (16 * _EVERY) == 0:
-            counts -= counts >> 1
-
-    def update(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, kind: np.ndarray) -> None:
-        for table, at, known, conf in ((self.table1, self.at1, self.id1, self.conf1), (self.table2, self.at2, self.id2, self.conf2)):
-            same = known == ids
-            table[at] = np.where(same, known << 2 | np.minimum(conf + 1, 3), np.where(conf > 0, known << 2 | (conf - 1), ids << 2))
-        goal2, goal1 = np.where(hit2, 65535, 0), np.where(hit1, 65535, 0)
-        missed2 = np.flatnonzero(~hit2)
-        for k, at in ((0, self.by_conf), (1, self.by_kind)):
-            self.hit2[k][at] = self.old2[k] + ((goal2 - self.old2[k]) >> 4)
-            old = self.old1[k][missed2]
-            self.hit1[k][at[missed2]] = old + ((goal1[missed2] - old) >> 4)
-        missed = np.flatnonzero(~(hit1 | hit2))
-        self.counts[self.base17[missed] + kind[missed]] += 16
-        self.before[:n], self.last[:n] = self.last[:n], ids
-        self.kind[:n] = np.minimum(kind, 15)
-
-
-_BIT_LENGTH = np.frexp(np.arange(2**16, dtype=np.float64))[1].astype(np.int64)
-
-
-def _kind(ids: np.ndarray) -> np.ndarray:
-    return _BIT_LENGTH[ids]
+        spread = last * np.int64(0x9E3779B1)
+        self.at1 = self.base1[:n] + (spread >> 9 & (_ORDER1 - 1))
+        self.at2 = self.base2[:n] + ((spread + self.before[:n] * np.int64(0x6A09E667)) >> 11 & (_ORDER2 - 1))
+        self.slot1, self.slot2 = one, two = self.table1.take(self.at1), self.table2.take(self.at2)
+        self.id1 = np.where(one > 0, (one >> 2) - 1, self.successor.take(last))
+        self.id2 = (two >> 2) - 1
+        self.conf1, self.conf2 = one & 3, two & 3
+        states = (self.conf2 + (two > 0)) * 5 + self.conf1 + (one > 0)
+        self.contexts = self.base[:n] + states, self.base[:n] + self.sure.take(last) + _SURE * (self.id1 == self.id2)
+        self.old2 = [h.take(at) for h, at in zip(self.hits2, self.contexts, strict=True)]
+        self.old1 = [h.take(at) for h, at in zip(self.hits1, self.contexts, strict=True)]
+        w2, w1 = self.weight2[:n], self.weight1[:n]
+        share2 = self.old2[1] + ((self.old2[0] - self.old2[1]) * w2 >> 8)
+        share1 = self.old1[1] + ((self.old1[0] - self.old1[1]) * w1 >> 8)
+        self.f2 = np.where(two > 0, np.minimum(share2, _HITS_MOST - 4096), 0) + 1
+        self.hits = self.f2 + ((_HITS_MOST - self.f2) * share1 >> 16) + 1
+        self.miss = 65536 - self.hits
+
+    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        fresh = (x + 1) << 2
+        for table, at, slot, conf, same in ((self.table1, self.at1, self.slot1, self.conf1, self.id1 == x), (self.table2, self.at2, self.slot2, self.conf2, hit2)):
+            table[at] = np.where(same, fresh | np.minimum(conf + 1, 3), np.where(conf > 0, slot - 1, fresh))
+        goal = hit2 * np.int64(65535)
+        off = [goal - old for old in self.old2]
+        for hits, at, old, d in zip(self.hits2, self.contexts, self.old2, off, strict=True):
+            hits[at] = old + (d >> _RATE)
+        self.weight2[:n] = np.clip(self.weight2[:n] + ((np.abs(off[1]) - np.abs(off[0])) >> 12), 8, 248)
+        missed = np.flatnonzero(~hit2)
+        goal = hit1[missed] * np.int64(65535)
+        off = [goal - old[missed] for old in self.old1]
+        for hits, at, old, d in zip(self.hits1, self.contexts, self.old1, off, strict=True):
+            hits[at[missed]] = old[missed] + (d >> _RATE)
+        self.weight1[missed] = np.clip(self.weight1[missed] + ((np.abs(off[1]) - np.abs(off[0])) >> 12), 8, 248)
+        self.before[:n], self.last[:n] = self.last[:n], x
 
 
 def block_size(n_ids: int) -> int:
     return min(max(n_ids // LANES, BLOCK_IDS[0]), BLOCK_IDS[1])
 
 
-def encode_blocks(ids: np.ndarray, block_ids: int = BLOCK_IDS[1]) -> list[bytes]:
-    """The code of each block of ids (under 2**16)."""
-    lanes = -(-len(ids) // block_ids)
+def _narrow(low: np.ndarray, size: np.ndarray, start: np.ndarray, width: np.ndarray, n: int) -> np.ndarray:
+    """Narrows the ranges of the first n lanes; returns the lanes whose upper word is settled. A range that is short but straddles a word's edge is cut there."""
+    unit = size[:n] >> _TOTAL
+    low[:n] += unit * start.astype(np.uint64)
+    size[:n] = unit * width.astype(np.uint64)
+    out = np.flatnonzero(size[:n] < _TOP)
+    begin, length = low[out], size[out]
+    straddles = (begin ^ (begin + length)) >= _TOP
+    if straddles.any():
+        size[out[straddles]] = (~begin[straddles] + np.uint64(1)) & (_TOP - np.uint64(1))
+    return out
+
+
+def encode_blocks(ranks: np.ndarray, tables: Tables, block_ids: int = BLOCK_IDS[1]) -> list[bytes]:
+    """The code of each block of ranks."""
+    lanes = -(-len(ranks) // block_ids)
     if not lanes:
         return []
-    if ids.max() >= 2**16:
-        raise ValueError("ids must be under 2**16")
-    short = len(ids) - (lanes - 1) * block_ids
-    padded = np.zeros(lanes * block_ids, np.int64)
-    padded[: len(ids)] = ids
+    short = len(ranks) - (lanes - 1) * block_ids
+    padded = np.zeros(lanes * block_ids, np.int32)
+    padded[: len(ranks)] = ranks
     grid = np.ascontiguousarray(padded.reshape(lanes, block_ids).T)
-    model = _Model(lanes)
+    model, running = _Model(lanes, tables), tables.running
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, count = np.zeros((lanes, block_ids + 16), np.uint32), np.zeros(lanes, np.int64)
-
-    def put(n: int, start: np.ndarray, width: np.ndarray) -> None:
-        unit = size[:n] >> _TOTAL
-        low[:n] += unit * start.astype(np.uint64)
-        size[:n] = unit * width.astype(np.uint64)
-        settled = (low[:n] ^ (low[:n] + size[:n])) < _TOP
-        small = ~settled & (size[:n] < _BOTTOM)
-        if small.any():
-            at = np.flatnonzero(small)
-            size[at] = (~low[at] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        out = np.flatnonzero(settled | small)
-        words[out, count[out]] = low[out] >> _WORD
-        count[out] += 1
-        low[out] <<= _WORD
-        size[out] <<= _WORD
-
-    for t in range(min(block_ids, len(ids)) if lanes == 1 else block_ids):
+    for t in range(min(block_ids, len(ranks)) if lanes == 1 else block_ids):
         n = lanes if t < short else lanes - 1
         x = grid[t, :n]
         model.predict(n)
         hit2 = model.id2 == x
         hit1 = ~hit2 & (model.id1 == x)
-        kind = _kind(x)
-        at = model.row[:n] + kind
-        a, b = model.miss * model.classes.take(at) >> 12, model.miss * model.classes.take(at + 1) >> 12
-        base = model.f2 + model.f1
-        put(n, np.where(hit2, 0, np.where(hit1, model.f2, base + a)), np.where(hit2, model.f2, np.where(hit1, model.f1, b - a)))
-        bits = np.where(hit1 | hit2, 0, np.maximum(kind - 1, 0))
-        put(n, (x & ((1 << bits) - 1)) << (16 - bits), 1 << (16 - bits))
-        model.update(n, x, hit2, hit1, kind)
-    words[model.lane, count], words[model.lane, count + 1] = low >> _WORD, low & np.uint64(0xFFFFFFFF)
+        fine, miss = model.hits << _FINE, model.miss
+        start, end = fine + (miss * running.take(x) >> _FREQUENCIES - _FINE), fine + (miss * running.take(x + 1) >> _FREQUENCIES - _FINE)
+        f2 = model.f2 << _FINE
+        start = np.where(hit2, 0, np.where(hit1, f2, start))
+        end = np.where(hit2, f2, np.where(hit1, fine, end))
+        out = _narrow(low, size, start, end - start, n)
+        words[out, count[out]] = low[out] >> _WORD
+        count[out] += 1
+        low[out] <<= _WORD
+        size[out] <<= _WORD
+        model.update(n, x, hit2, hit1)
+    lane = np.arange(lanes)
+    words[lane, count], words[lane, count + 1] = low >> _WORD, low & np.uint64(0xFFFFFFFF)
     return [words[k, : count[k] + 2].astype("<u4").tobytes() for k in range(lanes)]
 
 
-def decode_blocks(codes: list[bytes], sizes: np.ndarray) -> np.ndarray:
-    """The ids of all blocks in a row; only the last block may be shorter than the others."""
+def decode_blocks(codes: list[bytes], sizes: np.ndarray, tables: Tables) -> np.ndarray:
+    """The ranks of all blocks in a row; only the last block may be shorter than the others."""
     lanes = len(codes)
     if not lanes:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.int32)
     block_ids, short = int(sizes[0]), int(sizes[-1])
     n_words = np.array([len(c) // 4 for c in codes])
-    words = np.zeros((lanes, int(n_words.max()) + 2), np.uint64)
+    words = np.zeros((lanes, int(n_words.max()) + 2), np.uint32)
     for k, c in enumerate(codes):
         words[k, : n_words[k]] = np.frombuffer(c, "<u4")
-    model = _Model(lanes)
+    model, running = _Model(lanes, tables), tables.running
+    rank_at = np.repeat(np.arange(len(tables.ids), dtype=np.int32), tables.frequency)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code, at = words[:, 0] << _WORD | words[:, 1], np.full(lanes, 2)
-    out = np.zeros((block_ids, lanes), np.int64)
-
-    def take(n: int, start: np.ndarray, width: np.ndarray) -> None:
-        unit = size[:n] >> _TOTAL
-        low[:n] += unit * start.astype(np.uint64)
-        size[:n] = unit * width.astype(np.uint64)
-        settled = (low[:n] ^ (low[:n] + size[:n])) < _TOP
-        small = ~settled & (size[:n] < _BOTTOM)
-        if small.any():
-            k = np.flatnonzero(small)
-            size[k] = (~low[k] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        k = np.flatnonzero(settled | small)
+    code, at = words[:, 0].astype(np.uint64) << _WORD | words[:, 1], np.full(lanes, 2)
+    out = np.zeros((block_ids, lanes), np.int32)
+    for t in range(block_ids):
+        n = lanes if t < short else lanes - 1
+        model.predict(n)
+        v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(2 ** int(_TOTAL) - 1)).astype(np.int64)
+        f2, fine, miss = model.f2 << _FINE, model.hits << _FINE, model.miss
+        hit2 = v < f2
+        hit1 = ~hit2 & (v < fine)
+        place = ((np.maximum(v - fine, 0) + 1 << _FREQUENCIES - _FINE) - 1) // miss  # the last frequency that begins at or before v
+        x = np.where(hit2, model.id2, np.where(hit1, model.id1, rank_at.take(place, mode="clip")))
+        start, end = fine + (miss * running.take(x) >> _FREQUENCIES - _FINE), fine + (miss * running.take(x + 1) >> _FREQUENCIES - _FINE)
+        start = np.where(hit2, 0, np.where(hit1, f2, start))
+        end = np.where(hit2, f2, np.where(hit1, fine, end))
+        k = _narrow(low, size, start, end - start, n)
         code[k] = code[k] << _WORD | words[k, np.minimum(at[k], words.shape[1] - 1)]
         at[k] += 1
         low[k] <<= _WORD
         size[k] <<= _WORD
-
-    for t in range(block_ids):
-        n = lanes if t < short else lanes - 1
-        model.predict(n)
-        v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(65535)).astype(np.int64)
-        base = model.f2 + model.f1
-        hit2, hit1 = v < model.f2, (v >= model.f2) & (v < base)
-        rest, row, kind = v - base, model.row[:n], np.zeros(n, np.int64)
-        for step in (16, 8, 4, 2, 1):  # the last class that begins at or before the rest
-            to = np.minimum(kind + step, _CLASSES)
-            kind = np.where((kind + step < _CLASSES) & (model.miss * model.classes.take(row + to) >> 12 <= rest), to, kind)
-        a, b = model.miss * model.classes.take(row + kind) >> 12, model.miss * model.classes.take(row + kind + 1) >> 12
-        take(n, np.where(hit2, 0, np.where(hit1, model.f2, base + a)), np.where(hit2, model.f2, np.where(hit1, model.f1, b - a)))
-        bits = np.where(hit1 | hit2, 0, np.maximum(kind - 1, 0))
-        v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(65535)).astype(np.int64) >> (16 - bits)
-        take(n, v << (16 - bits), 1 << (16 - bits))
-        x = np.where(hit2, model.id2, np.where(hit1, model.id1, np.where(kind > 0, (1 << np.maximum(kind - 1, 0)) | v, 0)))
-        model.update(n, x, hit2, hit1, _kind(x))
+        model.update(n, x, hit2, hit1)
         out[t, :n] = x
     flat = np.ascontiguousarray(out.T).reshape(-1)
-    return flat[: (lanes - 1) * block_ids + short].astype(np.uint32)
+    return flat[: (lanes - 1) * block_ids + short]
 
 
 def pack_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -226,13 +242,14 @@ def pack_file(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     known = np.array([0 if x is None else x for x in doc_ids], "<i8")
     null = np.array([x is None for x in doc_ids], np.uint8)
     documents = zlib.compress(known.tobytes() + null.tobytes() + counts.astype("<u4").tobytes())
-    codes = encode_blocks(ids, block_ids)
+    tables, ranks = Tables.of(ids)
+    codes = encode_blocks(ranks, tables, block_ids)
     table = b"".join(
         np.array([len(part), len(code), zlib.crc32(part.astype("<u4"))], "<u4").tobytes()
         for code, part in zip(codes, (ids[k : k + block_ids] for k in range(0, len(ids), block_ids)), strict=True)
     )
     out = [MAGIC]
-    for part in (header, documents, table + b"".join(codes)):
+    for part in (header, documents, tables.pack(), table + b"".join(codes)):
         out += [np.array([len(part), zlib.crc32(part)], "<u4").tobytes(), part]
     return b"".join(out)
 
@@ -242,7 +259,7 @@ def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a file of ids")
     at, parts = len(MAGIC), []
-    for _ in range(3):
+    for _ in range(4):
         size, crc = np.frombuffer(data, "<u4", 2, at).tolist()
         part = data[at + 8 : at + 8 + size]
         if zlib.crc32(part) != crc:
@@ -254,9 +271,10 @@ def unpack_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     raw = zlib.decompress(parts[1])
     known, null, counts = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, np.uint8, n, 8 * n), np.frombuffer(raw, "<u4", n, 9 * n)
     lanes = -(-header["ids"] // header["block_ids"])
-    table = np.frombuffer(parts[2], "<u4", 3 * lanes).reshape(-1, 3).astype(np.int64)
+    tables, code = Tables.unpack(parts[2]), parts[3]
+    table = np.frombuffer(code, "<u4", 3 * lanes).reshape(-1, 3).astype(np.int64)
     ends = 12 * lanes + np.cumsum(table[:, 1])
-    ids = decode_blocks([parts[2][e - s : e] for s, e in zip(table[:, 1].tolist(), ends.tolist(), strict=True)], table[:, 0])
+    ids = tables.ids.take(decode_blocks([code[e - s : e] for s, e in zip(table[:, 1].tolist(), ends.tolist(), strict=True)], table[:, 0], tables))
     edges = np.cumsum(table[:, 0])
     for size, end, crc in zip(table[:, 0].tolist(), edges.tolist(), table[:, 2].tolist(), strict=True):
         if zlib.crc32(ids[end - size : end].astype("<u4")) != crc:
@@ -277,6 +295,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         encode = tokens.encoder(tokenizer, tokens.cut_at_whitespace).encode
+        part = TaskContext.get().partitionId()  # ranges in order
         docs: list = []
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -290,7 +309,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
                 with store.open_output_stream(f"{root}/{name}.tmp", compression=None) as out:
                     out.write(data)
                 store.move(f"{root}/{name}.tmp", f"{root}/{name}")
-                done.append((name, docs[0], len(docs), len(all_ids), len(data)))
+                done.append((name, part, len(done), docs[0], len(docs), len(all_ids), len(data)))
                 docs.clear(), held.clear(), counts.clear()
 
         for batch in (part for whole in batches for part in tokens.slices(whole)):
@@ -302,7 +321,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
                 close()
         close()
         if done:
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names=[x.split()[0] for x in MANIFEST_SCHEMA.split(", ")])
 
     rows = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -311,12 +330,9 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of the manifest alone.
-
-    Files of one doc_id that rolled keep their order by size of the range: repeated ids may trade starts among each other.
-    """
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files of the manifest alone, in the order in which they were written."""
     manifest = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{folder}/manifest")
-    before = W.orderBy(F.asc_nulls_first("first_doc"), "file").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
+    before = W.orderBy("part", "roll").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
     files = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
