@@ -1,12 +1,12 @@
 """Cropped and edited copies of images by local descriptors.
 
 Corners (Harris) are found on several scales; each gets an orientation from its patch's centre of brightness and
-256 binary tests in a pattern turned by it. Two descriptors that differ in fewer bits than there are bands agree on a
-band, so the tables of all bands join those within that Hamming distance. A pair of matched corners proposes
-a turn, a scale and a shift; images are linked where enough distinct corners propose the same. In a table's
-bucket images are first held against hubs: against the smallest image, then against the smallest of what is not
+256 binary tests in a pattern turned by it. Each of the tables holds one band of the bits; descriptors that differ in fewer bits than
+there are tables agree on a band for certain, others mostly. Those that meet in a table match if their Hamming distance on all bits is
+small enough. A pair of matched corners proposes a turn, a scale and a shift; images are linked where enough distinct corners propose
+the same. In a table's bucket images are first held against hubs: against the smallest image, then against the smallest of what is not
 yet in its class. What still lies in different classes is then held all against all, in blocks of bounded size, so classes
-are those of all pairs.
+are those of all pairs that meet.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, release
 from .components import connected
-from .wordhash import mix
 
 SIDE = 64
 #: Scales, and how many of the strongest corners are described on each.
-SCALES = {1.0: 12, 0.75: 6, 0.5: 6}
-BITS, BANDS = 256, 4
+SCALES = {1.0: 16, 0.75: 12, 0.5: 8}
+BITS, BANDS, WORDS = 256, 8, 4
+#: Bits in which matching descriptors differ at most.
+DISTANCE = 40
 RADIUS = 11
 MIN_VOTES = 4
 #: Rounds against hubs before the rest of the buckets is compared.
@@ -36,8 +37,8 @@ BLOCK_ROWS = 512
 #: Bins of a proposal: degrees, halves of scale doublings, pixels.
 TURN_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.5, 10.0
 
-#: Of each image the tables' keys of all corners, BANDS in a row, and the corners' places.
-_POINTS = "image_id bigint, digest string, buckets array<bigint>, places array<int>"
+#: Of each image the tables' keys of all corners, BANDS in a row, the corners' places, and their bits, WORDS in a row.
+_POINTS = "image_id bigint, digest string, buckets array<bigint>, places array<int>, bits array<bigint>"
 
 
 def _pattern() -> np.ndarray:
@@ -128,15 +129,16 @@ def render(values: np.ndarray) -> np.ndarray:
     return np.rint(255 * (a - low) / np.maximum(high - low, 1e-9))
 
 
-def keyed(corners: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of all tables and the places (x, y, angle and scale in one number) of an image's corners."""
+def keyed(corners: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all tables, the places (x, y, angle and scale in one number) and the bits of an image's corners."""
     x, y, angle, scale, bits = corners
-    words = np.ascontiguousarray(bits).view(">u8").reshape(len(x), BANDS).astype(np.uint64)
-    buckets = mix(mix(words) + np.arange(BANDS, dtype=np.uint64)).view(np.int64).ravel()
+    bits = np.ascontiguousarray(bits)
+    bands = bits.view(">u4").reshape(len(x), BANDS).astype(np.int64)
+    buckets = (bands * BANDS + np.arange(BANDS)).ravel()
     step = np.array([list(SCALES).index(s) for s in scale], np.int64)
     turn = np.rint(angle / (2 * np.pi) * 256).astype(np.int64) % 256
     places = ((np.rint(x).astype(np.int64).clip(0, 127) * 128 + np.rint(y).astype(np.int64).clip(0, 127)) * 256 + turn) * 4 + step
-    return buckets, places.astype(np.int32)
+    return buckets, places.astype(np.int32), bits.view(">i8").astype(np.int64).ravel()
 
 
 def points(rows: DataFrame, image_id: str = "image_id", grid: str = "grid") -> DataFrame:
@@ -146,12 +148,12 @@ def points(rows: DataFrame, image_id: str = "image_id", grid: str = "grid") -> D
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             lists = batch.column(1).to_pylist()
             good = [k for k, v in enumerate(lists) if v is not None and len(v) == 64 and all(x is not None and abs(x) < 1e30 for x in v)]
-            out: list[tuple] = [(None, [], [])] * len(lists)
+            out: list[tuple] = [(None, [], [], [])] * len(lists)
             if good:
                 shown = render(np.array([lists[k] for k in good], float))
                 for k, image, corners in zip(good, shown, describe(shown), strict=True):
                     out[k] = (hashlib.sha256(image.astype(np.uint8).tobytes()).hexdigest(), *keyed(corners))
-            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in _POINTS.split(", ")])
 
     return rows.select(F.col(image_id).cast("long"), grid).mapInArrow(run, _POINTS)
@@ -183,6 +185,11 @@ def _consensus(matches: DataFrame) -> DataFrame:
     return votes.filter(F.col("votes") >= MIN_VOTES).select("u", "v").distinct()
 
 
+def _near(u: str, v: str) -> Column:
+    """Whether the bits of two corners differ little enough."""
+    return F.expr(" + ".join(f"bit_count({u}.w{k} ^ {v}.w{k})" for k in range(WORDS))) <= DISTANCE
+
+
 def _rest(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Matches, in both directions, of all images that share a bucket and lie in different components. A large bucket's rows are cut into blocks by a hash, and each block meets each other one by a key of its own."""
     placed = shared.join(parts, F.col("image_id") == F.col("key"), "left").withColumn("component", F.coalesce("component", "image_id")).drop("key")
@@ -194,9 +201,10 @@ def _rest(shared: DataFrame, parts: DataFrame) -> DataFrame:
     # Whoever proposes needs as many distinct corners in such buckets.
     enough = placed.groupBy("image_id").agg(F.count_distinct(F.expr("place div 1024")).alias("n")).filter(F.col("n") >= MIN_VOTES).select("image_id")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    one = placed.join(enough, "image_id").select("bucket", F.col("block").alias("i"), blocks.alias("j"), F.col("image_id").alias("u"), F.col("place").alias("place_u"), F.col("component").alias("cu"))
-    two = placed.select("bucket", blocks.alias("i"), F.col("block").alias("j"), F.col("image_id").alias("v"), F.col("place").alias("place_v"), F.col("component").alias("cv"))
-    return one.join(two, ["bucket", "i", "j"]).filter("cu <> cv").select("u", "v", "place_u", "place_v")
+    one = placed.join(enough, "image_id").select("*", F.col("block").alias("i"), blocks.alias("j")).alias("a")
+    two = placed.select("*", blocks.alias("i"), F.col("block").alias("j")).alias("b")
+    met = one.join(two, ["bucket", "i", "j"]).filter(F.expr("a.component <> b.component") & _near("a", "b"))
+    return met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
 
 
 def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -208,9 +216,17 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     same = described.groupBy("digest").agg(F.min("image_id").alias("one")).filter("digest IS NOT NULL AND one IS NOT NULL")
     lone = described.join(same.withColumnRenamed("digest", "d"), F.expr("digest = d AND image_id = one"), "left_semi").dropDuplicates(["image_id"])
     lone = materialize(lone, "images")
-    corners = lone.select("image_id", "places", F.posexplode("buckets").alias("k", "bucket")).select("bucket", "image_id", F.get("places", F.expr(f"cast(k div {BANDS} AS int)")).alias("place"))
-    several = corners.groupBy("bucket").agg(F.min("image_id").alias("a"), F.max("image_id").alias("b")).filter("a <> b").select("bucket")
-    shared = materialize(corners.join(several, "bucket"), "corners")
+    narrow = lone.select("image_id", F.posexplode("buckets").alias("k", "bucket")).select("bucket", "image_id", F.expr(f"cast(k div {BANDS} AS int)").alias("corner")).repartition("bucket")
+    # All columns are used here, so the shuffle is shared with the join below. An image has few rows of a bucket, so one holds a small part of all rows.
+    several = narrow.groupBy("bucket").agg(F.min("image_id").alias("a"), F.max("image_id").alias("b"), F.count("corner").alias("n")).filter("a <> b AND n > 1").select("bucket")
+    keys = materialize(narrow.join(several.hint("merge"), "bucket"), "keys")
+    release(described.sparkSession)
+    # The bits come only to corners whose keys are shared.
+    found = keys.join(lone.select("image_id", "places", "bits"), "image_id")
+    words = [F.get("bits", F.col("corner") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]
+    shared = materialize(found.select("bucket", "image_id", F.get("places", "corner").alias("place"), *words), "corners")
+    discard(keys)
+    release(described.sparkSession)
     links = parts = None
     for _ in range(rounds):
         # The hub of a bucket: in the first round its smallest image, later the smallest outside of the smallest component.
@@ -222,12 +238,14 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             least = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
             hubs = placed.join(least, "bucket").filter("component <> a").groupBy("bucket").agg(F.min("image_id").alias("hub"))
         with_hub = placed.join(hubs, "bucket")
-        centre = with_hub.filter("image_id = hub").select("bucket", F.col("image_id").alias("v"), F.col("place").alias("place_v"), F.col("component").alias("c"))
-        matches = with_hub.select("bucket", F.col("image_id").alias("u"), F.col("place").alias("place_u"), "component").join(centre, "bucket").filter("component <> c")
+        met = with_hub.alias("a").join(with_hub.filter("image_id = hub").alias("b"), "bucket").filter(F.expr("a.component <> b.component") & _near("a", "b"))
+        matches = met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
         new = materialize(_consensus(matches), "links")
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
+        release(described.sparkSession)
     parts = connected(links.unionByName(materialize(_consensus(_rest(shared, parts)), "links")))
+    discard(shared)
     rows = described.select("image_id", "digest", F.size("places").cast("long").alias("n_points")).join(same, "digest", "left")
     return rows.join(parts, F.col("one") == F.col("key"), "left").select("image_id", F.coalesce("component", "one", "image_id").alias("class_id"), "n_points")
 

@@ -150,16 +150,88 @@ def test_toxicity_without_usable_labels(spark):
 # --- image descriptors
 
 
+def turned(image, degrees, scale=1.0):
+    """The image turned about its centre and scaled, by bilinear interpolation."""
+    n = image.shape[0]
+    c = (n - 1) / 2
+    y, x = np.mgrid[:n, :n] - c
+    t = np.deg2rad(degrees)
+    u, v = ((np.cos(t) * x - np.sin(t) * y) / scale + c).clip(0, n - 1.001), ((np.sin(t) * x + np.cos(t) * y) / scale + c).clip(0, n - 1.001)
+    i, j = u.astype(int), v.astype(int)
+    a, b = u - i, v - j
+    return image[j, i] * (1 - a) * (1 - b) + image[j, i + 1] * a * (1 - b) + image[j + 1, i] * (1 - a) * b + image[j + 1, i + 1] * a * b
+
+
+EDITS = {
+    "turned by 10 degrees": lambda m, rng: turned(m, 10),
+    "turned by 90 degrees": lambda m, rng: np.rot90(m).copy(),
+    "less a border": lambda m, rng: m[8:56, 8:56],
+    "less a quarter of each side": lambda m, rng: m[:48, :48],
+    "noise": lambda m, rng: np.clip(m + rng.normal(size=m.shape) * 8, 0, 255),
+    "at three quarters": lambda m, rng: images._scaled(m[None], 0.75)[0],
+    "brighter": lambda m, rng: np.clip(m * 0.8 + 20, 0, 255),
+}
+
+
+def image_rows(shown):
+    rows = []
+    for k, image in enumerate(shown):
+        buckets, places, bits = images.keyed(images.describe(image[None])[0])
+        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), buckets.tolist(), places.tolist(), bits.tolist()))
+    return rows
+
+
+def brute_classes(rows):
+    """All pairs of images, all pairs of their corners: those on a common key and within the distance propose; components of the links."""
+    sizes = list(images.SCALES)
+    parts = {r[0]: r[0] for r in rows}
+    links = []
+    for one in rows:
+        for two in rows:
+            if one[0] == two[0]:
+                continue
+            (b1, p1, w1), (b2, p2, w2) = ((np.array(r[2]).reshape(-1, images.BANDS), np.array(r[3]), np.array(r[4], np.int64).view(np.uint64).reshape(-1, images.WORDS)) for r in (one, two))
+            if not len(p1) or not len(p2):
+                continue
+            near = np.bitwise_count(w1[:, None] ^ w2[None]).sum(-1) <= images.DISTANCE
+            i, j = np.nonzero((b1[:, None] == b2[None]).any(-1) & near)
+            xu, yu, tu, su = p1[i] // 131072 % 128, p1[i] // 1024 % 128, p1[i] // 4 % 256, p1[i] % 4
+            xv, yv, tv, sv = p2[j] // 131072 % 128, p2[j] // 1024 % 128, p2[j] // 4 % 256, p2[j] % 4
+            angle = (tv - tu) * (360 / 256)
+            ratio = np.array([sizes[a] / sizes[b] for a, b in zip(su, sv)])
+            c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+            sx, sy = xv - ratio * (c * xu - s * yu), yv - ratio * (s * xu + c * yu)
+            for half in (0.0, 0.5):
+                bins = defaultdict(set)
+                for k in range(len(i)):
+                    key = (
+                        math.floor((angle[k] % 360) / images.TURN_BIN + half) % int(360 / images.TURN_BIN), math.floor(math.log2(ratio[k]) / images.SCALE_BIN + half),
+                        math.floor(sx[k] / images.SHIFT_BIN + half), math.floor(sy[k] / images.SHIFT_BIN + half),
+                    )
+                    bins[key].add(int(p1[i[k]]) // 1024)
+                if any(len(v) >= images.MIN_VOTES for v in bins.values()):
+                    links.append((one[0], two[0]))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(parts[a], parts[b])
+            changed |= parts[a] != m or parts[b] != m
+            parts[a] = parts[b] = m
+    return parts
+
+
 def test_edited_and_cropped_copies_share_a_class(spark):
+    """Recall by kind of edit, and the classes of all pairs."""
     rng = np.random.default_rng(3)
-    shown = images.render(rng.normal(size=(6, 64)))
-    edits = [shown[0][8:, 4:58], np.clip(shown[1] * 0.8 + 20, 0, 255), shown[2] + rng.normal(size=shown[2].shape) * 3]
-    rows = []
-    for k, image in enumerate([*shown, *edits]):
-        buckets, places = images.keyed(images.describe(image[None])[0])
-        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), buckets.tolist(), places.tolist()))
+    shown = images.render(rng.normal(size=(20, 64)))
+    edited = [f(m, rng) for f in EDITS.values() for m in shown]
+    rows = image_rows([*shown, *edited])
     found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS)).collect()}
-    assert found == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 2}
+    assert found == brute_classes(rows)
+    assert len({found[k] for k in range(20)}) == 20
+    recall = {name: np.mean([found[20 * (e + 1) + k] == found[k] for k in range(20)]) for e, name in enumerate(EDITS)}
+    assert min(recall.values()) >= 0.9, recall
 
 
 @pytest.mark.parametrize("block", [512, 5])
@@ -168,7 +240,8 @@ def test_classes_of_mixed_buckets_are_those_of_all_pairs(spark, monkeypatch, blo
     # Six groups of two; every image has a corner in each common bucket at a place of its own, and pairs share their other places.
     rng = np.random.default_rng(9)
     spots = [[(int(x) * 128 + int(y)) * 1024 for x, y in rng.integers(0, 127, (6, 2))] for _ in range(6)]
-    rows = [(k, str(k), [b for c in range(6) for b in (c, -1 - 4 * k, -2 - 4 * k, -3 - 4 * k)], spots[k % 6]) for k in range(12)]
+    n = images.BANDS
+    rows = [(k, str(k), [b for c in range(6) for b in (c, *(-1 - n * k - i for i in range(n - 1)))], spots[k % 6], [0] * (6 * images.WORDS)) for k in range(12)]
     found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS)).collect()}
     assert found == {k: k % 6 for k in range(12)}
 
