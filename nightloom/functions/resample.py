@@ -52,7 +52,7 @@ def resample(image: np.ndarray, mapping: Mapping, shape: tuple[int, int], strict
             pu, pv = cu + du, cv + dv
             d = np.einsum("...ij,...j->...i", inverse, np.stack([pu - u, pv - v], -1))
             r2 = (d**2).sum(-1)
-            w = np.where(r2 <= 8, np.exp(-2 * r2 / KERNEL_WIDTH**2), 0)
+            w = np.where(r2 <= 8 + 1e-9, np.exp(-2 * r2 / KERNEL_WIDTH**2), 0)
             if cyclic:
                 pu = pu % nx
             inside = (pu >= 0) & (pu < nx) & (pv >= 0) & (pv < ny)
@@ -77,6 +77,29 @@ def affine(turn: float, scale: float, centre_in: tuple[float, float], centre_out
     )
 
 
+def convolved(image: np.ndarray, taps: list[tuple[int, int, float]]) -> np.ndarray:
+    """Each pixel spread over (dy, dx, weight), zero outside of the image; a missing pixel spreads over all of them."""
+    reach = max(max(abs(dy), abs(dx)) for dy, dx, _ in taps)
+    p = np.pad(image, reach)
+    ny, nx = image.shape
+    out = np.zeros(image.shape)
+    for dy, dx, w in taps:
+        out += w * p[reach - dy : reach - dy + ny, reach - dx : reach - dx + nx]
+    return out
+
+
+def gaussian_taps(width: float, shift_y: float = 0.0, shift_x: float = 0.0, reach: int = 2) -> list[tuple[int, int, float]]:
+    """Weights exp(-2 r^2 / width^2) about a shifted centre, of sum 1."""
+    raw = [(dy, dx, np.exp(-2 * ((dx - shift_x) ** 2 + (dy - shift_y) ** 2) / width**2)) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+    total = sum(w for _, _, w in raw)
+    return [(dy, dx, float(w / total)) for dy, dx, w in raw]
+
+
+def blurred(image: np.ndarray) -> np.ndarray:
+    """The image blurred as two rounds of resampling do."""
+    return convolved(image, gaussian_taps(KERNEL_WIDTH * 2**0.5))
+
+
 def closed(mask: np.ndarray, rounds: int) -> np.ndarray:
     """Binary closing by a cross, so many dilations and then erosions; beyond the edge nothing is set for the one and everything for the other."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nightloom.functions import wcs
 from nightloom.functions.resample import affine
-from nightloom.operators import frames, geometry, resample, stack, stars
+from nightloom.operators import frames, geometry, resample, sky, stack, stars
 from nightloom.sources import catalog, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def _clip_sql(samples: str, key: str, n_sigma: float, min_size: int) -> str:
     + " SELECT p.y::INT AS y, p.x::INT AS x, round(CASE WHEN f.n >= 10 THEN m END, 8) AS value, p.n FROM (SELECT y, x, count(*) AS n FROM s GROUP BY y, x) p LEFT JOIN f USING (y, x)"
 )
 def map_clip_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "clipped_mean", groups=["y"], n_sigma=2.0, min_size=10), "value")
+    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "clipped_mean", n_sigma=2.0, min_size=10), "value")
 
 
 @query(_clip_sql("SELECT event_type, value AS v FROM events", "event_type", 3.0, 10) + " SELECT event_type, round(CASE WHEN n >= 10 THEN m END, 6) AS value, n AS kept FROM f")
@@ -95,7 +95,8 @@ def clip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def clip_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("double").alias("v"))
-    return _round(stack.kernel_map(rows, "clipped_mean", keys=["l_suppkey"], n_sigma=2.0, min_size=10), "value", digits=4)
+    found = stack.clip_by_rounds(rows, "l_suppkey", 2.0, 10).join(rows.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")), "l_suppkey")
+    return _round(found.select("l_suppkey", "value", "n"), "value", digits=4)
 
 
 @query(
@@ -108,17 +109,17 @@ def stack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def map_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "gaussian", groups=["y"]), "value", digits=5)
+    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "gaussian"), "value", digits=5)
 
 
 @query()
 def map_gaussian_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "gaussian_amplitude", groups=["y"]), "value", digits=5)
+    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "gaussian_amplitude"), "value", digits=5)
 
 
 @query()
 def map_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "skew_gaussian", groups=["y"]), "value", digits=4)
+    return _round(stack.kernel_map(tables.samples(spark, sf_dir), "skew_gaussian"), "value", digits=4)
 
 
 @query(
@@ -245,7 +246,7 @@ _BLURRED = f"SELECT image_id, p.y + k.dy AS y, p.x + k.dx AS x, sum(v * w) AS v
 
 @query(f"SELECT image_id, y::INT AS y, x::INT AS x, round(v, 8) AS v FROM ({_BLURRED})")
 def blur_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(frames.convolve(tables.pixels(spark, sf_dir), frames.blur_kernel(), (8, 8)), "v")
+    return _round(resample.convolve_images(_images(spark, sf_dir), frames.blur_kernel(), (8, 8)), "v")
 
 
 @query(
@@ -255,7 +256,7 @@ def blur_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def subtract_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     sky = stack.percentile_map(tables.samples(spark, sf_dir), [5])
-    blurred = frames.convolve(tables.pixels(spark, sf_dir), frames.blur_kernel(), (8, 8))
+    blurred = resample.convolve_images(_images(spark, sf_dir), frames.blur_kernel(), (8, 8))
     placed = blurred.select("*", (F.col("y") + F.col("image_id") % 9).cast("int").alias("map_y"), (F.col("x") + F.expr("image_id div 9") % 9).cast("int").alias("map_x"))
     return _round(frames.subtract(placed, sky), "blurred", "estimate", "remnant")
 
@@ -265,18 +266,18 @@ def subtract_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, p.y - k.dy AS y, p.x - k.dx AS x, sum(v * w) AS v, count(*) AS n FROM ({_PIXELS}) p, {_taps(frames.shift_weights(0.25, -0.5))} GROUP BY ALL) WHERE n = 25"""
 )
 def resample_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(frames.resample_shifted(tables.pixels(spark, sf_dir), 0.25, -0.5), "v")
+    return _round(resample.shift_images(_images(spark, sf_dir), frames.shift_weights(0.25, -0.5), (8, 8)), "v")
 
 
 @query(
-    """WITH q AS (SELECT quantile_cont(o_totalprice::DOUBLE, 0.98) AS t FROM orders),
+    """WITH q AS (SELECT avg(o_totalprice::DOUBLE) + 2 * stddev_pop(o_totalprice::DOUBLE) AS t FROM orders),
     c AS (SELECT 0 AS image_id, o_custkey % 20 AS block_y, o_orderkey % 17 AS block_x, bool_or(o_totalprice::DOUBLE > t) AS hit FROM orders, q GROUP BY ALL),
     r AS (SELECT *, block_x - row_number() OVER (PARTITION BY image_id, block_y ORDER BY block_x) AS run FROM c WHERE hit)
     SELECT image_id::INT AS image_id, block_y, min(block_x) AS x0, max(block_x) AS x1 FROM r GROUP BY image_id, block_y, run"""
 )
 def block_mask_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("v"))
-    limit = orders.agg(F.percentile("v", F.lit(0.98)).alias("t"))
+    limit = orders.agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("t"))
     cells = orders.crossJoin(F.broadcast(limit)).select(F.lit(0).alias("image_id"), (F.col("o_custkey") % 20).alias("block_y"), (F.col("o_orderkey") % 17).alias("block_x"), "v", "t")  # one row
     return frames.block_strips(cells, F.col("v") > F.col("t"))
 
@@ -322,10 +323,10 @@ def flux_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(made.agg(F.count(F.lit(1)).alias("n"), F.avg(rest / flux).alias("ratio")), "ratio", digits=10)
 
 
-@query(f"SELECT round(quantile_cont(v, 0.001), 8) AS low, round(quantile_cont(v, 0.9999), 8) AS high, round(median(v), 8) AS middle FROM ({_PIXELS})")
+@query(f"SELECT image_id, round(quantile_cont(v, 0.001), 8) AS low, round(quantile_cont(v, 0.9999), 8) AS high, round(median(v), 8) AS middle FROM ({_PIXELS}) GROUP BY image_id")
 def display_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.pixels(spark, sf_dir).agg(F.percentile("v", F.array(F.lit(0.001), F.lit(0.9999), F.lit(0.5))).alias("p"))
-    return _round(found.select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.col("p")[2].alias("middle")), "low", "high", "middle")
+    found = tables.pixels(spark, sf_dir).groupBy("image_id").agg(F.percentile("v", F.array(F.lit(0.001), F.lit(0.9999), F.lit(0.5))).alias("p"))
+    return _round(found.select("image_id", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.col("p")[2].alias("middle")), "low", "high", "middle")
 
 
 @query(f"SELECT image_id, y::INT AS y, x::INT AS x, round(v, 8) AS v FROM ({_SAMPLES}) WHERE x < 4")
@@ -336,11 +337,9 @@ def stack_all_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["map_percentile"])
 def map_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The percentile map written as a table and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/nightloom-{uuid.uuid4().hex}"
-    path = f"{shared.rstrip('/')}/map-{uuid.uuid4().hex}"
-    made = map_percentile(spark, sf_dir)
-    made.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    path = f"{tables.shared_folder(spark)}/map-{uuid.uuid4().hex}"
+    sky.save(map_percentile(spark, sf_dir), path, {"grid": "16 x 16"})
+    return spark.read.parquet(path).filter("meta['grid'] = '16 x 16'").drop("meta")
 
 
 @query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
@@ -359,7 +358,14 @@ def resample_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(resample.to_map(_images(spark, sf_dir), (8, 8), (12, 12), mapping, strict=False), "v", digits=6)
 
 
-@query()
+_CROSS = "(VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) AS k(dy, dx)"
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM ({_PIXELS}), {_CROSS} WHERE v < -0.1),
+    c AS (SELECT image_id, ty, tx, count(*) AS n FROM (SELECT image_id, y + dy AS ty, x + dx AS tx FROM d, {_CROSS}) GROUP BY ALL)
+    SELECT vec_id AS image_id, count(n) AS n_masked FROM embeddings LEFT JOIN c ON image_id = vec_id AND n = 5 AND ty BETWEEN 0 AND 7 AND tx BETWEEN 0 AND 7 GROUP BY vec_id"""
+)
 def closed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = resample.closed_masks(_images(spark, sf_dir), (8, 8), -0.1, 1)
     return made.groupBy("image_id").agg(F.sum("v").cast("long").alias("n_masked"))
@@ -370,3 +376,69 @@ def closed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pixels(spark, sf_dir).groupBy("image_id").agg(F.count_if(F.col("v") < -0.1).alias("n_below"))
+
+
+_GRID = wcs.default_grid(1.0)
+_TAPS = _taps(frames.shift_weights(0.0, 0.0))
+_ON_SKY = """(80 + (image_id // 9) % 9 + y) AS my, (352 + image_id % 9 + x) % 360 AS mx"""
+_SKY_SAMPLES = f"""SELECT image_id, {_ON_SKY}, v FROM (
+    SELECT image_id, p.y - k.dy AS y, p.x - k.dx AS x, sum(v * w) AS v FROM ({_PIXELS}) p, {_TAPS} GROUP BY ALL HAVING count(*) = 25)"""
+
+
+@query(
+    f"""WITH s AS ({_SKY_SAMPLES}), m AS (SELECT my, mx, quantile_cont(v, [0.05, 0.5]) AS q, min(v) AS lo, max(v) AS hi, avg(v) AS a, count(*) AS n FROM s GROUP BY my, mx)
+    SELECT reducer_id, output_idx::INT AS output_idx, my::INT AS y, mx::INT AS x, round(value, 8) AS value, n AS frame_count FROM (
+      SELECT 'low' AS reducer_id, k AS output_idx, my, mx, q[k + 1] AS value, n FROM m, range(2) AS r(k)
+      UNION ALL SELECT 'range', k, my, mx, CASE k WHEN 0 THEN lo ELSE hi END, n FROM m, range(2) AS r(k)
+      UNION ALL SELECT 'mean', 0, my, mx, a, n FROM m)"""
+)
+def build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images to map end to end by their sky coordinates, across RA 0: two aggregates, and a user's kernel of two outputs."""
+    v = F.col("v")
+    reducers = {"low": F.percentile(v, F.array(F.lit(0.05), F.lit(0.5))), "mean": F.avg(v), "range": lambda samples: (samples.min(), samples.max())}
+    return _round(sky.build_map(tables.sky_images(spark, sf_dir), reducers, _GRID, frame_count=True), "value")
+
+
+@query(
+    f"""WITH m AS (SELECT my, mx, quantile_cont(v, 0.05) AS value FROM ({_SKY_SAMPLES}) GROUP BY my, mx),
+    own AS (SELECT image_id, y, x, v AS source, {_ON_SKY} FROM ({_PIXELS})),
+    e AS (SELECT image_id, y, x, sum(w * value) AS estimate FROM own, {_TAPS}, m WHERE m.my = own.my + dy AND m.mx = (own.mx + dx + 360) % 360 GROUP BY ALL HAVING count(*) = 25)
+    SELECT image_id, own.y::INT AS y, own.x::INT AS x, round(source, 8) AS source, round(b.v, 8) AS blurred, round(estimate, 8) AS estimate, round(b.v - estimate, 8) AS remnant
+    FROM own JOIN ({_BLURRED}) b USING (image_id, y, x) LEFT JOIN e USING (image_id, y, x)"""
+)
+def subtract_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of all images, resampled back into the frame of each and taken off."""
+    images = tables.sky_images(spark, sf_dir)
+    made = sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, _GRID)
+    return _round(sky.subtract_map(images, made, _GRID), "source", "blurred", "estimate", "remnant")
+
+
+@query(
+    f"""SELECT image_id, round(low, 8) AS low, round(high, 8) AS high, round(middle - reach, 8) AS even_low, round(middle + reach, 8) AS even_high FROM (
+      SELECT *, greatest(abs(high - middle), abs(low - middle)) AS reach FROM (
+        SELECT image_id, quantile_cont(v, 0.01) AS low, quantile_cont(v, 0.99) AS high, median(v) AS middle FROM ({_BLURRED}) GROUP BY image_id))"""
+)
+def comparison_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of each blurred image, and those that lie evenly about its median."""
+    found = frames.comparison_limits(resample.convolve_images(_images(spark, sf_dir), frames.blur_kernel(), (8, 8)))
+    return _round(found, "low", "high", "even_low", "even_high")
+
+
+@query(
+    f"""SELECT image_id, y::INT AS y, x::INT AS x, round(CASE WHEN abs(y - image_id % 8) > 2 OR abs(x - image_id % 5) > 2 THEN v END, 8) AS v FROM ({_PIXELS})"""
+)
+def box_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels within two of a bright body at a place for each image are taken out."""
+    at = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("vec_id") % 8).alias("cy"), (F.col("vec_id") % 5).alias("cx"))
+    return _round(frames.box_masked(tables.pixels(spark, sf_dir), at, 2), "v")
+
+
+@query(f"SELECT star_id, round(3e-9::DOUBLE * pow(10, vmag / -2.5::DOUBLE) * 1e9::DOUBLE, 8) AS nano_flux FROM ({_STARS})")
+def magnitude_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(tables.stars(spark, sf_dir).select("star_id", (stars.flux_of(F.col("vmag")) * 1e9).alias("nano_flux")), "nano_flux")
+
+
+@query("SELECT vec_id AS image_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) WHERE k % 15 = 0")
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 15th image in the order of their ids."""
+    return frames.every_nth(_images(spark, sf_dir).select("image_id"), "image_id", 15)

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nightloom.functions.resample import KERNEL_WIDTH, gaussian_taps
+from nightloom.sources import tables
 
-def blur_kernel(width: float = 1.3 * math.sqrt(2)) -> list[tuple[int, int, float]]:
+
+def blur_kernel(width: float = KERNEL_WIDTH * math.sqrt(2)) -> list[tuple[int, int, float]]:
     """The 5 x 5 kernel exp(-2 r^2 / width^2), of sum 1."""
-    raw = [(dy, dx, math.exp(-2 * (dx * dx + dy * dy) / width**2)) for dy in range(-2, 3) for dx in range(-2, 3)]
-    total = sum(w for _, _, w in raw)
-    return [(dy, dx, w / total) for dy, dx, w in raw]
+    return gaussian_taps(width)
 
 
 def convolve(pixels: DataFrame, kernel: list[tuple[int, int, float]], shape: tuple[int, int]) -> DataFrame:
-    """image_id, y, x, v convolved within each frame, zero outside; a missing pixel spreads over the kernel.
+    """image_id, y, x, v of pixels in long form convolved within each frame, zero outside; a missing pixel spreads over the kernel.
 
-    Each pixel is spread over its targets and added up there: one shuffle with partial sums.
+    Each pixel is spread over its targets and added up there: one shuffle with partial sums. Images in one row each go through
+    nightloom.operators.resample.convolve_images, which moves nothing.
     """
     taps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in kernel])).alias("k")
     spread = pixels.select("image_id", "y", "x", "v", taps).select("image_id", (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x"), (F.col("v") * F.col("k.w")).alias("t"), F.col("v").isNull().alias("gone"))
@@ -28,20 +30,9 @@ def convolve(pixels: DataFrame, kernel: list[tuple[int, int, float]], shape: tup
     return summed.select("image_id", "y", "x", F.when(~F.col("gone"), F.col("s")).alias("v"))
 
 
-def shift_weights(shift_y: float, shift_x: float, width: float = 1.3, reach: int = 2) -> list[tuple[int, int, float]]:
-    """What a translated pixel takes from its neighbours: Gaussian weights exp(-2 r^2 / width^2) about its place, of sum 1 (the Jacobian is the identity, so flux is conserved)."""
-    raw = [(dy, dx, math.exp(-2 * ((dx - shift_x) ** 2 + (dy - shift_y) ** 2) / width**2)) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-    total = sum(w for _, _, w in raw)
-    return [(dy, dx, w / total) for dy, dx, w in raw]
-
-
-def resample_shifted(pixels: DataFrame, shift_y: float, shift_x: float) -> DataFrame:
-    """image_id, y, x, v of frames moved by a fraction of a pixel; strict: where any pixel of the footprint is missing there is none."""
-    taps = shift_weights(shift_y, shift_x)
-    explode = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(w).alias("w")) for dy, dx, w in taps])).alias("k")
-    spread = pixels.filter("v IS NOT NULL").select("image_id", (F.col("y")).alias("sy"), F.col("x").alias("sx"), "v", explode)
-    moved = spread.select("image_id", (F.col("sy") - F.col("k.dy")).alias("y"), (F.col("sx") - F.col("k.dx")).alias("x"), (F.col("v") * F.col("k.w")).alias("t"))
-    return moved.groupBy("image_id", "y", "x").agg(F.sum("t").alias("v"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(taps)).drop("n")
+def shift_weights(shift_y: float, shift_x: float, width: float = KERNEL_WIDTH, reach: int = 2) -> list[tuple[int, int, float]]:
+    """What a translated pixel takes from its neighbours (the Jacobian is the identity, so flux is conserved)."""
+    return gaussian_taps(width, shift_y, shift_x, reach)
 
 
 def subtract(blurred: DataFrame, sky: DataFrame) -> DataFrame:
@@ -67,3 +58,27 @@ def first_good_rows(pixels: DataFrame, bad: Column, most: float) -> DataFrame:
     """image_id, first_y: the first row of which no more than a share is bad; null where there is none."""
     rows = pixels.groupBy("image_id", "y").agg(F.avg(bad.cast("double")).alias("share"))
     return rows.groupBy("image_id").agg(F.min(F.when(F.col("share") <= most, F.col("y"))).alias("first_y"))
+
+
+def comparison_limits(pixels: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
+    """image_id, low, high, even_low, even_high: percentiles of each image, and limits that reach equally far from its median to hold both."""
+    p = pixels.groupBy("image_id").agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100), F.lit(0.5))).alias("p"))
+    named = p.select("image_id", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.col("p")[2].alias("middle"))
+    reach = F.greatest(F.abs(F.col("high") - F.col("middle")), F.abs(F.col("low") - F.col("middle")))
+    return named.select("image_id", "low", "high", (F.col("middle") - reach).alias("even_low"), (F.col("middle") + reach).alias("even_high"))
+
+
+def box_masked(pixels: DataFrame, bodies: DataFrame, reach: int) -> DataFrame:
+    """pixels with v null within reach of a body (image_id, cy, cx) in both directions. Bodies' pixels are spread out, so they are found by an equi join."""
+    span = lambda c: F.explode(F.sequence((F.col(c) - reach).cast("int"), (F.col(c) + reach).cast("int")))
+    bad = bodies.select("image_id", span("cy").alias("y"), "cx").select("image_id", "y", span("cx").alias("x")).distinct().withColumn("bad", F.lit(True))
+    return pixels.join(bad, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("bad").isNull(), F.col("v")).alias("v"))
+
+
+def every_nth(rows: DataFrame, key: str, n: int, pieces: int = 256) -> DataFrame:
+    """Every n-th row in the order of a distinct key, the first included. Rows are numbered within ranges of the key and by the ranges' counts, not in one task."""
+    ranged = tables.written(rows.repartitionByRange(pieces, key).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    ahead = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    place = F.col("_ahead") + F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return ranged.join(F.broadcast(ahead), "_part").withColumn("_place", place).filter(F.col("_place") % n == 0).select(*rows.columns)

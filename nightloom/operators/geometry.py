@@ -9,28 +9,38 @@ from nightloom.functions.wcs import CarGrid, world_to_pixel
 
 
 def edge_points(footprints: DataFrame, per_edge: int) -> DataFrame:
-    """image_id, ra, dec of points evenly along the four edges of frames (ra0, dec0, half), ends included."""
-    step = F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))).alias("k")
-    t = (2 * F.col("k") / F.lit(float(per_edge - 1)) - 1) * F.col("half")
-    sides = F.array(*[F.struct(a.alias("dx"), b.alias("dy")) for a, b in ((t, -F.col("half")), (F.col("half"), t), (t, F.col("half")), (-F.col("half"), t))])
-    return footprints.select("*", step).select("*", F.explode(sides).alias("d")).select("image_id", "camera", F.pmod(F.col("ra0") + F.col("d.dx"), F.lit(360.0)).alias("ra"), (F.col("dec0") + F.col("d.dy")).alias("dec"))
+    """image_id, camera, points: an array of (ra, dec) evenly along the four edges of each frame (ra0, dec0, half), ends included. Nothing leaves its row."""
+    t = lambda k: (2 * k / F.lit(float(per_edge - 1)) - 1) * F.col("half")
+    half = F.col("half")
+    sides = [lambda k: (t(k), -half), lambda k: (half, t(k)), lambda k: (t(k), half), lambda k: (-half, t(k))]
+    along = F.sequence(F.lit(0), F.lit(per_edge - 1))
 
+    def side(at) -> Column:
+        return F.transform(along, lambda k: F.struct(F.pmod(F.col("ra0") + at(k)[0], F.lit(360.0)).alias("ra"), (F.col("dec0") + at(k)[1]).alias("dec")))
 
-def bounds(points: DataFrame, grid: CarGrid) -> DataFrame:
-    """image_id, part, xmin, xmax, ymin, ymax: the pixel box of each frame's points; two boxes where a frame straddles the map's edge.
+    return footprints.select("image_id", "camera", F.concat(*map(side, sides)).alias("points"))
+
+
+def bounds(edges: DataFrame, grid: CarGrid) -> DataFrame:
+    """image_id, camera, part, xmin, xmax, ymin, ymax: the pixel box of each frame's points; two boxes where a frame straddles the map's edge.
 
     Of 11 bins of x the first and the last are filled and the middle one is empty: then the points left and right of the sixth bin make up a box each.
     """
-    x, y = world_to_pixel(F.col("ra"), F.col("dec"), grid)
-    placed = points.select("image_id", "camera", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
-    reach = placed.groupBy("image_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 11), F.lit(10))
-    binned = placed.join(reach, "image_id").withColumn("bin", bin_)
-    middle = binned.groupBy("image_id").agg((F.count_if(F.col("bin") == 5) == 0).alias("gap"))
-    part = F.when(F.col("gap") & (F.col("x") >= F.col("lo") + (F.col("hi") - F.col("lo")) * 5 / 11), 1).otherwise(0)
-    return (
-        binned.join(middle, "image_id").groupBy("image_id", "camera", part.alias("part"))
-        .agg(F.floor(F.min("x")).alias("xmin"), F.ceil(F.max("x")).alias("xmax"), F.floor(F.min("y")).alias("ymin"), F.ceil(F.max("y")).alias("ymax"))
+
+    def place(p: Column) -> Column:
+        x, y = world_to_pixel(p["ra"], p["dec"], grid)
+        return F.struct(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
+
+    placed = edges.select("image_id", "camera", F.transform("points", place).alias("points"))
+    reach = placed.select("*", F.array_min("points.x").alias("lo"), F.array_max("points.x").alias("hi"))
+    bin_ = lambda p: F.least(F.floor((p["x"] - F.col("lo")) / (F.col("hi") - F.col("lo")) * 11), F.lit(10))
+    halved = reach.select("*", (~F.exists("points", lambda p: bin_(p) == 5)).alias("gap"), (F.col("lo") + (F.col("hi") - F.col("lo")) * 5 / 11).alias("middle"))
+    right = lambda p: F.col("gap") & (p["x"] >= F.col("middle"))
+    parts = F.array(F.filter("points", lambda p: ~right(p)), F.filter("points", right))
+    boxes = halved.select("image_id", "camera", F.posexplode(parts).alias("part", "points")).filter("size(points) > 0")
+    return boxes.select(
+        "image_id", "camera", "part",
+        F.floor(F.array_min("points.x")).alias("xmin"), F.ceil(F.array_max("points.x")).alias("xmax"), F.floor(F.array_min("points.y")).alias("ymin"), F.ceil(F.array_max("points.y")).alias("ymax"),
     )
 
 

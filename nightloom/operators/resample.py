@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nightloom.functions.resample import Mapping, closed, resample
+from nightloom.functions.resample import Mapping, closed, convolved, resample
 
 
 def _per_image(images: DataFrame, shape: tuple[int, int], kernel: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
@@ -37,6 +37,21 @@ def to_map(images: DataFrame, shape: tuple[int, int], out_shape: tuple[int, int]
     return _per_image(images, shape, lambda image_id, a: resample(a, mapping_of(image_id), out_shape, **options))
 
 
+def convolve_images(images: DataFrame, kernel: list[tuple[int, int, float]], shape: tuple[int, int]) -> DataFrame:
+    """image_id, y, x, v convolved within each image; no row where a missing pixel spreads to."""
+    return _per_image(images, shape, lambda _, a: convolved(a, kernel))
+
+
+def shift_images(images: DataFrame, taps: list[tuple[int, int, float]], shape: tuple[int, int]) -> DataFrame:
+    """image_id, y, x, v of images moved by a fraction of a pixel, taps being what a moved pixel takes from its neighbours; strict: no row where any of them is missing. Pixels beyond the edge may be filled too."""
+
+    def kernel(_: int, a: np.ndarray) -> np.ndarray:
+        away = [(-dy, -dx, w) for dy, dx, w in taps]
+        return convolved(np.where(np.isfinite(a), a, 0), away) + np.where(convolved(np.isfinite(a).astype(float), [(dy, dx, 1.0) for dy, dx, _ in away]) > len(taps) - 0.5, 0, np.nan)
+
+    return _per_image(images, shape, kernel)
+
+
 def closed_masks(images: DataFrame, shape: tuple[int, int], threshold: float, rounds: int) -> DataFrame:
     """image_id, y, x, v: 1 where an image is below the threshold after binary closing, else 0."""
     return _per_image(images, shape, lambda _, a: closed(a < threshold, rounds).astype(float))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nightloom.functions.reducers import KERNELS
+from nightloom.sources import tables
+
+#: Pixels of a row whose stacks go to a kernel together.
+STRIP = 16
+
+#: A user's reducer: samples of one pixel to one value or several; or an aggregate of the column v.
+Kernel = Callable[[np.ndarray], float | Sequence[float]]
+Reducer = Column | Kernel
 
 
 def finite(v: Column) -> Column:
@@ -23,63 +31,104 @@ def percentile_map(samples: DataFrame, percentiles: Sequence[float], keys: Seque
     return found.select(*keys, F.posexplode("p").alias("output_idx", "value"), "frame_count")
 
 
-def attribution(samples: DataFrame, reduced: DataFrame, keys: Sequence[str] = ("y", "x")) -> DataFrame:
-    """keys, value, attribution: the image whose sample is nearest to the reduced value, the smaller id on ties; -1 where the value is not finite."""
-    near = samples.join(reduced.select(*keys, "value"), list(keys)).filter(finite(F.col("v")))
-    best = near.groupBy(*keys).agg(F.first("value").alias("value"), F.min(F.struct(F.abs(F.col("v") - F.col("value")).alias("d"), "image_id")).alias("b"))
-    return best.select(*keys, "value", F.when(finite(F.col("value")), F.col("b.image_id")).otherwise(F.lit(-1)).cast("long").alias("attribution"))
+def attribution(samples: DataFrame, reduced: DataFrame, keys: Sequence[str] = ("y", "x"), outputs: Sequence[str] = ()) -> DataFrame:
+    """keys, outputs, value, attribution: the image whose sample is nearest to the reduced value, the smaller id on ties; -1 where the value is not finite.
 
+    outputs: further columns of reduced that tell several values of one pixel apart.
+    """
+    by = [*keys, *outputs]
+    near = samples.filter(finite(F.col("v"))).join(reduced.select(*by, "value"), list(keys))
+    best = near.groupBy(*by).agg(F.first("value").alias("value"), F.min(F.struct(F.abs(F.col("v") - F.col("value")).alias("d"), "image_id")).alias("b"))
+    return best.select(*by, "value", F.when(finite(F.col("value")), F.col("b.image_id")).otherwise(F.lit(-1)).cast("long").alias("attribution"))
 
-def kernel_map(samples: DataFrame, kernel: str, keys: Sequence[str] = ("y", "x"), groups: Sequence[str] | None = None, **options) -> DataFrame:
+
+def kernel_map(samples: DataFrame, kernel: str, keys: Sequence[str] = ("y", "x"), strip: int = STRIP, **options) -> DataFrame:
     """keys, value, n: a kernel of nightloom.functions.reducers on each pixel's stack; n counts its finite samples.
 
-    Pixels of one group of keys (groups, by default all keys) go to the kernel together: a group is a strip of the map, and its
-    samples have to fit a task.
+    The last key's values go to the kernel strip by strip, so a task holds the samples of strip pixels at most: as
+    many as images for each.
     """
     reduce = KERNELS[kernel]
-    keys = list(keys)
+    found = _by_strips(samples, list(keys), {"value": lambda v: reduce(v, **options)}, strip)
+    return found.select(*keys, "value", "n")
+
+
+def _by_strips(samples: DataFrame, keys: list[str], kernels: Mapping[str, Kernel], strip: int) -> DataFrame:
+    """keys, reducer_id, output_idx, value, n of every kernel on each pixel's stack."""
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(k, "ascending") for k in keys])
         values = table["v"].to_numpy().astype(float)
-        codes = [table[k].combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
+        codes = [table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
         new = np.ones(len(values), bool)
         new[1:] = np.any([c[1:] != c[:-1] for c in codes], axis=0)
         first = np.flatnonzero(new)
-        stacks = np.split(values, first[1:])
-        out = table.take(pa.array(first)).select(keys)
-        return out.append_column("value", pa.array([reduce(s, **options) for s in stacks], pa.float64())).append_column("n", pa.array([int(np.isfinite(s).sum()) for s in stacks], pa.int64()))
-
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "value double", "n bigint"])
-    return samples.select(*keys, "v").groupBy(*(groups or keys)).applyInArrow(run, schema)
+        row, name, index, value, n = [], [], [], [], []
+        for at, stack in zip(first.tolist(), np.split(values, first[1:]), strict=True):
+            count = int(np.isfinite(stack).sum())
+            for reducer_id, kernel in kernels.items():
+                for k, v in enumerate(np.atleast_1d(kernel(stack))):
+                    row.append(at), name.append(reducer_id), index.append(k), value.append(float(v)), n.append(count)
+        out = table.select(keys).take(pa.array(row, pa.int64()))
+        for column, data, kind in (("reducer_id", name, pa.string()), ("output_idx", index, pa.int32()), ("value", value, pa.float64()), ("n", n, pa.int64())):
+            out = out.append_column(column, pa.array(data, kind))
+        return out
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "reducer_id string, output_idx int, value double, n bigint"])
+    strips = F.expr(f"{keys[-1]} div {strip}") if kinds[keys[-1]] in ("int", "bigint") else F.col(keys[-1])
+    return samples.select(*keys, "v").groupBy(*keys[:-1], strips.alias("_strip")).applyInArrow(run, schema)
+
+
+def reduce_stack(samples: DataFrame, reducers: Mapping[str, Reducer], keys: Sequence[str] = ("y", "x"), strip: int = STRIP) -> DataFrame:
+    """reducer_id, output_idx, keys, value, frame_count of several reducers at once.
+
+    Aggregates share one pass of partial aggregation, kernels another by strips. An aggregate may give an array, a kernel a sequence: an
+    output each. frame_count: finite samples of the pixel.
+    """
+    keys = list(keys)
+    columns = ["reducer_id", "output_idx", *keys, "value", "frame_count"]
+    aggregates = {k: r for k, r in reducers.items() if isinstance(r, Column)}
+    kernels = {k: r for k, r in reducers.items() if not isinstance(r, Column)}
+    parts = []
+    if aggregates:
+        clean = samples.withColumn("v", F.nullif(F.col("v"), F.lit(float("nan"))))
+        wide = clean.groupBy(*keys).agg(F.count_if(finite(F.col("v"))).alias("frame_count"), *[r.alias(f"_{i}") for i, r in enumerate(aggregates.values())])
+        kinds = {f.name: f.dataType.typeName() for f in wide.schema}
+        outputs = [F.struct(F.lit(k).alias("reducer_id"), (F.col(f"_{i}") if kinds[f"_{i}"] == "array" else F.array(F.col(f"_{i}").cast("double"))).cast("array<double>").alias("values")) for i, k in enumerate(aggregates)]
+        each = wide.select(*keys, "frame_count", F.explode(F.array(*outputs)).alias("r"))
+        parts.append(each.select("r.reducer_id", *keys, "frame_count", F.posexplode("r.values").alias("output_idx", "value")).select(*columns))
+    if kernels:
+        parts.append(_by_strips(samples, keys, kernels, strip).withColumnRenamed("n", "frame_count").select(*columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def clip_by_rounds(samples: DataFrame, key: str, n_sigma: float, min_size: int, limit: int = 1000) -> DataFrame:
-    """key, value, kept: the clipped mean of few groups of any size.
+    """key, value, kept: the clipped mean of groups of any size.
 
-    What a clip keeps is a range of values, so a round is one aggregation with partial sums and the state is one row for
-    each group; no group is ever gathered. value is null where fewer than min_size samples are left.
+    What a clip keeps is a range of values, so a round is one aggregation with partial sums and the state is one row for each group, written
+    as a table: no group is ever gathered, and the driver sees one number a round. value is null where fewer than min_size samples are left.
+    RuntimeError where the ranges have not settled within the limit.
     """
-    spark = samples.sparkSession
     rows = samples.filter(finite(F.col("v"))).select(key, "v")
-    inside = (F.col("lo").isNull()) | ((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi")))
-    state = spark.createDataFrame([], rows.select(key).schema.add("lo", "double").add("hi", "double").add("kept", "long").add("mean", "double"))
-    settled = -1
+    state, settled = None, -1
     for _ in range(limit):
-        now = (
-            rows.join(F.broadcast(state.select(key, "lo", "hi", F.col("kept").alias("was"))), key, "left")  # one row for each group, few by contract
-            .groupBy(key)
-            .agg(F.count_if(inside).alias("kept"), F.avg(F.when(inside, F.col("v"))).alias("mean"), F.stddev_pop(F.when(inside, F.col("v"))).alias("dev"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-        )
-        low, high = F.col("mean") - n_sigma * F.col("dev"), F.col("mean") + n_sigma * F.col("dev")
-        got = now.select(key, F.greatest("lo", low).alias("lo"), F.least("hi", high).alias("hi"), "kept", "mean").collect()
-        state = spark.createDataFrame(got, state.schema)
-        total = sum(r.kept for r in got)
-        if total == settled:
-            break
-        settled = total
-    return state.select(key, F.when(F.col("kept") >= min_size, F.col("mean")).alias("value"), "kept")
+        if state is None:
+            ranged, inside = rows.withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double")}), F.lit(True)
+        else:
+            ranged, inside = rows.join(state.select(key, "lo", "hi"), key), (F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))
+        kept = F.when(inside, F.col("v"))
+        now = ranged.groupBy(key).agg(F.count(kept).alias("kept"), F.avg(kept).alias("mean"), F.stddev_pop(kept).alias("dev"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        reach = n_sigma * F.col("dev")
+        total = Observation()
+        state = tables.written(now.select(key, F.greatest("lo", F.col("mean") - reach).alias("lo"), F.least("hi", F.col("mean") + reach).alias("hi"), "kept", "mean").observe(total, F.sum("kept").alias("kept")), "clip")
+        if total.get["kept"] == settled or not total.get["kept"]:
+            return state.select(key, F.when(F.col("kept") >= min_size, F.col("mean")).alias("value"), "kept")
+        settled = total.get["kept"]
+    raise RuntimeError(f"the clip has not settled within {limit} rounds")
 
 
 def histogram(samples: DataFrame, key: str, bins: int) -> DataFrame:

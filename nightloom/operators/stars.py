@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nightloom.functions.projection import Projection
+from nightloom.functions.wcs import CarGrid
+from nightloom.operators.sky import image_bounds
+
 BIN = 3.0
 
 
@@ -54,3 +62,41 @@ def aperture_flux(pixels: DataFrame, positions: DataFrame, shape: tuple[int, int
         F.coalesce(F.sum(F.when(F.col("disc"), good)), F.lit(0.0)).alias("light"), F.median(F.when(~F.col("disc"), good)).alias("background"), F.count_if("disc").alias("area")
     )
     return light.select("image_id", "star_id", (F.col("light") - F.col("background") * F.col("area")).alias("flux"), "background")
+
+
+def flux_of(magnitude: Column, zero: float = 3e-9) -> Column:
+    """The light of a star by its magnitude."""
+    return F.lit(zero) * F.pow(F.lit(10.0), magnitude / F.lit(-2.5))
+
+
+def in_image_frames(stars: DataFrame, images: DataFrame, grid: CarGrid, bright: float, dim: float, trim: Sequence[float] = (0, 0, 0, 0), size: float = BIN) -> DataFrame:
+    """image_id, star_id, x, y, vmag of stars strictly within images' frames less a trim (left, right, bottom, top), in pixels of the image by its own wcs.
+
+    Images are spread over the bins of the sky that their boxes on a whole-sky grid touch, so stars and images meet by an equi join; the
+    projection then runs on those pairs alone.
+    """
+    ra_bin, dec_bin = bin_keys(F.col("ra"), F.col("dec"), size)
+    some = stars.filter((F.col("vmag") > bright) & (F.col("vmag") < dim)).select("star_id", "ra", "dec", "vmag", ra_bin.alias("rb"), dec_bin.alias("db"))
+    boxes = image_bounds(images, grid)
+    (x0, d0), (x1, d1) = (((F.col(x) + 1 - grid.crpix[0]) * grid.cdelt[0] + grid.crval[0], (F.col(y) + 1 - grid.crpix[1]) * grid.cdelt[1]) for x, y in (("xmin", "ymin"), ("xmax", "ymax")))
+    columns, rows = int(360 / size), int(180 / size)
+    touched = (
+        boxes.select("image_id", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size))).alias("b"), d0.alias("d0"), d1.alias("d1"))
+        .select("image_id", F.pmod(F.col("b"), F.lit(columns)).cast("int").alias("rb"), F.explode(F.sequence(F.floor((F.col("d0") + 90) / size), F.floor((F.col("d1") + 90) / size))).alias("db"))
+        .select("image_id", "rb", F.greatest(F.least("db", F.lit(rows - 1)), F.lit(0)).cast("int").alias("db")).distinct()
+    )
+    pairs = some.join(touched, ["rb", "db"]).drop("rb", "db").join(images.select("image_id", "ny", "nx", "wcs"), "image_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Projection] = {}
+        for batch in batches:
+            x, y, keep = [], [], []
+            for r in batch.select(["ra", "dec", "ny", "nx", "wcs"]).to_pylist():
+                own = known.setdefault(str(r["wcs"]), Projection.of_row(r["wcs"]))
+                u, v = (float(c) for c in own.world_to_pixel(np.float64(r["ra"]), np.float64(r["dec"])))
+                keep.append(trim[0] < u < r["nx"] - trim[1] and trim[2] < v < r["ny"] - trim[3])
+                x.append(u), y.append(v)
+            out = pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("star_id"), pa.array(x, pa.float64()), pa.array(y, pa.float64()), batch.column("vmag")], names=["image_id", "star_id", "x", "y", "vmag"])
+            yield out.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "image_id bigint, star_id bigint, x double, y double, vmag double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Without one only a local session has a place that all its tasks see."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return f"file://{tempfile.gettempdir()}/nightloom"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sky_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, ny, nx, data, wcs: embeddings as 8 x 8 images of one degree a pixel, dithered about RA 0 and Dec 0; some cross RA 0."""
+    k = F.col("vec_id")
+    ra, dec = F.pmod(F.lit(352.5) + k % 9, F.lit(360.0)), F.expr("vec_id div 9") % 9 - F.lit(9.5)
+    pair = lambda a, b: F.array(a.cast("double"), b.cast("double"))
+    wcs = F.struct(
+        F.lit("CAR").alias("kind"), pair(F.lit(1), F.lit(1) - dec).alias("crpix"), pair(ra, F.lit(0)).alias("crval"), pair(F.lit(1), F.lit(1)).alias("cdelt"),
+        F.lit(None).cast("array<double>").alias("pc"), F.lit(None).cast("array<double>").alias("pv"),
+    )
+    return table(spark, sf_dir, "embeddings").select(k.alias("image_id"), F.lit(8).alias("ny"), F.lit(8).alias("nx"), F.col("embedding").cast("array<double>").alias("data"), wcs.alias("wcs"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, y, x, v: embeddings as 8 x 8 images, NaN as null."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v")).select(

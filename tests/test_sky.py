@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nightloom.functions import reducers, wcs
+from nightloom.functions.projection import Projection, find_bounds
 from nightloom.jobs.queries import ORACLE_SQL, QUERIES
-from nightloom.operators import frames, geometry, stack, stars
+from nightloom.operators import frames, geometry, sky, stack, stars
 from nightloom.sources import catalog, fits
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +163,110 @@ def test_closing_fills_a_gap():
     mask = np.zeros((9, 9), bool)
     mask[3:6, 2] = mask[3:6, 4] = True
     assert R.closed(mask, 1)[4, 3] and R.closed(mask, 1).sum() == 7 and R.closed(mask, 0).sum() == 6
+
+
+# --- the map end to end
+
+_IMAGES = "image_id long, ny int, nx int, data array<double>, wcs struct<kind:string,crpix:array<double>,crval:array<double>,cdelt:array<double>,pc:array<double>,pv:array<double>>"
+
+
+def _image(k, data, kind="CAR", crpix=(1.0, 1.0), crval=(0.0, 0.0), cdelt=(1.0, 1.0), pc=None, pv=None):
+    return (k, data.shape[0], data.shape[1], data.ravel().tolist(), (kind, list(crpix), list(crval), list(cdelt), pc, pv))
+
+
+def _turn_matrix(degrees):
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    return [c, -s, s, c]
+
+
+@pytest.mark.parametrize(
+    "own", [Projection("ZPN", (20.5, 15.5), (200.0, 35.0), (-0.3, 0.3), tuple(_turn_matrix(25)), (0.0, 1.0, 0.0, 0.05)), Projection("ZPN", (20.5, 15.5), (10.0, -60.0), (0.3, 0.3), (1.0, 0.0, 0.0, 1.0), (0.0, 1.0, 0.01)), Projection("CAR", (20.5, 15.5), (90.0, 30.0), (1.0, 1.0))]
+)
+def test_projections_return_to_the_pixel(own):
+    y, x = np.mgrid[:30, :40].astype(float)
+    u, v = own.world_to_pixel(*own.pixel_to_world(x, y))
+    assert u == pytest.approx(x, abs=1e-8) and v == pytest.approx(y, abs=1e-8)
+    ra, dec = own.pixel_to_world(np.array(own.crpix[0] - 1), np.array(own.crpix[1] - 1))
+    assert (float(ra), float(dec)) == pytest.approx(own.crval)
+
+
+def test_header_becomes_a_projection():
+    cards = {"CTYPE1A": "RA---ZPN", "CRPIX1A": "3", "CRPIX2A": "4", "CRVAL1A": "10", "CRVAL2A": "20", "CDELT1A": "-.5", "CDELT2A": ".5", "PC1_2A": "0.1", "PV2_1A": "1", "PV2_3A": "0.2"}
+    assert Projection.of_header(cards, "A") == Projection("ZPN", (3.0, 4.0), (10.0, 20.0), (-0.5, 0.5), (1.0, 0.1, 0.0, 1.0), (0.0, 1.0, 0.0, 0.2))
+
+
+def test_bounds_of_images():
+    grid, own, shape = Projection("CAR", (1.0, 1.0), (0.0, 0.0), (1.0, 1.0)), Projection("CAR", (1.0, 1.0), (0.1, 0.1), (1.0, 1.0)), (12, 10)
+    upright = Projection("CAR", (1.0, 1.0), (0.1, 0.0), (1.0, 1.0))
+    assert find_bounds(upright, shape, grid) == [(-1, 10, -1, 12)]
+    assert find_bounds(upright, shape, grid, trim=(1, 2, 4, 5)) == [(0, 8, 3, 7)]
+    assert find_bounds(own, shape, grid) == [(-1, 10, -1, 12)] and find_bounds(own, shape, grid, trim=(1, 2, 4, 5)) == [(0, 8, 3, 7)]
+    # A frame turned by 45 degrees: RA limits cut y, Dec limits cut x.
+    turned = Projection("CAR", (1.0, 1.0), (8.1, 0.1), (1.0, 1.0), tuple(_turn_matrix(45)))
+    assert find_bounds(turned, shape, grid) == [(-1, 16, -1, 15)]
+    assert find_bounds(turned, shape, grid, sky=(31, 35, 32, 36)) == []
+    assert find_bounds(turned, shape, grid, sky=(1, 5, None, None)) == [(-1, 16, 2, 14)]
+    assert find_bounds(turned, shape, grid, sky=(None, None, 2, 6)) == [(1, 15, -1, 15)]
+    straddling = find_bounds(Projection("CAR", (1.0, 1.0), (355.5, 0.0), (1.0, 1.0)), shape, Projection.of_grid(wcs.default_grid(1.0)), wrap_aware=True)
+    assert sorted(b[:2] for b in straddling) == [(0, 5), (354, 360)] or len(straddling) == 2
+
+
+def test_map_of_turned_images_is_the_sky_whatever_the_tiles(spark):
+    """A smooth sky seen by turned ZPN images comes back, in one strip or many, by blocks or by boxes."""
+    sky_of = lambda ra, dec: 10 + 3 * np.sin(np.deg2rad(ra * 4)) + 2 * np.cos(np.deg2rad(dec * 5))
+    grid = wcs.CarGrid((1.0, 1.0), (0.0, 0.0), (0.5, 0.5), (41, 61)).cropped(-10, -20, (60, 80))
+    rows = []
+    for k in range(6):
+        own = Projection("ZPN", (25.5, 20.5), (8.0 + k, 4.0 + k % 3), (0.5, 0.5), tuple(_turn_matrix(20 * k)), (0.0, 1.0, 0.0, 0.02))
+        y, x = np.mgrid[:40, :50].astype(float)
+        rows.append(_image(k, sky_of(*own.pixel_to_world(x, y)), "ZPN", own.crpix, own.crval, own.cdelt, list(own.pc), list(own.pv)))
+    images = spark.createDataFrame(rows, _IMAGES)
+    target = Projection.of_grid(grid)
+    made = []
+    for strip, block in ((16, None), (3, None), (16, (8, 8))):
+        out = sky.build_map(images, {"low": F.percentile("v", F.lit(0.5)), "fit": lambda v: v.mean()}, grid, frame_count=True, attribution=True, block=block, strip=strip).toPandas()
+        made.append({(r.reducer_id, r.y, r.x): (round(r.value, 9), r.frame_count, r.attribution) for r in out.itertuples()})
+    assert made[0] == made[1] and len(made[0]) > 2000
+    assert all(made[0][k] == v for k, v in made[2].items() if v[1] == made[0][k][1]) and len(made[2]) > 1000
+    ra, dec = target.pixel_to_world(np.array([k[2] for k in made[0]], float), np.array([k[1] for k in made[0]], float))
+    # Flux is conserved, so a pixel of the map holds the light of its own area.
+    assert np.array([v[0] for v in made[0].values()]) == pytest.approx(sky_of(ra, dec) * np.cos(np.deg2rad(dec)), rel=0.02)
+    assert {v[2] for v in made[0].values()} <= set(range(6))
+    # And the map taken off an image leaves nothing but the edges' blur.
+    low = spark.createDataFrame([(k[1], k[2], v[0]) for k, v in made[0].items() if k[0] == "low"], "y int, x int, value double")
+    rest = sky.subtract_map(images, low, grid, tile=16).toPandas()
+    inner = rest[rest.y.between(3, 36) & rest.x.between(3, 46)].dropna()
+    assert len(rest) == 6 * 2000 and len(inner) > 5000 and inner.remnant.abs().max() < 0.15
+    halved = sky.Processor(preprocess=lambda rows: rows.filter("image_id < 2"), postprocess_estimate=lambda rows: rows.withColumn("v", F.col("v") / 2))
+    half = sky.subtract_map(images, low, grid, halved).toPandas()
+    both = rest[rest.image_id < 2].merge(half, on=["image_id", "y", "x"]).dropna()
+    assert len(half) == 4000 and both.estimate_y.to_numpy() == pytest.approx(both.estimate_x.to_numpy() / 2)
+
+
+def test_grid_covers_what_the_images_do(spark):
+    rows = [_image(k, np.ones((12, 10)), crval=(100.0 + k, 0.0), crpix=(1.0, 11.0)) for k in range(20)]
+    grid = sky.plan_grid(spark.createDataFrame(rows, _IMAGES), 1.0)
+    assert (grid.shape, grid.crpix) == ((12, 360), (180.5, 11.5))
+    assert sky.plan_grid(spark.createDataFrame(rows, _IMAGES), 0.2, (149, 188), (-19, 24)).shape == (216, 196)
+
+
+def test_stars_in_turned_frames(spark):
+    rng = np.random.default_rng(5)
+    own = Projection("ZPN", (10.5, 8.5), (359.0, 10.0), (0.5, 0.5), tuple(_turn_matrix(30)), (0.0, 1.0))
+    images = spark.createDataFrame([_image(1, np.ones((16, 20)), "ZPN", own.crpix, own.crval, own.cdelt, list(own.pc), list(own.pv))], _IMAGES)
+    ra, dec, mag = rng.uniform(0, 360, 4000), rng.uniform(-90, 90, 4000), rng.uniform(0, 9, 4000)
+    ra[:2000], dec[:2000] = (ra[:2000] / 20 - 10) % 360, dec[:2000] / 9 + 10
+    found = stars.in_image_frames(spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(zip(ra, dec, mag))], "star_id long, ra double, dec double, vmag double"), images, wcs.default_grid(1.0), 2.0, 8.0, (1, 2, 3, 4))
+    x, y = own.world_to_pixel(ra, dec)
+    with np.errstate(invalid="ignore"):
+        want = np.flatnonzero((1 < x) & (x < 18) & (3 < y) & (y < 12) & (mag > 2) & (mag < 8))
+    assert sorted(r.star_id for r in found.collect()) == want.tolist() and len(want) > 50
+
+
+def test_saved_tables_are_not_overwritten_unasked(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 3.0)], "y int, x int, value double")
+    sky.save(rows, f"{tmp_path}/map", {"scale": "1"})
+    with pytest.raises(Exception):
+        sky.save(rows, f"{tmp_path}/map")
+    sky.save(rows, f"{tmp_path}/map", overwrite=True)
+    assert spark.read.parquet(f"{tmp_path}/map").columns == ["y", "x", "value"]
