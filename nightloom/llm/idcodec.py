@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import new_folder
+from .wordhash import slices
 
 MAGIC = b"NLIDS02\n"
 #: Ids of a block: as many as leave a file LANES blocks, within these bounds.
@@ -312,7 +313,7 @@ def write(documents: DataFrame, tokenizer: str, folder: str, end_id: int = END_I
                 done.append((name, part, len(done), docs[0], len(docs), len(all_ids), len(data)))
                 docs.clear(), held.clear(), counts.clear()
 
-        for batch in (part for whole in batches for part in tokens.slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 256)):
             ids, count = tokens.append_end(*encode(batch.column("text").to_pylist()), end_id)
             docs += batch.column("doc_id").to_pylist()
             held.append(ids)

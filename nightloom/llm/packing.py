@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import materialize
+from .wordhash import slices
 
 CAPACITY = 2048
 #: Pieces that one task packs.
@@ -139,7 +140,7 @@ def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, tokens.cut_before_words).encode
-        for batch in (part for whole in batches for part in tokens.slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, 256)):
             ids, count = tokens.append_end(*encode(batch.column("text").to_pylist()), end_id)
             pieces = -(-count // capacity)
             row = np.repeat(np.arange(len(count)), pieces)

@@ -26,10 +26,10 @@ DELTA = 0.05
 WORTH = 10
 #: Rules: statistic in thousandths (larger is worse), and the grid's step; CELLS steps each.
 RULES = {
-    "symbols": ("1000 * n_symbols div n_words", 25),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", 25),
     "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", 25),
-    "repeats": ("1000 * n_repeat_words div n_words", 12),
-    "long_words": ("1000 * word_chars div n_words", 300),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 12),
+    "long_words": ("1000 * word_chars div nullif(n_words, 0)", 300),
 }
 CELLS = 41
 MIN_WORDS = 50
@@ -67,7 +67,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(documents: DataFrame) -> DataFrame:
-    """doc_id, lang and the statistics of every whole text. A null text is an empty one; a null or empty lang is the stratum 'unknown'."""
+    """doc_id, stratum, fp (hash of the text) and the statistics of every whole text. A null text is an empty one; a null or empty lang is the stratum 'unknown'."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\r\x0b\x0c", "") != "")
     return (
@@ -76,6 +76,7 @@ def statistics(documents: DataFrame) -> DataFrame:
         .select(
             "doc_id",
             F.coalesce(F.nullif("lang", F.lit("")), F.lit("unknown")).alias("stratum"),
+            F.xxhash64("text").alias("fp"),
             F.size("_words").cast("long").alias("n_words"),
             F.length(F.translate("text", " \t\n\r\x0b\x0c", "")).cast("long").alias("word_chars"),
             (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -121,12 +122,14 @@ def cutoffs(stats: DataFrame, labels: DataFrame) -> DataFrame:
     """stratum, rule, cutoff, n_good, n_false, p_value: the certified cutoff of each rule; no row where none is certified or worth it.
 
     labels(doc_id, quality) are the holdout: nothing but the choice of cutoffs is learnt from them. Labels that are null, of unknown
-    documents or of documents that fail the base rules are left out. The grid is fixed, so counts by grid cell, stratum and rule hold all
+    documents or of documents that fail the base rules are left out; equal texts are one trial, that of the smallest doc_id. The grid is fixed, so counts by grid cell, stratum and rule hold all
     that the tests need.
     """
     held = stats.filter(~F.col("base_failed")).join(
         labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality"), "doc_id"
     )
+    trial = F.struct(*[c for c in held.columns if c != "fp"])
+    held = held.groupBy("fp").agg(F.min_by(trial, F.struct("doc_id", "quality", "stratum")).alias("t")).select("t.*")
     cells = F.explode(
         F.array(*[F.struct(F.lit(name).alias("rule"), F.expr(f"least(({value}) div {step}, {CELLS})").alias("cell")) for name, (value, step) in RULES.items()])
     )
@@ -187,15 +190,16 @@ QUALITY_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(nullif(lang, ''), 'unknown') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
   list_filter(string_split(text, chr(10)), lambda x: translate(x, chr(32) || chr(9) || chr(11) || chr(12) || chr(13), '') <> '') AS ls FROM d),
-win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, range(1, 100000) AS r(i) WHERE i <= len(ws) - 2),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, range(3) AS r(o) GROUP BY doc_id),
-s AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+s AS (SELECT w.doc_id, stratum, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
 stats AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATS} * n_words AS base_failed FROM s),
-held AS (SELECT stratum, quality, stats.* EXCLUDE (stratum) FROM stats JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL),
+held AS (SELECT stratum, quality, stats.* EXCLUDE (stratum) FROM stats JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id, quality, stats.stratum) = 1),
 cells AS ({" UNION ALL ".join(f"SELECT stratum, quality, '{x}' AS rule, {_rule_sql(x)} AS cell FROM held" for x in RULES)}),
 strata AS (SELECT DISTINCT stratum FROM held),
 grid AS (SELECT stratum, rule, cell FROM strata, (SELECT DISTINCT rule FROM cells), range(1, {CELLS + 1}) AS r(cell)),

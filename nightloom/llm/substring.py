@@ -8,7 +8,7 @@ smallest document of the anchor owns that run and no window has to be compared;
 differ, their windows are compared one by one through their hashes. Never are
 two documents of a group paired, so groups of copies cost what their words cost. Adjoining
 windows make up the maximal repeats over the length threshold, which are cut out of all
-documents but the smallest.
+documents but the smallest. Runs and windows are compared by 64-bit hashes of their words, not word by word.
 """
 
 from __future__ import annotations
@@ -199,15 +199,17 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, br
     rows of null doc_id are kept whole and take nothing from others. Rows of equal doc_id are judged each against smaller ids.
     """
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name not in ("n_words", "n_removed", "repeats")]
-    spans = repeats(documents, window, seed, broadcast_anchors).withColumnsRenamed({"doc_id": "_doc_id", "fp": "_fp", "spans": "_spans"})
     kept = [f.name for f in documents.schema if f.name not in ("n_words", "n_removed", "repeats")]
-    rows = documents.select(*kept, F.xxhash64("text").alias("_text_fp"))
-    joined = rows.join(spans, (rows["doc_id"] == spans["_doc_id"]) & (rows["_text_fp"] == spans["_fp"]), "left").select(*kept, "_spans")
+    own = "_s"  # no column begins with it
+    while any(c.startswith(own) for c in kept):
+        own += "_s"
+    spans = repeats(documents, window, seed, broadcast_anchors).withColumnsRenamed({"doc_id": f"{own}1", "fp": f"{own}2", "spans": own})
+    joined = documents.select(*kept).join(spans, (F.col("doc_id") == F.col(f"{own}1")) & (F.xxhash64("text") == F.col(f"{own}2")), "left").select(*kept, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             texts, n_words, n_removed, ranges = [], [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(own).to_pylist(), strict=True):
                 words = _WORD.findall(text or "")
                 merged: list[list[int]] = []
                 for begin, end in sorted((s["start"], s["start"] + s["n"] + window - 1) for s in spans or ()):
@@ -240,10 +242,10 @@ def document_digests(documents: DataFrame) -> DataFrame:
 
 SUBSTRING_SQL = """
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM w, range(1, 100000) AS r(i) WHERE i <= len(ws) - 12),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(ws) - 11)) AS r(i)),
 later AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + o AS i FROM later, range(13) AS r(o)),
-word AS (SELECT doc_id, i, ws[i] AS x FROM w, range(1, 100000) AS r(i) WHERE i <= len(ws)),
+word AS (SELECT doc_id, i, ws[i] AS x FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id

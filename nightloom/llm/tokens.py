@@ -112,9 +112,3 @@ def encoder(path: str, cut: Callable[[str], list[str]]) -> ChunkEncoder:
 def append_end(ids: np.ndarray, count: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends an end id to the ids of each text."""
     return np.insert(ids, np.cumsum(count), end).astype(np.uint32), count + 1
-
-
-def slices(batch, rows: int = 256):
-    """A record batch in slices of so many rows: what encoding needs besides the text stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import slices
+
 #: The bounded training sample: labelled rows of each kind, by a hash of doc_id, and characters in all.
 TOXIC_ROWS = 1600
 CLEAN_ROWS = 2000
@@ -48,19 +50,19 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """(text, toxic) of at most TOXIC_ROWS + CLEAN_ROWS labelled rows outside of the held-out fold.
 
-    Of rows whose texts or first 64 characters agree one stays, so copies don't pass for evidence; by order of the
-    hash texts are taken up to SAMPLE_CHARS characters. Null labels, ids and texts are left out.
+    Of rows of equal texts one stays, so copies don't pass for evidence; in the order of a hash texts are taken as long as they
+    fit into SAMPLE_CHARS characters, longer ones are passed over. Null labels, ids and texts are left out.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     order = F.xxhash64("doc_id")
     picked = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_ROWS).unionByName(usable.filter("toxic = 0").orderBy(order, "doc_id").limit(CLEAN_ROWS))
     rows = documents.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = rows.groupBy(F.substring("text", 1, 64)).agg(F.min_by(F.struct("doc_id", "text", "toxic"), F.struct(F.xxhash64("doc_id"), "doc_id", "toxic", "text")).alias("r"))
+    rows = rows.groupBy(F.sha2("text", 256)).agg(F.min_by(F.struct("doc_id", "text", "toxic"), F.struct(F.xxhash64("doc_id"), "doc_id", "toxic", "text")).alias("r"))
     out, left = [], SAMPLE_CHARS
     for r in sorted(rows.select("r.*").toLocalIterator(), key=lambda r: (hash((r.doc_id * 0x9E3779B97F4A7C15) % 2**64), r.text)):
-        if (left := left - len(r.text)) < 0:
-            break
-        out.append((r.text, r.toxic))
+        if len(r.text) <= left:
+            left -= len(r.text)
+            out.append((r.text, r.toxic))
     return out
 
 
@@ -291,7 +293,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 return n
 
         known = Codes()
-        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
+        for batch in (part for whole in batches for part in slices(whole)):
             if len(known) > 500_000:
                 known, odds = Codes(), []
             texts = batch.column("text").to_pylist()

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -78,15 +79,40 @@ def test_binomial_tail(spark, k, n, p):
     assert row.t == pytest.approx(exact, rel=1e-9)
 
 
+def by_sql(sql, **frames):
+    """The rows of a query's SQL on these tables, columns by name."""
+    db = duckdb.connect()
+    for name, frame in frames.items():
+        db.register(name, frame.toArrow())
+    found = db.execute(sql)
+    names = [c[0] for c in found.description]
+    return Counter(tuple(v for _, v in sorted(zip(names, row))) for row in found.fetchall())
+
+
+def rows_of(df):
+    return Counter(tuple(r[c] for c in sorted(df.columns)) for r in df.collect())
+
+
 def test_cutoffs_reject_junk_and_keep_the_limit(spark):
-    text = " ".join(f"word{i}" for i in range(60))
-    junk = " ".join(f"w{i}###" for i in range(60))
-    documents = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, junk).otherwise(text).alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("stratum"))
-    labels = documents.select("doc_id", (F.col("doc_id") % 5 != 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
-    out = quality.judge_documents(documents, labels)
+    text = F.concat(F.lit(" ".join(f"word{i}" for i in range(60)) + " t"), F.col("id"))
+    junk = F.concat(F.lit(" ".join(f"w{i}###" for i in range(60)) + " t"), F.col("id"))
+    documents = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, junk).otherwise(text).alias("text"), F.when(F.col("id") % 3 > 0, "en").otherwise("de").alias("lang"))
+    labels = documents.select("doc_id", F.when(F.col("doc_id") % 1000 == 7, 0).otherwise((F.col("doc_id") % 5 != 0).cast("int")).alias("quality"), F.lit(0).alias("toxic"))
+    out = quality.judge_documents(documents.withColumn("stratum", F.lit(1)), labels)
     assert {(r.doc_id % 5 != 0, r.kept) for r in out.collect()} == {(True, True), (False, False)}
-    # Too few labels certify nothing: everything stays.
+    assert rows_of(out) == by_sql(quality.QUALITY_SQL, documents=documents, labels=labels)
+    # Too few labels certify nothing: everything stays. Nor do many labels of one text.
     assert quality.judge_documents(documents, labels.filter("doc_id < 100")).filter("NOT kept").count() == 0
+    copies = documents.withColumn("text", F.regexp_replace("text", " t[0-9]+$", ""))
+    assert quality.judge_documents(copies, labels).filter("NOT kept").count() == 0
+
+
+def test_cutoffs_of_the_larger_table_are_those_of_the_sql(spark):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.statistics(documents)
+    assert quality.cutoffs(stats, labels).count() > 0
+    assert rows_of(quality.judge_documents(documents, labels)) == by_sql(quality.QUALITY_SQL, documents=documents.select("doc_id", "text", "lang"), labels=labels)
 
 
 def test_quality_of_odd_tables(spark):
