@@ -41,7 +41,7 @@ FILE_IDS = 8_000_000
 END_ID = 1
 
 _ORDER1, _ORDER2 = 1024, 2048  # slots of a block
-_CONTEXTS = 32
+_CONTEXTS = 16
 _FREQUENCIES = 22  # bits of the frequencies' total
 _SURE = 16  # grades of sureness
 _HITS_MOST = 61440  # of 65536; the rest keeps every id codable
@@ -95,56 +95,56 @@ class _Model:
 
     def __init__(self, lanes: int, tables: Tables):
         lane = np.arange(lanes)
-        self.successor, self.sure = tables.successor.astype(np.int32), tables.sure.astype(np.int64)
-        self.table1 = np.zeros(lanes * _ORDER1, np.int32)  # (rank + 1) << 2 | confidence; 0: nothing yet
+        self.successor, self.sure = tables.successor.astype(np.int64), tables.sure.astype(np.int64)
+        self.table1 = np.zeros(lanes * _ORDER1, np.int32)  # (rank + 1) << 2 | confidence from 1 to 3; 0: nothing yet
         self.table2 = np.zeros(lanes * _ORDER2, np.int32)
-        self.base1, self.base2, self.base = lane * _ORDER1, lane * _ORDER2, lane * _CONTEXTS
-        # Estimates of hits, of 65536: by the states of both tables (5 x 5), and by sureness and whether both agree; where they start.
+        self.base1, self.base2 = lane * _ORDER1, lane * _ORDER2
+        # Estimates of hits, of 65536, of order 2 above those of order 1 in a number: by the confidences of both tables, and by sureness.
         state = np.arange(_CONTEXTS)
-        two = np.array([256, 12000, 20000, 30000, 40000, 256, 256])[state // 5]
-        one = np.array([6000, 5000, 14000, 24000, 36000])[state % 5]
-        sure = np.minimum(state % _SURE * 65536 // _SURE + 1024, 60000)
-        self.hits2 = [np.tile(x, lanes).astype(np.int64) for x in (two, np.full(_CONTEXTS, 8000))]
-        self.hits1 = [np.tile(x, lanes).astype(np.int64) for x in (one, sure)]
+        by_confidence = np.array([64, 16000, 30000, 42000])[state // 4] << 16 | np.array([6000, 5000, 20000, 34000])[state % 4]
+        by_sureness = np.full(_CONTEXTS, 4000) << 16 | np.minimum(state * 65536 // _SURE + 1024, 60000)
+        self.hits = np.concatenate([np.tile(by_confidence, lanes), np.tile(by_sureness, lanes)]).astype(np.int64)
+        self.base = np.stack([lane * _CONTEXTS, (lane + lanes) * _CONTEXTS])
         self.weight2, self.weight1 = np.full(lanes, 192, np.int64), np.full(lanes, 128, np.int64)  # of the first estimate, of 256
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> None:
         last = self.last[:n]
-        spread = last * np.int64(0x9E3779B1)
-        self.at1 = self.base1[:n] + (spread >> 9 & (_ORDER1 - 1))
-        self.at2 = self.base2[:n] + ((spread + self.before[:n] * np.int64(0x6A09E667)) >> 11 & (_ORDER2 - 1))
-        self.slot1, self.slot2 = one, two = self.table1.take(self.at1), self.table2.take(self.at2)
+        spread = last * 0x9E3779B1
+        self.at1 = (spread >> 9 & (_ORDER1 - 1)) + self.base1[:n]
+        spread += self.before[:n] * 0x6A09E667
+        self.at2 = (spread >> 11 & (_ORDER2 - 1)) + self.base2[:n]
+        one, two = self.table1.take(self.at1).astype(np.int64), self.table2.take(self.at2).astype(np.int64)
         self.id1 = np.where(one > 0, (one >> 2) - 1, self.successor.take(last))
         self.id2 = (two >> 2) - 1
         self.conf1, self.conf2 = one & 3, two & 3
-        states = (self.conf2 + (two > 0)) * 5 + self.conf1 + (one > 0)
-        self.contexts = self.base[:n] + states, self.base[:n] + self.sure.take(last) + _SURE * (self.id1 == self.id2)
-        self.old2 = [h.take(at) for h, at in zip(self.hits2, self.contexts, strict=True)]
-        self.old1 = [h.take(at) for h, at in zip(self.hits1, self.contexts, strict=True)]
-        w2, w1 = self.weight2[:n], self.weight1[:n]
-        share2 = self.old2[1] + ((self.old2[0] - self.old2[1]) * w2 >> 8)
-        share1 = self.old1[1] + ((self.old1[0] - self.old1[1]) * w1 >> 8)
-        self.f2 = np.where(two > 0, np.minimum(share2, _HITS_MOST - 4096), 0) + 1
-        self.hits = self.f2 + ((_HITS_MOST - self.f2) * share1 >> 16) + 1
-        self.miss = 65536 - self.hits
+        self.at = self.base[:, :n].copy()
+        self.at[0] += self.conf2 << 2 | self.conf1
+        self.at[1] += self.sure.take(last)
+        both = self.hits.take(self.at)
+        self.old2, self.old1 = both >> 16, both & 65535
+        self.gap2, self.gap1 = self.old2[0] - self.old2[1], self.old1[0] - self.old1[1]
+        self.f2 = np.minimum((self.gap2 * self.weight2[:n] >> 8) + self.old2[1], _HITS_MOST - 4096) + 1
+        share1 = (self.gap1 * self.weight1[:n] >> 8) + self.old1[1]
+        self.covered = self.f2 + ((_HITS_MOST - self.f2) * share1 >> 16) + 1
+        self.miss = 65536 - self.covered
 
     def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        fresh = (x + 1) << 2
-        for table, at, slot, conf, same in ((self.table1, self.at1, self.slot1, self.conf1, self.id1 == x), (self.table2, self.at2, self.slot2, self.conf2, hit2)):
-            table[at] = np.where(same, fresh | np.minimum(conf + 1, 3), np.where(conf > 0, slot - 1, fresh))
-        goal = hit2 * np.int64(65535)
-        off = [goal - old for old in self.old2]
-        for hits, at, old, d in zip(self.hits2, self.contexts, self.old2, off, strict=True):
-            hits[at] = old + (d >> _RATE)
-        self.weight2[:n] = np.clip(self.weight2[:n] + ((np.abs(off[1]) - np.abs(off[0])) >> 12), 8, 248)
-        missed = np.flatnonzero(~hit2)
-        goal = hit1[missed] * np.int64(65535)
-        off = [goal - old[missed] for old in self.old1]
-        for hits, at, old, d in zip(self.hits1, self.contexts, self.old1, off, strict=True):
-            hits[at[missed]] = old[missed] + (d >> _RATE)
-        self.weight1[missed] = np.clip(self.weight1[missed] + ((np.abs(off[1]) - np.abs(off[0])) >> 12), 8, 248)
-        self.before[:n], self.last[:n] = self.last[:n], x
+        fresh = (x << 2) + 5
+        self.table1[self.at1] = fresh + np.minimum(self.conf1, 2) * (self.id1 == x)
+        self.table2[self.at2] = fresh + np.minimum(self.conf2, 2) * hit2
+        two, one = hit2.astype(np.int64), hit1.astype(np.int64)
+        open_ = 1 - two  # order 1 learns only where order 2 has missed
+        new2 = self.old2 + ((two * 65535 - self.old2) >> _RATE)
+        new1 = self.old1 + ((one * 65535 - self.old1) >> _RATE) * open_
+        self.hits[self.at] = new2 << 16 | new1
+        # Whichever estimate was nearer to what came gains weight.
+        for weight, gap, sign in ((self.weight2[:n], self.gap2, two * 2 - 1), (self.weight1[:n], self.gap1, (one * 2 - 1) * open_)):
+            weight += gap * sign >> 12
+            np.maximum(weight, 8, out=weight)
+            np.minimum(weight, 248, out=weight)
+        self.before[:n] = self.last[:n]
+        self.last[:n] = x
 
 
 def block_size(n_ids: int) -> int:
@@ -178,11 +178,11 @@ def encode_blocks(ranks: np.ndarray, tables: Tables, block_ids: int = BLOCK_IDS[
     words, count = np.zeros((lanes, block_ids + 16), np.uint32), np.zeros(lanes, np.int64)
     for t in range(min(block_ids, len(ranks)) if lanes == 1 else block_ids):
         n = lanes if t < short else lanes - 1
-        x = grid[t, :n]
+        x = grid[t, :n].astype(np.int64)
         model.predict(n)
         hit2 = model.id2 == x
         hit1 = ~hit2 & (model.id1 == x)
-        fine, miss = model.hits << _FINE, model.miss
+        fine, miss = model.covered << _FINE, model.miss
         start, end = fine + (miss * running.take(x) >> _FREQUENCIES - _FINE), fine + (miss * running.take(x + 1) >> _FREQUENCIES - _FINE)
         f2 = model.f2 << _FINE
         start = np.where(hit2, 0, np.where(hit1, f2, start))
@@ -217,11 +217,11 @@ def decode_blocks(codes: list[bytes], sizes: np.ndarray, tables: Tables) -> np.n
         n = lanes if t < short else lanes - 1
         model.predict(n)
         v = np.minimum((code[:n] - low[:n]) // (size[:n] >> _TOTAL), np.uint64(2 ** int(_TOTAL) - 1)).astype(np.int64)
-        f2, fine, miss = model.f2 << _FINE, model.hits << _FINE, model.miss
+        f2, fine, miss = model.f2 << _FINE, model.covered << _FINE, model.miss
         hit2 = v < f2
         hit1 = ~hit2 & (v < fine)
         place = ((np.maximum(v - fine, 0) + 1 << _FREQUENCIES - _FINE) - 1) // miss  # the last frequency that begins at or before v
-        x = np.where(hit2, model.id2, np.where(hit1, model.id1, rank_at.take(place, mode="clip")))
+        x = np.where(hit2, model.id2, np.where(hit1, model.id1, rank_at.take(place, mode="clip").astype(np.int64)))
         start, end = fine + (miss * running.take(x) >> _FREQUENCIES - _FINE), fine + (miss * running.take(x + 1) >> _FREQUENCIES - _FINE)
         start = np.where(hit2, 0, np.where(hit1, f2, start))
         end = np.where(hit2, f2, np.where(hit1, fine, end))
