@@ -3,8 +3,8 @@
 Pieces are packed by best-fit decreasing in partitions of bounded size. Lower bounds by dual feasible functions say
 how few bins a partition needs, and, from the counts of all lengths, how few all need together. Where the bins of all
 partitions meet the common bound the packing is certified as a whole. Until then, partitions with a gap (over their own
-bound, or over their volume as long as the whole has one) keep their fuller bins and exchange the documents of the
-emptiest ones, half of their pieces, in half as many partitions, where best fit runs again. Each round has half of the pieces
+bound or their volume) keep their fuller bins and exchange the documents of the emptiest ones, half of their pieces, in half
+as many partitions, where best fit runs again; partitions without a gap give up their emptiest bin. Each round has half of the pieces
 of the one before, so all rounds together cost twice the first, and the last is one partition that all gaps have come down to.
 Only narrow rows (key, length, checksum) are moved; the driver sees counts by length and two counts for each round.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,16 +81,18 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
-    """Adds the bin of each piece, whether it is the first of its bin, and whether the bin is given up: of a partition with a gap the emptiest bins with half of its pieces."""
+    """Adds the bin of each piece, whether it is the first of its bin, and whether the bin is given up: of a partition with a gap the emptiest bins with half of its pieces, of others the emptiest one."""
     table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
     lengths = table["length"].to_numpy()
     bins = best_fit_decreasing(lengths, capacity)
     filled = np.bincount(bins, weights=lengths).astype(np.int64)
     released = np.zeros(len(filled), bool)
+    order = np.argsort(filled, kind="stable")
     if len(filled) > min(lower_bound(lengths, capacity), -(-int(filled.sum()) // capacity)):
-        order = np.argsort(filled, kind="stable")
         pieces_up_to = np.cumsum(np.bincount(bins)[order])
         released[order[: int(np.searchsorted(pieces_up_to, len(bins) / 2)) + 1]] = True
+    else:
+        released[order[:1]] = filled[order[:1]] < capacity
     first = np.zeros(len(bins), bool)
     first[np.unique(bins, return_index=True)[1]] = True
     for name, values in (("bin", bins), ("first", first), ("released", released[bins])):
@@ -97,28 +100,35 @@ def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
     return table
 
 
-def _packed(pieces: DataFrame, round_no: int, capacity: int, parts: int) -> DataFrame:
-    dealt = pieces.select(*pieces.columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(parts)).alias("part"))
+def _packed(pieces: DataFrame, round_no: int, capacity: int, parts: int, total: int) -> DataFrame:
+    if "position" in pieces.columns:
+        part = F.expr(f"cast(position as decimal(38, 0)) * {parts} div {max(total, 1)}").cast("long")
+    else:
+        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(parts))
+    dealt = pieces.select(*pieces.columns, part.alias("part"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin bigint, first boolean, released boolean"
     out = dealt.groupBy("part").applyInArrow(lambda table: _pack_partition(table, capacity), schema)
-    return out.withColumn("sequence_id", (F.lit(round_no) * F.lit(2**56) + F.col("part") * F.lit(2**32) + F.col("bin")).cast("long")).drop("bin", "part")
+    # By where the partition begins among those of the first round, then by round.
+    return out.withColumn("sequence_id", (F.col("part") * F.lit(2 ** (36 + round_no)) + F.lit(round_no) * F.lit(2**31) + F.col("bin")).cast("long")).drop("bin", "part")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
     """pieces (PIECE_SCHEMA; lengths 1 to capacity) with sequence_id and offset.
 
-    Repeated rows are packed as rows of their own; an empty table gives an empty table.
+    With a further column position (0 to the number of documents - 1) partitions are consecutive stretches of it, neighbours exchange, and
+    sequence_id follows it stretch by stretch; else pieces are dealt by a hash. Repeated rows are packed as rows of their own; an empty table gives an empty table.
     sequence_id is unique, not dense. Pieces as long as the capacity are sequences of their own.
     """
     columns = pieces.columns
     sequences = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(-1) - F.monotonically_increasing_id())
     current = pieces.filter(F.col("length") < capacity)
+    total = pieces.agg(F.coalesce(F.max("position"), F.lit(0)) + 1).first()[0] if "position" in columns else 0
     have = np.zeros(capacity + 1, np.int64)
     for r in current.groupBy("length").count().collect():  # a row for each length, fewer than the capacity
         have[r.length] = r["count"]
     parts, round_no, left = max(1, -(-int(have.sum()) // per_partition)), 0, bound_of_counts(have, capacity)
     while True:
-        packed = materialize(_packed(current, round_no, capacity, parts), "packed")
+        packed = materialize(_packed(current, round_no, capacity, parts, total), "packed")
         bins, given_up = packed.agg(F.count_if("first"), F.count_if(F.col("first") & F.col("released"))).first()
         if parts == 1 or bins <= left or not given_up:  # nobody to exchange with, or nothing to gain
             return _placed(sequences.unionByName(packed.drop("first", "released")))
@@ -135,8 +145,9 @@ def _placed(sequences: DataFrame) -> DataFrame:
 def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every whole text; only documents longer than the capacity are cut, the first piece being the short one.
 
-    A null or empty text is the end id alone.
+    A null or empty text is the end id alone. A column position is kept beside the pieces.
     """
+    kept = [c for c in ("position",) if c in documents.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, tokens.cut_before_words).encode
@@ -152,11 +163,23 @@ def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
             data = ids.astype("<u4")
             crc = [zlib.crc32(data[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *(batch.column(c).take(pa.array(row)) for c in kept)],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", *kept],
             )
 
-    return documents.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return documents.select("doc_id", "text", *kept).mapInArrow(run, ", ".join([PIECE_SCHEMA, *(f"{c} bigint" for c in kept)]))
+
+
+def in_written_order(documents: DataFrame) -> DataFrame:
+    """doc_id, text and position of documents read from a Parquet table of Spark's: rows count on from file to file in the order of the parts. Without files behind them there is no position."""
+    try:
+        rows = documents.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return documents.select("doc_id", "text")
+    rows = rows.withColumn("_file", F.expr("try_cast(_file AS bigint)"))
+    counts = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))  # a row for each file
+    ahead = counts.select(F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    return rows.join(F.broadcast(ahead), F.expr("_file <=> _f")).select("doc_id", "text", (F.col("_ahead") + F.col("_row")).alias("position"))
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
