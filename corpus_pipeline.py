@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    """The pieces of all documents with their sequences and places; sequences follow the order in which the mixture was written, stretch by stretch."""
+    return packing.pack_documents(packing.in_written_order(docs), tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [
