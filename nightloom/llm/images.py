@@ -27,8 +27,8 @@ SIDE = 64
 SCALES = {1.0: 16, 0.75: 12, 0.5: 8}
 BITS, BANDS, WORDS = 256, 8, 4
 #: Bits in which matching descriptors differ at most.
-DISTANCE = 40
-RADIUS = 11
+DISTANCE = 28
+RADIUS = 14
 MIN_VOTES = 4
 #: Rounds against hubs before the rest of the buckets is compared.
 ROUNDS = 2

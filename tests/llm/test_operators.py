@@ -257,6 +257,7 @@ def test_edited_and_cropped_copies_share_a_class(spark):
     assert found == brute_classes(rows)
     assert len({found[k] for k in range(20)}) == 20
     recall = {name: np.mean([found[20 * (e + 1) + k] == found[k] for k in range(20)]) for e, name in enumerate(EDITS)}
+    print(recall)
     assert min(recall.values()) >= 0.9, recall
 
 
