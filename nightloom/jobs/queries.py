@@ -307,7 +307,21 @@ def attribution_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, y, avg((v < 0)::INT::DOUBLE) AS share FROM ({_PIXELS}) GROUP BY image_id, y) GROUP BY image_id"""
 )
 def edge_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.first_good_rows(tables.pixels(spark, sf_dir), F.col("v") < 0, 0.5)
+    return frames.first_good(tables.pixels(spark, sf_dir), F.col("v") < 0, 0.5).withColumnRenamed("first", "first_y")
+
+
+@query(
+    f"""WITH r AS (SELECT image_id, y, avg((v < 0)::INT::DOUBLE) AS share FROM ({_PIXELS}) GROUP BY image_id, y), c AS (SELECT image_id, x, avg((v < 0)::INT::DOUBLE) AS share FROM ({_PIXELS}) GROUP BY image_id, x),
+    a AS (SELECT image_id, max(y) FILTER (share <= 0.5 AND y <= 6)::INT AS top FROM r GROUP BY image_id),
+    b AS (SELECT image_id, min(x) FILTER (share <= 0.5 AND x >= 2)::INT AS left_x, max(x) FILTER (share <= 0.5)::INT AS right_x FROM c GROUP BY image_id)
+    SELECT image_id, top, left_x, right_x FROM a JOIN b USING (image_id)"""
+)
+def edge_trim_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other three edges, two of them from a start within the image."""
+    pixels, bad = tables.pixels(spark, sf_dir), F.col("v") < 0
+    sides = [("top", "y", 6, -1), ("left_x", "x", 2, 1), ("right_x", "x", 7, -1)]
+    top, left, right = (frames.first_good(pixels, bad, 0.5, axis, start, inward).withColumnRenamed("first", name) for name, axis, start, inward in sides)
+    return top.join(left, "image_id").join(right, "image_id")
 
 
 @query(

@@ -54,10 +54,11 @@ def masked(pixels: DataFrame, bad: DataFrame, threshold: float) -> DataFrame:
     return pixels.join(bad.select("y", "x", F.lit(True).alias("bad")), ["y", "x"], "left").select("image_id", "y", "x", F.when(~F.coalesce("bad", F.lit(False)) & (F.col("v") >= threshold), F.col("v")).alias("v"))
 
 
-def first_good_rows(pixels: DataFrame, bad: Column, most: float) -> DataFrame:
-    """image_id, first_y: the first row of which no more than a share is bad; null where there is none."""
-    rows = pixels.groupBy("image_id", "y").agg(F.avg(bad.cast("double")).alias("share"))
-    return rows.groupBy("image_id").agg(F.min(F.when(F.col("share") <= most, F.col("y"))).alias("first_y"))
+def first_good(pixels: DataFrame, bad: Column, most: float, axis: str = "y", start: int = 0, inward: int = 1) -> DataFrame:
+    """image_id, first: of the rows (axis y) or columns (axis x) from start on inwards (1: upwards, -1: downwards) the first of which no more than a share is bad; null where there is none."""
+    lines = pixels.filter((F.col(axis) - start) * inward >= 0).groupBy("image_id", axis).agg(F.avg(bad.cast("double")).alias("share"))
+    found = F.min(F.when(F.col("share") <= most, F.col(axis) * inward))
+    return lines.groupBy("image_id").agg((found * inward).alias("first"))
 
 
 def comparison_limits(pixels: DataFrame, low: float = 1, high: float = 99) -> DataFrame:
