@@ -76,10 +76,6 @@ def box_masked(pixels: DataFrame, bodies: DataFrame, reach: int) -> DataFrame:
     return pixels.join(bad, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("bad").isNull(), F.col("v")).alias("v"))
 
 
-def every_nth(rows: DataFrame, key: str, n: int, pieces: int = 256) -> DataFrame:
-    """Every n-th row in the order of a distinct key, the first included. Rows are numbered within ranges of the key and by the ranges' counts, not in one task."""
-    ranged = tables.written(rows.repartitionByRange(pieces, key).withColumn("_part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
-    ahead = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    place = F.col("_ahead") + F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
-    return ranged.join(F.broadcast(ahead), "_part").withColumn("_place", place).filter(F.col("_place") % n == 0).select(*rows.columns)
+def every_nth(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Every n-th row in the order of a distinct key, the first included."""
+    return tables.numbered(rows, key, "_place").filter(F.col("_place") % n == 0).select(*rows.columns)

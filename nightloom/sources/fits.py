@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from nightloom.functions.projection import WCS_SCHEMA, Projection
+from nightloom.sources import tables
+
 SCHEMA = "path string, ny int, nx int, data array<double>, wcs_key string, meta map<string,string>"
 _TYPES = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 _CARD = re.compile(r"\s*('(?:[^']|'')*'|[^/]*)")
@@ -70,3 +73,27 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """The image table of nightloom.operators.sky (image_id, ny, nx, data, wcs) with path and meta; image_id numbers the files in the order of their paths.
+
+    Only the paths are numbered; the files are read once they are needed. Of data of several planes each is an image of its own (plane).
+    """
+    ids = tables.numbered(spark.read.format("binaryFile").load(path).select("path"), "path", "image_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("kind", pa.string()), *[(k, pa.list_(pa.float64())) for k in ("crpix", "crval", "cdelt", "pc", "pv")]])
+        for batch in batches:
+            rows = []
+            for meta, key in zip(batch.column("meta").to_pylist(), batch.column("wcs_key").to_pylist(), strict=True):
+                p = Projection.of_header(dict(meta), key)
+                rows.append({"kind": p.kind, **{k: list(getattr(p, k)) for k in ("crpix", "crval", "cdelt", "pc", "pv")}})
+            planes = [np.array_split(np.array(d), len(d) // (ny * nx)) for d, ny, nx in zip(batch.column("data").to_pylist(), batch.column("ny").to_pylist(), batch.column("nx").to_pylist(), strict=True)]
+            at = pa.array(np.repeat(np.arange(len(rows)), [len(p) for p in planes]), pa.int64())
+            plane = pa.array([k for p in planes for k in range(len(p))], pa.int32())
+            columns = [batch.column("path").take(at), plane, batch.column("ny").take(at), batch.column("nx").take(at), pa.array([v for p in planes for v in p], pa.list_(pa.float64())), pa.array(rows, kind).take(at), batch.column("meta").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "plane", "ny", "nx", "data", "wcs", "meta"])
+
+    made = read(spark, path).mapInArrow(run, f"path string, plane int, ny int, nx int, data array<double>, wcs {WCS_SCHEMA}, meta map<string,string>")
+    return made.join(ids, "path").select("image_id", "plane", "ny", "nx", "data", "wcs", "path", "meta")

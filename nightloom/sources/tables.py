@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, key: str, name: str, pieces: int = 256) -> DataFrame:
+    """rows with their number (from 0) in the order of a distinct key: within ranges of the key and by the ranges' counts, not in one task."""
+    ranged = written(rows.repartitionByRange(pieces, key).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    ahead = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    place = F.col("_ahead") + F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return ranged.join(F.broadcast(ahead), "_part").withColumn(name, place).drop("_part", "_ahead")
+
+
 def sky_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, ny, nx, data, wcs: embeddings as 8 x 8 images of one degree a pixel, dithered about RA 0 and Dec 0; some cross RA 0."""
     k = F.col("vec_id")

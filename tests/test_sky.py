@@ -270,3 +270,17 @@ def test_saved_tables_are_not_overwritten_unasked(spark, tmp_path):
         sky.save(rows, f"{tmp_path}/map")
     sky.save(rows, f"{tmp_path}/map", overwrite=True)
     assert spark.read.parquet(f"{tmp_path}/map").columns == ["y", "x", "value"]
+
+
+def test_fits_files_become_a_map(spark, tmp_path):
+    for k in range(3):
+        numbers = {"CRPIX1": 8.5, "CRPIX2": 8.5, "CRVAL1": 100.0 + k, "CRVAL2": 10.0, "CDELT1": 1.0, "CDELT2": 1.0, "PV2_1": 1.0}
+        cards = [f"{n:<8}= {v:>20}" for n, v in {"SIMPLE": "T", "BITPIX": -64, "NAXIS": 3, "NAXIS1": 16, "NAXIS2": 16, "NAXIS3": 2, **numbers}.items()]
+        raw = "".join(c.ljust(80) for c in [*cards, "CTYPE1  = 'RA---ZPN'", "CTYPE2  = 'DEC--ZPN'", "END"]).ljust(2880).encode()
+        planes = np.stack([np.full((16, 16), 5.0), np.full((16, 16), 7.0)])
+        (tmp_path / f"{2 - k}.fits").write_bytes(raw + planes.astype(">f8").tobytes().ljust(5760, b"\0"))
+    images = fits.images(spark, str(tmp_path))
+    rows = images.select("image_id", "plane", "wcs.crval", F.size("data").alias("n"), F.array_max("data").alias("v")).collect()
+    assert {(r.image_id, r.plane, r.crval[0], r.n, r.v) for r in rows} == {(2 - k, p, 100.0 + k, 256, 5.0 + 2 * p) for k in range(3) for p in (0, 1)}
+    made = sky.build_map(images.filter("plane = 0"), {"mean": F.avg("v")}, wcs.default_grid(1.0), frame_count=True).collect()
+    assert {r.frame_count for r in made} == {1, 2, 3} and all(r.value == pytest.approx(5 * math.cos(math.radians(r.y - 89.5)), rel=0.03) for r in made)
