@@ -64,8 +64,14 @@ class Tables:
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Tables, np.ndarray]:
         """The tables of a file's ids, and the ids as ranks."""
-        known, rank, count = np.unique(ids, return_inverse=True, return_counts=True)
+        known, count = np.unique(ids, return_counts=True)
         n, m = len(ids), len(known)
+        if n and known[-1] < 2**24:  # a vocabulary's ids are small numbers: a list of ranks is faster than a search
+            ranks = np.zeros(int(known[-1]) + 1, np.int64)
+            ranks[known] = np.arange(m)
+            rank = ranks.take(ids)
+        else:
+            rank = np.searchsorted(known, ids)
         if not n:
             return cls(*(np.zeros(0, np.uint32),) * 3, np.zeros(0, np.uint8)), np.zeros(0, np.int32)
         frequency = 1 + count * (2**_FREQUENCIES - m) // n

@@ -16,6 +16,9 @@ import numpy as np
 #: Chunks remembered in one worker; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 
+#: Chunks that are encoded as one text.
+JOINED = 2000
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACED = re.compile(r" ?[^ ]+")
 _ODD_SPACE = re.compile(r" \s|\s | \Z|\A ")
@@ -54,6 +57,8 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut, self.remembered = cut, remembered
+        special = sorted((k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and "<|" in t.content)
+        self.parted = special[0] if special and cut is cut_at_whitespace else None  # byte-level ones gain nothing by it
         self.forget()
 
     def forget(self) -> None:
@@ -63,13 +68,25 @@ class ChunkEncoder:
         self.start = np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(self.codes.new, add_special_tokens=False)]
+        ids = self._encoded(self.codes.new)
         self.codes.new = []
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         start = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.concatenate([np.asarray(x, np.uint32) for x in ids])])
         self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
 
+    def _encoded(self, chunks: list[str]) -> list[Sequence[int]]:
+        """The ids of each chunk. Many chunks are one text where a special token can part them: the library encodes what lies between special tokens on its own."""
+        if self.parted is None:
+            return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        number, token = self.parted
+        out: list[Sequence[int]] = []
+        for at in range(0, len(chunks), JOINED):
+            ids = np.array(self.tokenizer.encode_batch_fast([token.join(chunks[at : at + JOINED])], add_special_tokens=False)[0].ids, np.int64)
+            edges = np.concatenate([[-1], np.flatnonzero(ids == number), [len(ids)]])
+            out += [ids[a + 1 : b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return out
+
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has. A null text has none."""
         if len(self.codes) > self.remembered:
