@@ -144,5 +144,7 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, block_
 
 
 def document_slots(documents: DataFrame) -> DataFrame:
-    """doc_id, source, block, phase, slot, release, deadline of every document."""
-    return schedule_documents(documents.select("doc_id", "source", "text")).select("doc_id", "source", "block", "phase", "slot", "release", "deadline")
+    """doc_id, source, block, phase, slot, release, deadline of every document. No text is moved."""
+    rows = documents.select("doc_id", "source", F.xxhash64("text").alias("fp"), F.coalesce("source", F.lit("\x00null")).alias("key"))
+    at = place_documents(documents).select(F.col("doc_id").alias("id"), F.col("fp").alias("text_fp"), "_source", "block", "phase", "slot", "release", "deadline")
+    return rows.join(at, F.expr("doc_id <=> id AND fp = text_fp AND key = _source")).select("doc_id", "source", "block", "phase", "slot", "release", "deadline")
