@@ -284,3 +284,43 @@ def test_fits_files_become_a_map(spark, tmp_path):
     assert {(r.image_id, r.plane, r.crval[0], r.n, r.v) for r in rows} == {(2 - k, p, 100.0 + k, 256, 5.0 + 2 * p) for k in range(3) for p in (0, 1)}
     made = sky.build_map(images.filter("plane = 0"), {"mean": F.avg("v")}, wcs.default_grid(1.0), frame_count=True).collect()
     assert {r.frame_count for r in made} == {1, 2, 3} and all(r.value == pytest.approx(5 * math.cos(math.radians(r.y - 89.5)), rel=0.03) for r in made)
+
+
+@pytest.mark.parametrize("name,kernel,digits", [("map_gaussian", "gaussian", 5), ("map_gaussian_amplitude", "gaussian_amplitude", 5), ("map_skew", "skew_gaussian", 4)])
+def test_fitted_maps_equal_the_fit_of_each_pixel(spark, name, kernel, digits):
+    from nightloom.sources import tables
+
+    stacks = {}
+    for r in tables.samples(spark, SF).collect():
+        stacks.setdefault((r.y, r.x), []).append(r.v)
+    for r in QUERIES[name](spark, SF).collect():
+        want = reducers.KERNELS[kernel](np.array(stacks.pop((r.y, r.x)), float))
+        assert r.value == (pytest.approx(want, abs=10.0**-digits) if math.isfinite(want) else None)
+    assert not stacks
+
+
+def test_gaussian_fits_are_the_least_of_a_grid():
+    """The weighted cost of the fitted centre is no more than that of any centre and width of a fine grid."""
+    rng = np.random.default_rng(11)
+    for _ in range(10):
+        values = rng.normal(3, 2, 300)
+        kept = reducers.sigma_clip(values, 3.0, 50)
+        counts, edges = np.histogram(kept, min(len(kept) // 5, 50))
+        x, height = (edges[1:] + edges[:-1]) / 2, counts / (counts.sum() * (edges[1] - edges[0]))
+        centre = np.linspace(2, 4, 201)[:, None, None]
+        width = np.linspace(1, 3, 101)[None, :, None]
+        cost = (height * (np.exp(-((x - centre) ** 2) / (2 * width**2)) / (math.sqrt(2 * math.pi) * width) - height) ** 2).sum(-1)
+        best = centre[np.unravel_index(cost.argmin(), cost.shape)[0], 0, 0]
+        assert reducers.gaussian_centre(values) == pytest.approx(best, abs=0.011)
+
+
+def test_adaptive_resampling_query_equals_the_kernel(spark):
+    from nightloom.functions import resample as R
+
+    data = {r.vec_id: np.array(r.embedding, float).reshape(8, 8) for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id < 40").collect()}
+    found = {}
+    for r in QUERIES["resample_adaptive"](spark, SF).filter("image_id < 40").collect():
+        found.setdefault(r.image_id, {})[r.y, r.x] = r.v
+    for k, image in data.items():
+        out = R.resample(image, R.affine(15.0 * (k % 7), 0.8 + 0.1 * (k % 5), (3.5, 3.5), (5.5, 5.5)), (12, 12), strict=False)
+        assert found[k] == {(int(y), int(x)): pytest.approx(out[y, x], abs=1e-6) for y, x in zip(*np.nonzero(np.isfinite(out)))}
