@@ -37,8 +37,8 @@ BLOCK_ROWS = 512
 #: Bins of a proposal: degrees, halves of scale doublings, pixels.
 TURN_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.5, 10.0
 
-#: Of each image the tables' keys of all corners, BANDS in a row, the corners' places, and their bits, WORDS in a row.
-_POINTS = "image_id bigint, digest string, buckets array<bigint>, places array<int>, bits array<bigint>"
+#: Of each image the corners' places and their bits, WORDS in a row.
+_POINTS = "image_id bigint, digest string, places array<int>, bits array<bigint>"
 
 
 def _pattern() -> np.ndarray:
@@ -129,16 +129,19 @@ def render(values: np.ndarray) -> np.ndarray:
     return np.rint(255 * (a - low) / np.maximum(high - low, 1e-9))
 
 
-def keyed(corners: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The keys of all tables, the places (x, y, angle and scale in one number) and the bits of an image's corners."""
+def placed_bits(corners: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The places (x, y, angle and scale in one number) and the bits of an image's corners."""
     x, y, angle, scale, bits = corners
-    bits = np.ascontiguousarray(bits)
-    bands = bits.view(">u4").reshape(len(x), BANDS).astype(np.int64)
-    buckets = (bands * BANDS + np.arange(BANDS)).ravel()
     step = np.array([list(SCALES).index(s) for s in scale], np.int64)
     turn = np.rint(angle / (2 * np.pi) * 256).astype(np.int64) % 256
     places = ((np.rint(x).astype(np.int64).clip(0, 127) * 128 + np.rint(y).astype(np.int64).clip(0, 127)) * 256 + turn) * 4 + step
-    return buckets, places.astype(np.int32), bits.view(">i8").astype(np.int64).ravel()
+    return places.astype(np.int32), np.ascontiguousarray(bits).view(">i8").astype(np.int64).ravel()
+
+
+def _buckets() -> Column:
+    """The keys of a corner's bits in all tables: a half of a word, and which."""
+    halves = [half for k in range(WORDS) for half in (F.shiftrightunsigned(f"w{k}", 32), F.col(f"w{k}").bitwiseAND(F.lit(2**32 - 1)))]
+    return F.array(*[half * BANDS + k for k, half in enumerate(halves)])
 
 
 def points(rows: DataFrame, image_id: str = "image_id", grid: str = "grid") -> DataFrame:
@@ -148,12 +151,12 @@ def points(rows: DataFrame, image_id: str = "image_id", grid: str = "grid") -> D
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             lists = batch.column(1).to_pylist()
             good = [k for k, v in enumerate(lists) if v is not None and len(v) == 64 and all(x is not None and abs(x) < 1e30 for x in v)]
-            out: list[tuple] = [(None, [], [], [])] * len(lists)
+            out: list[tuple] = [(None, [], [])] * len(lists)
             if good:
                 shown = render(np.array([lists[k] for k in good], float))
                 for k, image, corners in zip(good, shown, describe(shown), strict=True):
-                    out[k] = (hashlib.sha256(image.astype(np.uint8).tobytes()).hexdigest(), *keyed(corners))
-            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())))]
+                    out[k] = (hashlib.sha256(image.astype(np.uint8).tobytes()).hexdigest(), *placed_bits(corners))
+            columns = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[x.split()[0] for x in _POINTS.split(", ")])
 
     return rows.select(F.col(image_id).cast("long"), grid).mapInArrow(run, _POINTS)
@@ -214,17 +217,16 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the class of their pixels, or have none.
     """
     same = described.groupBy("digest").agg(F.min("image_id").alias("one")).filter("digest IS NOT NULL AND one IS NOT NULL")
-    lone = described.join(same.withColumnRenamed("digest", "d"), F.expr("digest = d AND image_id = one"), "left_semi").dropDuplicates(["image_id"])
-    lone = materialize(lone, "images")
-    narrow = lone.select("image_id", F.posexplode("buckets").alias("k", "bucket")).select("bucket", "image_id", F.expr(f"cast(k div {BANDS} AS int)").alias("corner")).repartition("bucket")
+    ids = materialize(described.join(same.withColumnRenamed("digest", "d"), F.expr("digest = d AND image_id = one"), "left_semi").select("image_id").distinct(), "images")
+    lone = described.join(ids, "image_id", "left_semi").select("image_id", F.posexplode("places").alias("corner", "place"), "bits")
+    lone = lone.select("image_id", "corner", "place", *[F.get("bits", F.col("corner") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]).dropDuplicates(["image_id", "corner"])
+    narrow = lone.select("image_id", "corner", F.explode(_buckets()).alias("bucket")).repartition("bucket")
     # All columns are used here, so the shuffle is shared with the join below. An image has few rows of a bucket, so one holds a small part of all rows.
     several = narrow.groupBy("bucket").agg(F.min("image_id").alias("a"), F.max("image_id").alias("b"), F.count("corner").alias("n")).filter("a <> b AND n > 1").select("bucket")
     keys = materialize(narrow.join(several.hint("merge"), "bucket"), "keys")
     release(described.sparkSession)
     # The bits come only to corners whose keys are shared.
-    found = keys.join(lone.select("image_id", "places", "bits"), "image_id")
-    words = [F.get("bits", F.col("corner") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]
-    shared = materialize(found.select("bucket", "image_id", F.get("places", "corner").alias("place"), *words), "corners")
+    shared = materialize(keys.join(lone, ["image_id", "corner"]).drop("corner"), "corners")
     discard(keys)
     release(described.sparkSession)
     links = parts = None

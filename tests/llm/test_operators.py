@@ -202,8 +202,8 @@ EDITS = {
 def image_rows(shown):
     rows = []
     for k, image in enumerate(shown):
-        buckets, places, bits = images.keyed(images.describe(image[None])[0])
-        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), buckets.tolist(), places.tolist(), bits.tolist()))
+        places, bits = images.placed_bits(images.describe(image[None])[0])
+        rows.append((k, hashlib.sha256(image.tobytes()).hexdigest(), places.tolist(), bits.tolist()))
     return rows
 
 
@@ -216,7 +216,8 @@ def brute_classes(rows):
         for two in rows:
             if one[0] == two[0]:
                 continue
-            (b1, p1, w1), (b2, p2, w2) = ((np.array(r[2]).reshape(-1, images.BANDS), np.array(r[3]), np.array(r[4], np.int64).view(np.uint64).reshape(-1, images.WORDS)) for r in (one, two))
+            (p1, w1), (p2, w2) = ((np.array(r[2]), np.array(r[3], np.int64).view(np.uint64).reshape(-1, images.WORDS)) for r in (one, two))
+            b1, b2 = (w.view(np.uint32).reshape(-1, images.BANDS) for w in (w1, w2))
             if not len(p1) or not len(p2):
                 continue
             near = np.bitwise_count(w1[:, None] ^ w2[None]).sum(-1) <= images.DISTANCE
@@ -267,8 +268,9 @@ def test_classes_of_mixed_buckets_are_those_of_all_pairs(spark, monkeypatch, blo
     # Six groups of two; every image has a corner in each common bucket at a place of its own, and pairs share their other places.
     rng = np.random.default_rng(9)
     spots = [[(int(x) * 128 + int(y)) * 1024 for x, y in rng.integers(0, 127, (6, 2))] for _ in range(6)]
-    n = images.BANDS
-    rows = [(k, str(k), [b for c in range(6) for b in (c, *(-1 - n * k - i for i in range(n - 1)))], spots[k % 6], [0] * (6 * images.WORDS)) for k in range(12)]
+    monkeypatch.setattr(images, "DISTANCE", images.BITS)
+    own = lambda k, i: 1000 + 100 * k + i
+    rows = [(k, str(k), spots[k % 6], [w for c in range(6) for w in (c << 32 | own(k, c), *(own(k, 10 + i) << 32 | own(k, 20 + i) for i in range(images.WORDS - 1)))]) for k in range(12)]
     found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS)).collect()}
     assert found == {k: k % 6 for k in range(12)}
 
