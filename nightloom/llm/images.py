@@ -12,7 +12,8 @@ are those of all pairs that meet.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MIN_VOTES = 4
 ROUNDS = 2
 #: Rows of a bucket that are held at once against as many others.
 BLOCK_ROWS = 512
+#: Tables that are joined at once.
+TABLES_AT_ONCE = 2
 #: Bins of a proposal: degrees, halves of scale doublings, pixels.
 TURN_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.5, 10.0
 
@@ -189,25 +192,66 @@ def _consensus(matches: DataFrame) -> DataFrame:
 
 
 def _near(u: str, v: str) -> Column:
-    """Whether the bits of two corners differ little enough."""
-    return F.expr(" + ".join(f"bit_count({u}.w{k} ^ {v}.w{k})" for k in range(WORDS))) <= DISTANCE
+    """Whether two corners of one bucket match: their bits differ little enough, and no earlier table has them in one bucket, so a pair comes once."""
+    apart = [f"({u}.w{k} ^ {v}.w{k})" for k in range(WORDS)]
+    halves = [half for x in apart for half in (f"shiftrightunsigned({x}, 32)", f"({x} & {2**32 - 1})")]
+    first = " AND ".join(f"({u}.bucket % {BANDS} <= {k} OR {half} <> 0)" for k, half in enumerate(halves))
+    return F.expr(" + ".join(f"bit_count({x})" for x in apart) + f" <= {DISTANCE} AND {first}")
+
+
+def _matched(met: DataFrame) -> DataFrame:
+    """u, v, place_u, place_v of rows a and b that meet in a bucket, lie in different components and match."""
+    near = met.filter(F.expr("a.component <> b.component") & _near("a", "b"))
+    return near.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
+
+
+def _by_tables(shared: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links from the matches in the buckets of all tables, worked out a few tables at a time and written, so only theirs are shuffled at once."""
+    parts = []
+    for k in range(0, BANDS, TABLES_AT_ONCE):
+        parts.append(materialize(matches(shared.filter(f"bucket % {BANDS} BETWEEN {k} AND {k + TABLES_AT_ONCE - 1}")), "matches"))
+        release(shared.sparkSession)
+    found = reduce(DataFrame.unionByName, parts)
+    # Each match is one pair of corners; only images with enough of them can agree on a proposal.
+    enough = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_VOTES).select("u", "v")
+    links = materialize(_consensus(found.join(enough, ["u", "v"])), "links")
+    discard(*parts)
+    release(shared.sparkSession)
+    return links
 
 
 def _rest(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Matches, in both directions, of all images that share a bucket and lie in different components. A large bucket's rows are cut into blocks by a hash, and each block meets each other one by a key of its own."""
-    placed = shared.join(parts, F.col("image_id") == F.col("key"), "left").withColumn("component", F.coalesce("component", "image_id")).drop("key")
+    placed = _placed(shared, parts)
     open_ = (
         placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks"))
         .filter("a <> b").select("bucket", "blocks")
     )
-    placed = materialize(placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("image_id", "place"), F.col("blocks"))), "open")
-    # Whoever proposes needs as many distinct corners in such buckets.
-    enough = placed.groupBy("image_id").agg(F.count_distinct(F.expr("place div 1024")).alias("n")).filter(F.col("n") >= MIN_VOTES).select("image_id")
+    placed = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("image_id", "place"), F.col("blocks")))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    one = placed.join(enough, "image_id").select("*", F.col("block").alias("i"), blocks.alias("j")).alias("a")
-    two = placed.select("*", blocks.alias("i"), F.col("block").alias("j")).alias("b")
-    met = one.join(two, ["bucket", "i", "j"]).filter(F.expr("a.component <> b.component") & _near("a", "b"))
-    return met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
+    one = placed.select("*", F.col("block").alias("i"), blocks.alias("j"))
+    two = placed.select("*", blocks.alias("i"), F.col("block").alias("j"))
+    met = one.alias("a").join(two.alias("b"), F.expr("a.bucket = b.bucket AND a.i = b.i AND a.j = b.j"))
+    return _matched(met)
+
+
+def _placed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """shared with the component of each image, itself as long as it has no links."""
+    if parts is None:
+        return shared.withColumn("component", F.col("image_id"))
+    return shared.join(parts, F.col("image_id") == F.col("key"), "left").withColumn("component", F.coalesce("component", "image_id")).drop("key")
+
+
+def _with_hubs(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Matches of the rows of a bucket with its hub: in the first round the smallest image, later the smallest outside of the smallest component."""
+    placed = _placed(shared, parts)
+    if parts is None:
+        hubs = placed.groupBy("bucket").agg(F.min("image_id").alias("hub"))
+    else:
+        least = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+        hubs = placed.join(least, "bucket").filter("component <> a").groupBy("bucket").agg(F.min("image_id").alias("hub"))
+    with_hub = placed.join(hubs, "bucket")
+    return _matched(with_hub.alias("a").join(with_hub.filter("image_id = hub").alias("b"), F.expr("a.bucket = b.bucket")))
 
 
 def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -230,23 +274,11 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     discard(keys)
     release(described.sparkSession)
     links = parts = None
-    for _ in range(rounds):
-        # The hub of a bucket: in the first round its smallest image, later the smallest outside of the smallest component.
-        if parts is None:
-            placed = shared.withColumn("component", F.col("image_id"))
-            hubs = placed.groupBy("bucket").agg(F.min("image_id").alias("hub"))
-        else:
-            placed = shared.join(parts, F.col("image_id") == F.col("key"), "left").withColumn("component", F.coalesce("component", "image_id")).drop("key")
-            least = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-            hubs = placed.join(least, "bucket").filter("component <> a").groupBy("bucket").agg(F.min("image_id").alias("hub"))
-        with_hub = placed.join(hubs, "bucket")
-        met = with_hub.alias("a").join(with_hub.filter("image_id = hub").alias("b"), "bucket").filter(F.expr("a.component <> b.component") & _near("a", "b"))
-        matches = met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
-        new = materialize(_consensus(matches), "links")
+    for search in (*[_with_hubs] * rounds, _rest):
+        new = _by_tables(shared, lambda rows, search=search, parts=parts: search(rows, parts))
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
         release(described.sparkSession)
-    parts = connected(links.unionByName(materialize(_consensus(_rest(shared, parts)), "links")))
     discard(shared)
     rows = described.select("image_id", "digest", F.size("places").cast("long").alias("n_points")).join(same, "digest", "left")
     return rows.join(parts, F.col("one") == F.col("key"), "left").select("image_id", F.coalesce("component", "one", "image_id").alias("class_id"), "n_points")
