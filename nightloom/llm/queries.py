@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idcodec, images, mixing, ngram_join, packing, quality, sharding, substring, toxicity, warc
+from . import alignment, idcodec, images, mixing, ngram_join, packing, prefixtrie, quality, sharding, substring, toxicity, urlfilter, warc
 from .common import read_table
 
 
@@ -60,6 +60,18 @@ def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Query] = {
     "op8_range_coder": op8_range_coder,
     "op9_best_fit": op9_best_fit,
     "op10_partenum": op10_partenum,
+    "op11_token_spans": op11_token_spans,
+    "op12_bloom_cascade": op12_bloom_cascade,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +94,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_seed_extend": substring.SUBSTRING_SQL,
     "op7_rendezvous": sharding.SHARDS_SQL,
     "op10_partenum": ngram_join.JACCARD_SQL,
+    "op12_bloom_cascade": urlfilter.URL_SQL,
+    "op13_prefix_trie": prefixtrie.TRIE_SQL,
 }
