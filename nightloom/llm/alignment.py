@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .tokens import _Codes, cut_before_words
 from .wordhash import slices
 
 #: Chunks and characters of chunks that a worker remembers; beyond either its memory starts anew.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 20_000_000
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 30_000_000
 #: Pairs of ids whose counts are broadcast at most; the counts of the others are joined.
 BROADCAST_PAIRS = 2_000_000
 
@@ -39,12 +40,6 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def _span_ends(raw: bytes) -> np.ndarray:
-    """For each character of a text its first byte, and the length of the text."""
-    b = np.frombuffer(raw, np.uint8)
-    return np.append(np.flatnonzero((b & 0xC0) != 0x80), len(b))
-
-
 def refined(ends: np.ndarray, sure: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Token ends in bytes: the coarse ones where they are sure, in between from the decoded sizes on from the last sure one."""
     at = np.cumsum(sizes)
@@ -83,52 +78,66 @@ class Aligner:
         self.first = np.zeros(0, np.int64)
         self.groups: list[str] = []
 
-    def align(self, chunk: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
-        """Ids of A and of B, the group of each, and whether the bytes of both come back."""
-        return self._aligned([chunk])[0]
-
-    def _aligned(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-        out = []
+    def _spans(self, chunks: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of A and then of B: ids, coarse ends (from the beginning of each chunk with its space) in characters for A and bytes for B, whether they are sure, and tokens of each chunk."""
         found = self.a.encode_batch([f" {c}" for c in chunks], add_special_tokens=False)
-        protos = self.b.encode(chunks, num_threads=1, return_type="proto")
-        for chunk, x, y in zip(chunks, found, protos, strict=True):
-            raw = f" {chunk}".encode()
-            a = np.array(x.ids, np.int64)
-            pieces = [(p.id, p.begin, p.end) for p in y.pieces]
-            b, begins, ends = np.array(pieces, np.int64).reshape(-1, 3).T
-            whole = b"".join(map(self.a_bytes.__getitem__, x.ids)) == raw and b"".join([self.b_bytes[k] for k in b.tolist()]) == raw
-            if not whole or not len(a) or not len(b):
-                none = np.zeros(0, np.int64)
-                out.append((none, none, none, none, False))
-                continue
-            spans = np.array(x.offsets, np.int64)
-            # A token of A ends with a character where the next one begins no earlier; white space that a span leaves out belongs to the next token.
-            a_sure = np.append(spans[1:, 0] >= spans[:-1, 1], True)
-            a_ends = refined(_span_ends(raw)[spans[:, 1]], a_sure, self.a_size[a])
-            # Of the byte tokens of one character only the last has a span. The space before the text has none: spans are one byte short.
-            b_ends = refined(ends + 1, ends > begins, self.b_size[b])
-            cuts = np.intersect1d(a_ends, b_ends)
-            out.append((a, b, np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), True))
-        return out
+        ids = [x.ids for x in found]
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in found)), np.int64, 2 * int(many.sum())).reshape(-1, 2)
+        # A token of A ends with a character where the next one begins no earlier; white space that a span leaves out belongs to the next token.
+        sure = np.append(spans[1:, 0] >= spans[:-1, 1], True)
+        sure[np.cumsum(many)[many > 0] - 1] = True
+        a = [np.fromiter(chain.from_iterable(ids), np.int64, int(many.sum())), spans[:, 1], sure, many]
+        pieces = [[(p.id, p.begin, p.end) for p in x.pieces] for x in self.b.encode(chunks, num_threads=1, return_type="proto")]
+        many = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(pieces)), np.int64, 3 * int(many.sum())).reshape(-1, 3)
+        # Of the byte tokens of one character only the last has a span. The space before the text has none: spans are one byte short.
+        return a, [flat[:, 0], flat[:, 2] + 1, flat[:, 2] > flat[:, 1], many]
+
+    def align(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each chunk's bytes come back from both tokenizers, and of all those chunks in a row: ids of A and of B, the group of each, and the chunk of each group."""
+        raw = [f" {c}".encode() for c in chunks]
+        (a, a_ends, a_sure, n_a), (b, b_ends, b_sure, n_b) = self._spans(chunks)
+        whole = np.ones(len(chunks), bool)
+        for ids, table, sizes, many in ((a, self.a_bytes, self.a_size, n_a), (b, self.b_bytes, self.b_size, n_b)):
+            back = b"".join([table[k] for k in ids.tolist()])
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(many)].tolist()
+            begin = 0
+            for k, end in enumerate(ends):
+                if back[begin:end] != raw[k]:
+                    whole[k] = False
+                begin = end
+        keep_a, keep_b = np.repeat(whole, n_a), np.repeat(whole, n_b)
+        a, a_ends, a_sure, b, b_ends, b_sure = a[keep_a], a_ends[keep_a], a_sure[keep_a], b[keep_b], b_ends[keep_b], b_sure[keep_b]
+        n_a, n_b, kept = n_a[whole], n_b[whole], np.flatnonzero(whole)
+        joined = np.frombuffer(b"".join([raw[k] for k in kept.tolist()]), np.uint8)
+        starts = np.append(np.flatnonzero((joined & 0xC0) != 0x80), len(joined))  # of characters
+        n_bytes, n_chars = np.array([len(raw[k]) for k in kept], np.int64), np.array([len(chunks[k]) + 1 for k in kept], np.int64)
+        a_ends = refined(starts[a_ends + np.repeat(np.cumsum(n_chars) - n_chars, n_a)], a_sure, self.a_size[a])
+        b_ends = refined(b_ends + np.repeat(np.cumsum(n_bytes) - n_bytes, n_b), b_sure, self.b_size[b])
+        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        return whole, a, b, np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends), kept[np.searchsorted(np.cumsum(n_bytes), cuts)]
 
     def _learn(self) -> None:
-        counts, links, sizes = [], [], []
         new, self.codes.new = self.codes.new, []
-        for a, b, ga, gb, whole in self._aligned(new):
-            n = int(ga[-1]) + 1 if whole else 0
-            na, nb = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
-            # Each token of A meets the tokens of B in its group.
-            many = nb[ga]
-            other = np.arange(int(many.sum())) + np.repeat((np.cumsum(nb) - nb)[ga] - (np.cumsum(many) - many), many)
-            links.append(np.repeat(a, many) << 32 | b[other])
-            counts.append((len(a), len(b), n, len(other), whole))
-            sizes.append(len(other))
-            part_a, part_b = np.split(a, np.cumsum(na)[:-1]), np.split(b, np.cumsum(nb)[:-1])
-            self.groups.append(";".join(f"{','.join(map(str, p.tolist()))}|{','.join(map(str, q.tolist()))}" for p, q in zip(part_a, part_b, strict=True)) if whole else "")
-        at = len(self.links)
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 5)])
-        self.first = np.concatenate([self.first, np.cumsum(sizes) - sizes + at]).astype(np.int64)
-        self.links = np.concatenate([self.links, *links])
+        whole, a, b, ga, gb, chunk = self.align(new)
+        n = len(chunk)
+        na, nb = np.bincount(ga, minlength=n), np.bincount(gb, minlength=n)
+        # Each token of A meets the tokens of B in its group.
+        many = nb[ga]
+        other = np.arange(int(many.sum())) + np.repeat((np.cumsum(nb) - nb)[ga] - (np.cumsum(many) - many), many)
+        sums = lambda per_group: np.bincount(chunk, weights=per_group, minlength=len(new)).astype(np.int64)
+        counts = np.stack([sums(na), sums(nb), sums(np.ones(n)), sums(na * nb), whole.astype(np.int64)], 1)
+        texts, at_a, at_b = [], 0, 0
+        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        for p, q in zip(na.tolist(), nb.tolist(), strict=True):
+            texts.append(f"{','.join(names_a[at_a : at_a + p])}|{','.join(names_b[at_b : at_b + q])}")
+            at_a, at_b = at_a + p, at_b + q
+        edges = np.concatenate([[0], np.cumsum(counts[:, 2])]).tolist()
+        self.groups += [";".join(texts[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        self.counts = np.concatenate([self.counts, counts])
+        self.first = np.concatenate([self.first, np.cumsum(counts[:, 3]) - counts[:, 3] + len(self.links)]).astype(np.int64)
+        self.links = np.concatenate([self.links, np.repeat(a, many) << 32 | b[other]])
         self.held += sum(map(len, new))
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:

@@ -115,8 +115,9 @@ def test_memory_of_chunks_starts_anew():
 
 def test_spans_alone_are_refined():
     """A character of three tokens on either side: the coarse cuts leave it whole, decoded bytes cut it."""
-    a, b, ga, gb, whole = alignment.Aligner(A, B).align("c 漢 x")
-    assert whole and len(a) > len(set(ga.tolist())) - 1 and ga[-1] == gb[-1] and (ga[1:] >= ga[:-1]).all()
+    whole, a, b, ga, gb, chunk = alignment.Aligner(A, B).align(["c", "漢", "▁", "x😀y"])
+    assert whole.tolist() == [True, True, False, True] and set(ga.tolist()) == set(gb.tolist()) == set(range(len(chunk)))
+    assert chunk.tolist() == sorted(chunk.tolist()) and set(chunk.tolist()) == {0, 1, 3} and (chunk == 1).sum() > 1
 
 
 # --- URL rules
