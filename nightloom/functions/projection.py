@@ -13,12 +13,15 @@ import numpy as np
 from nightloom.functions.wcs import CarGrid, zpn_theta
 
 #: How a projection is kept in a table.
-WCS_SCHEMA = "struct<kind:string,crpix:array<double>,crval:array<double>,cdelt:array<double>,pc:array<double>,pv:array<double>>"
+WCS_SCHEMA = "struct<kind:string,crpix:array<double>,crval:array<double>,cdelt:array<double>,pc:array<double>,pv:array<double>,pole:array<double>>"
 
 
 @dataclass(frozen=True)
 class Projection:
-    """kind: CAR or ZPN; crpix: 1-based reference pixel (x, y); crval: its sky position; cdelt: degrees per pixel; pc: rotation, row by row; pv: ZPN coefficients."""
+    """kind: CAR or ZPN; crpix: 1-based reference pixel (x, y); crval: its sky position; cdelt: degrees per step of RA and Dec; pc: from pixels to these steps, row by row; pv: ZPN coefficients.
+
+    pole: the native longitude of the sky's pole and the latitude that the native pole is to be near to; None where the projection's own are meant.
+    """
 
     kind: str
     crpix: tuple[float, float]
@@ -26,6 +29,7 @@ class Projection:
     cdelt: tuple[float, float]
     pc: tuple[float, float, float, float] = (1.0, 0.0, 0.0, 1.0)
     pv: tuple[float, ...] = ()
+    pole: tuple[float | None, float] = (None, 90.0)
 
     def __post_init__(self):
         if self.kind not in ("CAR", "ZPN"):
@@ -39,29 +43,56 @@ class Projection:
 
     @classmethod
     def of_row(cls, row: Mapping) -> Projection:
-        """From a struct of WCS_SCHEMA; a null pc is no rotation."""
-        return cls(row["kind"], *(tuple(row[k]) for k in ("crpix", "crval", "cdelt")), tuple(row["pc"] or (1.0, 0.0, 0.0, 1.0)), tuple(row["pv"] or ()))
+        """From a struct of WCS_SCHEMA; a null pc is no rotation, a null or absent pole the projection's own."""
+        made = cls(row["kind"], *(tuple(row[k]) for k in ("crpix", "crval", "cdelt")), tuple(row["pc"] or (1.0, 0.0, 0.0, 1.0)), tuple(row["pv"] or ()), tuple(row.get("pole") or (None, 90.0)))
+        made._pole()
+        return made
+
+    @classmethod
+    def of_row_or_none(cls, row: Mapping | None) -> Projection | None:
+        """None where there is no projection, or one that can't be used."""
+        try:
+            return None if row is None else cls.of_row(row)
+        except (ValueError, TypeError):
+            return None
 
     @classmethod
     def of_header(cls, header: Mapping[str, str], key: str = "") -> Projection:
-        """From FITS cards; key: the version of the coordinates."""
+        """From FITS cards; key: the version of the coordinates. Axes may come in either order, rotation as PC or CD."""
         key = key.strip()
         number = lambda name, default: float(header.get(f"{name}{key}", default))
-        pair = lambda name, default: (number(f"{name}1", default), number(f"{name}2", default))
-        pc = tuple(number(f"PC{i}_{j}", i == j) for i in (1, 2) for j in (1, 2))
-        pv = [number(f"PV2_{m}", 0) for m in range(30)]
+        lon = 2 if header.get(f"CTYPE1{key}", "").startswith("DEC") else 1
+        axes = (lon, 3 - lon)
+        kinds = {header[f"CTYPE{i}{key}"].split("-")[-1] for i in axes if f"CTYPE{i}{key}" in header}
+        if len(kinds) != 1:
+            raise ValueError(f"axes of different projections: {sorted(kinds)}")
+        if any(f"CD{i}_{j}{key}" in header for i in axes for j in (1, 2)):
+            pc, cdelt = tuple(number(f"CD{i}_{j}", 0) for i in axes for j in (1, 2)), (1.0, 1.0)
+        else:
+            pc, cdelt = tuple(number(f"PC{i}_{j}", i == j) for i in axes for j in (1, 2)), tuple(number(f"CDELT{i}", 1) for i in axes)
+        pv = [number(f"PV{axes[1]}_{m}", 0) for m in range(30)]
         while pv and not pv[-1]:
             pv.pop()
-        return cls(header[f"CTYPE1{key}"].split("-")[-1], pair("CRPIX", 0), pair("CRVAL", 0), pair("CDELT", 1), pc, tuple(pv))
+        name = f"LONPOLE{key}"
+        pole = (float(header[name]) if name in header else None, number("LATPOLE", 90))
+        kind = kinds.pop()
+        made = cls(kind, (number("CRPIX1", 0), number("CRPIX2", 0)), tuple(number(f"CRVAL{i}", 0) for i in axes), cdelt, pc, tuple(pv) if kind == "ZPN" else (), pole)
+        made._pole()
+        if abs(pc[0] * pc[3] - pc[1] * pc[2]) < 1e-300 or not all(cdelt):
+            raise ValueError("the matrix of the axes can't be inverted")
+        return made
 
     def _pole(self) -> tuple[float, float, float]:
-        """Sky position of the native pole and the native longitude of the sky's pole."""
+        """Sky position of the native pole and the native longitude of the sky's pole (Calabretta & Greisen 2002, section 2.4)."""
         lon, lat = self.crval
         if self.kind == "ZPN":
-            return lon, lat, 180.0
-        if lat < 0:
-            raise ValueError("a CAR reference point south of the equator is not supported")
-        return lon - 180.0, 90.0 - lat, 0.0
+            return lon, lat, (0.0 if lat >= 90 else 180.0) if self.pole[0] is None else self.pole[0]
+        own = (0.0 if lat >= 0 else 180.0) if self.pole[0] is None else self.pole[0]
+        return car_pole(lon, lat, own, self.pole[1])
+
+    @property
+    def upright(self) -> bool:
+        return self.crval[1] == 0 and self.pole[0] in (None, 0.0)
 
     def pixel_to_world(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """RA in [0, 360) and Dec."""
@@ -70,7 +101,7 @@ class Projection:
         b = (self.pc[2] * dx + self.pc[3] * dy) * self.cdelt[1]
         if self.kind == "CAR":
             phi, theta = a, b
-            if self.crval[1] == 0:
+            if self.upright:
                 return (phi + self.crval[0]) % 360.0, theta
         else:
             phi, theta = np.rad2deg(np.arctan2(a, -b)), zpn_theta(np.hypot(a, b), self.pv)
@@ -80,7 +111,7 @@ class Projection:
 
     def world_to_pixel(self, ra: np.ndarray, dec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """NaN where a place has no pixel (behind a zenithal projection)."""
-        if self.kind == "CAR" and self.crval[1] == 0:
+        if self.kind == "CAR" and self.upright:
             phi, theta = ra - self.crval[0], dec
         else:
             lon, lat, to_lon = self._pole()
@@ -98,6 +129,33 @@ class Projection:
         return (s * a - q * b) / det + self.crpix[0] - 1, (p * b - r * a) / det + self.crpix[1] - 1
 
 
+def car_pole(lon: float, lat: float, lon_pole: float, near: float = 90.0) -> tuple[float, float, float]:
+    """Sky position of the native pole, and the native longitude of the sky's pole, of a cylindrical projection about (lon, lat).
+
+    Of the two poles that the reference point and lon_pole allow the one nearer to the latitude near is meant, the northern one on a tie. ValueError where they allow none.
+    """
+    d, p = np.deg2rad(lat), np.deg2rad(lon_pole)
+    if abs(np.cos(p)) < 1e-12 and abs(np.sin(d)) < 1e-12:  # the native pole lies on the equator's circle of latitudes: the latitude asked for
+        up = near
+    else:
+        ratio = np.sin(d) / abs(np.cos(p)) if abs(np.cos(p)) > 1e-300 else np.inf
+        if abs(ratio) > 1 + 1e-12:
+            raise ValueError(f"no pole for a reference latitude of {lat} and a pole's longitude of {lon_pole}")
+        base, away = (0.0 if np.cos(p) >= 0 else 180.0), np.rad2deg(np.arccos(np.clip(ratio, -1, 1)))
+        turned = [(v + 180.0) % 360.0 - 180.0 for v in (base + away, base - away)]
+        allowed = [v for v in turned if abs(v) <= 90 + 1e-9]
+        if not allowed:
+            raise ValueError(f"no pole for a reference latitude of {lat} and a pole's longitude of {lon_pole}")
+        up = min(allowed, key=lambda v: (abs(v - near), -v))
+    u = np.deg2rad(up)
+    if abs(np.cos(d)) < 1e-12:
+        return lon, up, lon_pole
+    if abs(np.cos(u)) < 1e-12:
+        return (lon + lon_pole - 180.0 if up > 0 else lon - lon_pole), up, lon_pole
+    sin, cos = np.sin(p) / np.cos(d), -np.sin(u) * np.sin(d) / (np.cos(u) * np.cos(d))
+    return lon - float(np.rad2deg(np.arctan2(sin, cos))), float(up), lon_pole
+
+
 def _turn(lon: np.ndarray, lat: np.ndarray, from_pole: float, pole_lat: float, to_pole: float) -> tuple[np.ndarray, np.ndarray]:
     d, t, p = np.deg2rad(lon - from_pole), np.deg2rad(lat), np.deg2rad(pole_lat)
     lon2 = np.arctan2(-np.cos(t) * np.sin(d), np.sin(t) * np.cos(p) - np.cos(t) * np.sin(p) * np.cos(d))
@@ -120,11 +178,11 @@ def find_bounds(
 
     sky (RA from, to, Dec from, to; None: open): points outside of the Dec range say nothing about x, those outside of the RA range nothing
     about y; RA is taken in the turn that begins at wrap_point. wrap_aware: of 11 bins of x the first and last are filled and the middle one
-    is empty: then the points on either side of the middle bin's start make up a box each.
+    is empty: then the points on either side of the middle bin's start make up a box each. No box where a point of the edge has no place in the sky.
     """
     ra, dec = image.pixel_to_world(*edge(shape, trim))
     if np.isnan(ra).any() or np.isnan(dec).any():
-        raise ValueError("an image's edge has no place in the sky")
+        return []
     for_x = for_y = np.ones(len(ra), bool)
     if sky is not None:
         low_ra, high_ra, low_dec, high_dec = (default if v is None else v for v, default in zip(sky, (-np.inf, np.inf, -np.inf, np.inf), strict=True))
@@ -146,3 +204,18 @@ def find_bounds(
         if len(a) and len(b):
             boxes.append((int(np.floor(a.min())), int(np.ceil(a.max())), int(np.floor(b.min())), int(np.ceil(b.max()))))
     return boxes
+
+
+def with_poles(boxes: list[tuple[int, int, int, int]], image: Projection, shape: tuple[int, int], grid: Projection) -> list[tuple[int, int, int, int]]:
+    """Boxes of an image's edges, made one that goes all the way around and up (or down) to a pole of the grid where the image holds that pole: edges don't enclose it."""
+    if grid.kind != "CAR" or not boxes:
+        return boxes
+    half = 180.0 / abs(grid.cdelt[0])
+    for side in (90.0, -90.0):
+        y = side / grid.cdelt[1] + grid.crpix[1] - 1
+        u, v = (float(c) for c in image.world_to_pixel(*grid.pixel_to_world(np.float64(grid.crpix[0] - 1), np.float64(y))))
+        if -0.5 <= u <= shape[1] - 0.5 and -0.5 <= v <= shape[0] - 0.5:
+            xs = [int(np.floor(grid.crpix[0] - 1 - half)), int(np.ceil(grid.crpix[0] - 1 + half))]
+            ys = [e for b in boxes for e in b[2:]] + [int(np.floor(y)), int(np.ceil(y))]
+            boxes = [(*xs, min(ys), max(ys))]
+    return boxes

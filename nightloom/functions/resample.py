@@ -1,16 +1,23 @@
 """Adaptive resampling of an image onto another grid (DeForest 2004).
 
 Around each output pixel the map to input pixels is linear; its singular values are padded to at least one, so the
-footprint covers an input pixel, and the input under it is averaged with Gaussian weights in the padded frame.
+footprint covers an input pixel, and the input under it is averaged with Gaussian weights in the padded frame. What a pixel gets
+depends on its own footprint alone, never on what else is resampled with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 KERNEL_WIDTH = 1.3
+#: Squared radius of a footprint in the padded frame.
+RADIUS2 = 8 + 1e-9
+#: A Jacobian is a spike where the sum of its squares is so many times the third least of its neighbourhood.
+SPIKE = 10.0
+#: Weights that are computed at once.
+CHUNK = 2**19
 
 #: Output x and y to input x and y, arrays to arrays.
 Mapping = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -28,44 +35,111 @@ def jacobian(mapping: Mapping, x: np.ndarray, y: np.ndarray, period: float | Non
     return out
 
 
-def resample(image: np.ndarray, mapping: Mapping, shape: tuple[int, int], strict: bool = True, conserve_flux: bool = True, cyclic: bool = False) -> np.ndarray:
-    """The image (rows, columns) on a grid of the shape; NaN where nothing is.
+def despiked(j: np.ndarray) -> np.ndarray:
+    """Jacobians of a grid, less its outermost pixels: where the input's coordinates jump (at a seam or a pole) the mean of the neighbours that don't."""
+    size = np.where(np.isfinite(j).all((-1, -2)), (j**2).sum((-1, -2)), np.inf)
+    ny, nx = size.shape
+    around = np.stack([size[a : ny - 2 + a, b : nx - 2 + b] for a in range(3) for b in range(3)])
+    third = np.sort(around, 0)[2]
+    with np.errstate(invalid="ignore"):
+        plain = (around <= SPIKE * third) & np.isfinite(around)
+    inner = j[1:-1, 1:-1]
+    near = np.stack([j[a : ny - 2 + a, b : nx - 2 + b] for a in range(3) for b in range(3)])
+    many = plain.sum(0)
+    mean = np.where(plain[..., None, None], near, 0).sum(0) / np.maximum(many, 1)[..., None, None]
+    return np.where((plain[4] | (many == 0))[..., None, None], inner, mean)
+
+
+def footprints(j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The quadratic form (a, b, c) whose value a du^2 + 2 b du dv + c dv^2 is the squared distance in the padded frame, and how far the footprint reaches in u and v.
+
+    Singular values and the left rotation of a 2 x 2 matrix in closed form.
+    """
+    e, f = (j[..., 0, 0] + j[..., 1, 1]) / 2, (j[..., 0, 0] - j[..., 1, 1]) / 2
+    g, h = (j[..., 1, 0] + j[..., 0, 1]) / 2, (j[..., 1, 0] - j[..., 0, 1]) / 2
+    q, r = np.hypot(e, h), np.hypot(f, g)
+    large, small = np.maximum(q + r, 1), np.maximum(np.abs(q - r), 1)
+    turn = (np.arctan2(h, e) + np.arctan2(g, f)) / 2
+    c, s = np.cos(turn), np.sin(turn)
+    p, m = large**-2, small**-2
+    reach_u, reach_v = np.sqrt(RADIUS2 * ((c * large) ** 2 + (s * small) ** 2)), np.sqrt(RADIUS2 * ((s * large) ** 2 + (c * small) ** 2))
+    return c * c * p + s * s * m, c * s * (p - m), s * s * p + c * c * m, reach_u, reach_v
+
+
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, int)
+    for part in np.split(order, first[1:]) if len(keys) else ():
+        yield int(keys[part[0]]), part
+
+
+def resample(image: np.ndarray, mapping: Mapping, shape: tuple[int, int], strict: bool = True, conserve_flux: bool = True, cyclic: bool = False, despike: bool = True) -> np.ndarray:
+    """The image (rows and columns last; planes ahead of them share the mapping) on a grid of the shape; NaN where nothing is.
 
     strict: NaN also where any part of the footprint is outside; else what is inside is averaged. A missing input pixel under the footprint
-    gives NaN. conserve_flux: values are multiplied by the area of a pixel in input pixels. cyclic: x wraps around.
+    gives NaN. conserve_flux: values are multiplied by the area of a pixel in input pixels. cyclic: x wraps around, and a footprint as wide as
+    the image takes each column once. despike: Jacobians over a jump of the coordinates are replaced by their neighbours'.
+
+    Pixels of one reach are done together, each over its own window and no more of it than the image has; the time is that of the windows' areas.
     """
-    ny, nx = image.shape
-    y, x = np.mgrid[: shape[0], : shape[1]].astype(float)
-    u, v = mapping(x, y)
+    planes = image.reshape(-1, *image.shape[-2:])
+    ny, nx = planes.shape[1:]
+    y, x = (g - 1.0 for g in np.mgrid[: shape[0] + 2, : shape[1] + 2])  # with the neighbours of the outermost pixels
     j = jacobian(mapping, x, y, nx if cyclic else None)
-    good = np.isfinite(u) & np.isfinite(v) & np.isfinite(j).all((-1, -2))
-    j = np.where(good[..., None, None], j, np.eye(2))
-    left, size, right = np.linalg.svd(j)
-    size = np.maximum(size, 1)
-    inverse = np.swapaxes(right, -1, -2) @ (np.swapaxes(left, -1, -2) / size[..., :, None])
-    reach = int(np.ceil(2 * size[..., 0][good].max(initial=1)))
-    u, v = np.where(good, u, 0), np.where(good, v, 0)
-    cu, cv = np.rint(u).astype(int), np.rint(v).astype(int)
-    total, weights, outside = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool)
-    for dv in range(-reach, reach + 1):
-        for du in range(-reach, reach + 1):
-            pu, pv = cu + du, cv + dv
-            d = np.einsum("...ij,...j->...i", inverse, np.stack([pu - u, pv - v], -1))
-            r2 = (d**2).sum(-1)
-            w = np.where(r2 <= 8 + 1e-9, np.exp(-2 * r2 / KERNEL_WIDTH**2), 0)
-            if cyclic:
-                pu = pu % nx
-            inside = (pu >= 0) & (pu < nx) & (pv >= 0) & (pv < ny)
-            outside |= (w > 0) & ~inside
-            w = np.where(inside, w, 0)
-            value = image[np.clip(pv, 0, ny - 1), np.clip(pu, 0, nx - 1)]
-            total += np.where(w > 0, w * value, 0)
-            weights += w
-    with np.errstate(invalid="ignore", divide="ignore"):
-        out = total / weights
+    j = (despiked(j) if despike else j[1:-1, 1:-1]).reshape(-1, 2, 2)
+    u, v = (np.asarray(c, float).ravel() for c in mapping(x[1:-1, 1:-1], y[1:-1, 1:-1]))
+    good = np.flatnonzero(np.isfinite(u) & np.isfinite(v) & np.isfinite(j).all((-1, -2)))
+    out = np.full((len(planes), len(u)), np.nan)
+    u, v, j = u[good], v[good], j[good]
+    a, b, c, reach_u, reach_v = footprints(j)
+    cu, cv = np.rint(u).astype(np.int64), np.rint(v).astype(np.int64)
+    ru, rv = (np.floor(r + np.abs(w - near)).astype(np.int64) for r, w, near in ((reach_u, u, cu), (reach_v, v, cv)))
+    touches = (cv + rv >= 0) & (cv - rv < ny)
+    if cyclic:
+        ru = np.minimum(ru, nx // 2)
+    else:
+        touches &= (cu + ru >= 0) & (cu - ru < nx)
+    if strict:  # a footprint is a convex body about its centre: what is wider than the image leaves it
+        touches &= (rv <= ny) & (cv >= 0) & (cv < ny)
+        if not cyclic:
+            touches &= (ru <= nx) & (cu >= 0) & (cu < nx)
+    live = np.flatnonzero(touches)
+    for key, part in _groups(ru[live] * 2**31 + rv[live]):
+        wide, high = divmod(key, 2**31)
+        rows = live[part]
+        # Offsets about the pixel, or the image's own rows and columns where these are fewer.
+        all_v, all_u = not strict and 2 * high + 1 > ny, not strict and not cyclic and 2 * wide + 1 > nx
+        vs, us = np.arange(ny) if all_v else np.arange(-high, high + 1), np.arange(nx) if all_u else np.arange(-wide, wide + 1)
+        if cyclic and 2 * wide + 1 > nx:
+            us = us[:nx]
+        step_v = max(1, CHUNK // len(us))
+        step = max(1, CHUNK // (len(us) * min(len(vs), step_v)))
+        for at in range(0, len(rows), step):
+            k = rows[at : at + step]
+            total, weights, outside = np.zeros((len(planes), len(k))), np.zeros(len(k)), np.zeros(len(k), bool)
+            pu = us[None, :] + (0 if all_u else cu[k, None])
+            du = pu - u[k, None]
+            in_u = np.ones(pu.shape, bool) if cyclic else (pu >= 0) & (pu < nx)
+            pu = pu % nx if cyclic else np.clip(pu, 0, nx - 1)
+            for begin in range(0, len(vs), step_v):
+                pv = vs[None, begin : begin + step_v] + (0 if all_v else cv[k, None])
+                dv = pv - v[k, None]
+                in_v = (pv >= 0) & (pv < ny)
+                pv = np.clip(pv, 0, ny - 1)
+                r2 = a[k, None, None] * (du**2)[:, None, :] + (2 * b[k, None] * dv)[:, :, None] * du[:, None, :] + (c[k, None] * dv**2)[:, :, None]
+                w = np.where(r2 <= RADIUS2, np.exp(-2 * r2 / KERNEL_WIDTH**2), 0)
+                inside = in_v[:, :, None] & in_u[:, None, :]
+                outside |= ((w > 0) & ~inside).any((1, 2))
+                w = np.where(inside, w, 0)
+                for plane, values in enumerate(planes):
+                    total[plane] += np.where(w > 0, w * values[pv[:, :, None], pu[:, None, :]], 0).sum((1, 2))
+                weights += w.sum((1, 2))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = total / weights
+            out[:, good[k]] = np.where((weights > 0) & ~(strict & outside), value, np.nan)
     if conserve_flux:
-        out = out * np.abs(np.linalg.det(j))
-    return np.where(good & (weights > 0) & ~(strict & outside), out, np.nan)
+        out[:, good] *= np.abs(j[:, 0, 0] * j[:, 1, 1] - j[:, 0, 1] * j[:, 1, 0])
+    return out.reshape(*image.shape[:-2], *shape)
 
 
 def affine(turn: float, scale: float, centre_in: tuple[float, float], centre_out: tuple[float, float]) -> Mapping:

@@ -46,10 +46,10 @@ def _rotate(lon: Column, lat: Column, from_pole: Column | float, pole_lat: float
     return lon2, lat2
 
 
-def _poles(grid: CarGrid) -> tuple[float, float]:
-    if grid.crval[1] < 0:
-        raise ValueError("a CAR reference point south of the equator is not supported")
-    return grid.crval[0] - 180.0, 90.0 - grid.crval[1]
+def _poles(grid: CarGrid) -> tuple[float, float, float]:
+    """Sky position of the native pole, the northern one, and the native longitude of the sky's pole."""
+    lon, lat = grid.crval
+    return (lon - 180.0, 90.0 - lat, 0.0) if lat >= 0 else (lon, 90.0 + lat, 180.0)
 
 
 def world_to_pixel(ra: Column, dec: Column, grid: CarGrid) -> tuple[Column, Column]:
@@ -57,8 +57,8 @@ def world_to_pixel(ra: Column, dec: Column, grid: CarGrid) -> tuple[Column, Colu
     if grid.crval[1] == 0:
         phi, theta = wrap(ra - grid.crval[0], -180.0), dec
     else:
-        pole_ra, pole_dec = _poles(grid)
-        phi, theta = _rotate(ra, dec, pole_ra, pole_dec, 0.0)
+        pole_ra, pole_dec, own = _poles(grid)
+        phi, theta = _rotate(ra, dec, pole_ra, pole_dec, own)
         phi = wrap(phi, -180.0)
     return phi / grid.cdelt[0] + (grid.crpix[0] - 1), theta / grid.cdelt[1] + (grid.crpix[1] - 1)
 
@@ -68,8 +68,8 @@ def pixel_to_world(x: Column, y: Column, grid: CarGrid) -> tuple[Column, Column]
     phi, theta = (x + 1 - grid.crpix[0]) * grid.cdelt[0], (y + 1 - grid.crpix[1]) * grid.cdelt[1]
     if grid.crval[1] == 0:
         return wrap(phi + grid.crval[0], 0.0), theta
-    pole_ra, pole_dec = _poles(grid)
-    ra, dec = _rotate(phi, theta, 0.0, pole_dec, pole_ra)
+    pole_ra, pole_dec, own = _poles(grid)
+    ra, dec = _rotate(phi, theta, own, pole_dec, pole_ra)
     return wrap(ra, 0.0), dec
 
 

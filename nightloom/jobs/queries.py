@@ -148,7 +148,7 @@ _BOUNDS = f"""WITH p AS (SELECT image_id, camera, round(((ra - 180 + 180) % 360
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.bounds(geometry.edge_points(tables.footprints(spark, sf_dir), 100), _SKY)
+    return geometry.frame_boxes(tables.footprints(spark, sf_dir), 100, _SKY)
 
 
 @query(_BOUNDS + " SELECT image_id, camera, part, xmin, xmax, ymin, ymax FROM b")
@@ -270,14 +270,15 @@ def resample_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT avg(o_totalprice::DOUBLE) + 2 * stddev_pop(o_totalprice::DOUBLE) AS t FROM orders),
+    """WITH q AS (SELECT quantile_cont(o_totalprice::DOUBLE, 0.98) AS t FROM orders),
     c AS (SELECT 0 AS image_id, o_custkey % 20 AS block_y, o_orderkey % 17 AS block_x, bool_or(o_totalprice::DOUBLE > t) AS hit FROM orders, q GROUP BY ALL),
     r AS (SELECT *, block_x - row_number() OVER (PARTITION BY image_id, block_y ORDER BY block_x) AS run FROM c WHERE hit)
     SELECT image_id::INT AS image_id, block_y, min(block_x) AS x0, max(block_x) AS x1 FROM r GROUP BY image_id, block_y, run"""
 )
 def block_mask_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of blocks that hold a price over the 98th percentile of all."""
     orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("double").alias("v"))
-    limit = orders.agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("t"))
+    limit = stack.quantiles(orders, [0.98]).select(F.col("value").alias("t"))
     cells = orders.crossJoin(F.broadcast(limit)).select(F.lit(0).alias("image_id"), (F.col("o_custkey") % 20).alias("block_y"), (F.col("o_orderkey") % 17).alias("block_x"), "v", "t")  # one row
     return frames.block_strips(cells, F.col("v") > F.col("t"))
 
@@ -416,7 +417,8 @@ def build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH m AS (SELECT my, mx, quantile_cont(v, 0.05) AS value FROM ({_SKY_SAMPLES}) GROUP BY my, mx),
     own AS (SELECT image_id, y, x, v AS source, {_ON_SKY} FROM ({_PIXELS})),
-    e AS (SELECT image_id, y, x, sum(w * value) AS estimate FROM own, {_TAPS}, m WHERE m.my = own.my + dy AND m.mx = (own.mx + dx + 360) % 360 GROUP BY ALL HAVING count(*) = 25)
+    taken AS (SELECT image_id, y, x, w, my + dy AS my, (mx + dx + 360) % 360 AS mx FROM own, {_TAPS}),
+    e AS (SELECT image_id, y, x, sum(w * value) AS estimate FROM taken JOIN m USING (my, mx) GROUP BY ALL HAVING count(*) = 25)
     SELECT image_id, own.y::INT AS y, own.x::INT AS x, round(source, 8) AS source, round(b.v, 8) AS blurred, round(estimate, 8) AS estimate, round(b.v - estimate, 8) AS remnant
     FROM own JOIN ({_BLURRED}) b USING (image_id, y, x) LEFT JOIN e USING (image_id, y, x)"""
 )
@@ -456,3 +458,34 @@ def magnitude_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 15th image in the order of their ids."""
     return frames.every_nth(_images(spark, sf_dir).select("image_id"), "image_id", 15)
+
+
+@query(f"SELECT unnest([0.001, 0.5, 0.9999])::DOUBLE AS share, round(unnest(q), 8) AS value FROM (SELECT quantile_cont(v, [0.001, 0.5, 0.9999]) AS q FROM ({_PIXELS}))")
+def whole_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Display limits of all pixels together: exact quantiles of one group that is never gathered."""
+    return _round(stack.quantiles(tables.pixels(spark, sf_dir), [0.001, 0.5, 0.9999]), "value")
+
+
+@query(
+    f"""WITH s AS ({_SKY_SAMPLES}), m AS (SELECT my, mx, quantile_cont(v, 0.05) AS low, min(v) AS least, count(*) AS n FROM s GROUP BY my, mx),
+    a AS (SELECT my, mx, n, reducer_id, value FROM (SELECT my, mx, n, unnest(['low', 'least']) AS reducer_id, unnest([low, least]) AS value FROM m))
+    SELECT reducer_id, 0 AS output_idx, my::INT AS y, mx::INT AS x, round(value, 8) AS value, n AS frame_count, arg_min(image_id, {{'d': round(abs(v - value), 12), 'i': image_id}}) AS attribution
+    FROM s JOIN a USING (my, mx) GROUP BY reducer_id, my, mx, value, n"""
+)
+def map_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map end to end with the image that each value is nearest to, of an aggregate and of a user's kernel."""
+    reducers = {"low": F.percentile("v", F.lit(0.05)), "least": lambda samples: samples.min()}
+    return _round(sky.build_map(tables.sky_images(spark, sf_dir), reducers, _GRID, frame_count=True, attribution=True), "value")
+
+
+@query(
+    f"""WITH g AS (SELECT min(80 + (image_id // 9) % 9) - 1 AS y0 FROM ({_PIXELS}))
+    SELECT (y - y0)::INT AS y, CASE WHEN x >= 351 THEN x - 351 ELSE x + 9 END::INT AS x, value, frame_count FROM (
+      SELECT my::INT AS y, mx::INT AS x, round(quantile_cont(v, 0.05), 8) AS value, count(*) AS frame_count FROM ({_SKY_SAMPLES}) GROUP BY my, mx), g"""
+)
+def default_grid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map on the grid that all the images' boxes cover, from the rows and columns that they touch; it runs over RA 0."""
+    images = tables.sky_images(spark, sf_dir)
+    grid = sky.plan_grid(images, 1.0, "covered")
+    made = sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, grid, frame_count=True)
+    return _round(made.select("y", "x", "value", "frame_count"), "value")

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightloom.functions.wcs import CarGrid, world_to_pixel
+from nightloom.functions.projection import Projection
+from nightloom.functions.wcs import CarGrid
+
+_BOX = "part bigint, xmin bigint, xmax bigint, ymin bigint, ymax bigint"
 
 
 def edge_points(footprints: DataFrame, per_edge: int) -> DataFrame:
@@ -21,27 +28,68 @@ def edge_points(footprints: DataFrame, per_edge: int) -> DataFrame:
     return footprints.select("image_id", "camera", F.concat(*map(side, sides)).alias("points"))
 
 
+def _boxes(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The frame, part, xmin, xmax, ymin, ymax of every box of the points of several frames, the k-th of which begins at first[k]; no frame is without points."""
+    x, y = x.round(9), y.round(9)
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    low, high = np.minimum.reduceat(x, first), np.maximum.reduceat(x, first)
+    wide = np.where(high > low, high - low, 1)[of]
+    bins = np.minimum(np.floor((x - low[of]) / wide * 11), 10)
+    gap = (high > low) & (np.add.reduceat((bins == 5).astype(np.int64), first) == 0)
+    part = (gap[of] & (x >= (low + (high - low) * 5 / 11)[of])).astype(np.int64)
+    key = of * 2 + part
+    order = np.argsort(key, kind="stable")
+    key, x, y = key[order], x[order], y[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = [np.floor(np.minimum.reduceat(x, at)), np.ceil(np.maximum.reduceat(x, at)), np.floor(np.minimum.reduceat(y, at)), np.ceil(np.maximum.reduceat(y, at))]
+    return key[at] // 2, [key[at] % 2, *(e.astype(np.int64) for e in ends)]
+
+
+def _per_frame(rows: DataFrame, points, grid: CarGrid) -> DataFrame:
+    """image_id, camera and _BOX; points(batch) gives RA and Dec of the frames' points, where each frame's begin, and which rows these frames are."""
+    target = Projection.of_grid(grid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            ra, dec, first, row = points(batch)
+            if not len(first):
+                continue
+            frame, columns = _boxes(*target.world_to_pixel(ra, dec), first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row[frame])) for c in ("image_id", "camera")), *map(pa.array, columns)], names=["image_id", "camera", "part", "xmin", "xmax", "ymin", "ymax"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"image_id {kinds['image_id']}, camera {kinds['camera']}, {_BOX}")
+
+
 def bounds(edges: DataFrame, grid: CarGrid) -> DataFrame:
-    """image_id, camera, part, xmin, xmax, ymin, ymax: the pixel box of each frame's points; two boxes where a frame straddles the map's edge.
+    """image_id, camera, part, xmin, xmax, ymin, ymax: the pixel box of each frame's points; two boxes where a frame straddles the map's edge. A frame without points has none.
 
     Of 11 bins of x the first and the last are filled and the middle one is empty: then the points left and right of the sixth bin make up a box each.
     """
 
-    def place(p: Column) -> Column:
-        x, y = world_to_pixel(p["ra"], p["dec"], grid)
-        return F.struct(F.round(x, 9).alias("x"), F.round(y, 9).alias("y"))
-
-    placed = edges.select("image_id", "camera", F.transform("points", place).alias("points"))
-    reach = placed.select("*", F.array_min("points.x").alias("lo"), F.array_max("points.x").alias("hi"))
-    bin_ = lambda p: F.least(F.floor((p["x"] - F.col("lo")) / (F.col("hi") - F.col("lo")) * 11), F.lit(10))
-    halved = reach.select("*", (~F.exists("points", lambda p: bin_(p) == 5)).alias("gap"), (F.col("lo") + (F.col("hi") - F.col("lo")) * 5 / 11).alias("middle"))
-    right = lambda p: F.col("gap") & (p["x"] >= F.col("middle"))
-    parts = F.array(F.filter("points", lambda p: ~right(p)), F.filter("points", right))
-    boxes = halved.select("image_id", "camera", F.posexplode(parts).alias("part", "points")).filter("size(points) > 0")
-    return boxes.select(
-        "image_id", "camera", "part",
-        F.floor(F.array_min("points.x")).alias("xmin"), F.ceil(F.array_max("points.x")).alias("xmax"), F.floor(F.array_min("points.y")).alias("ymin"), F.ceil(F.array_max("points.y")).alias("ymax"),
-    )
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        found = batch.column("points")
+        many = found.value_lengths().fill_null(0).to_numpy()
+        flat = found.flatten()
+        row = np.flatnonzero(many)
+        return *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("ra", "dec")), (np.cumsum(many) - many)[row], row
+
+    return _per_frame(edges.select("image_id", "camera", "points"), points, grid)
+
+
+def frame_boxes(footprints: DataFrame, per_edge: int, grid: CarGrid) -> DataFrame:
+    """bounds() of the points along the edges of square frames (ra0, dec0, half), which are made where they are used. Frames with a null number have none."""
+    t = np.linspace(-1, 1, per_edge)
+    one = np.ones(per_edge)
+    right, up = np.concatenate([t, one, t, -one]), np.concatenate([-one, t, one, t])
+
+    def points(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ra, dec, half = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("ra0", "dec0", "half"))
+        row = np.flatnonzero(np.isfinite(ra + dec + half))
+        ra, dec, half = (c[row, None] for c in (ra, dec, half))
+        return ((ra + right * half) % 360).ravel(), (dec + up * half).ravel(), np.arange(len(row)) * len(right), row
+
+    return _per_frame(footprints.select("image_id", "camera", "ra0", "dec0", "half"), points, grid)
 
 
 def collective_bounds(boxes: DataFrame, key: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*rows: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in rows:
+        store, path = fs.FileSystem.from_uri(df._written)
+        store.delete_dir(path)
 
 
 def numbered(rows: DataFrame, key: str, name: str, pieces: int = 256) -> DataFrame:
