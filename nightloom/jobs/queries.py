@@ -414,14 +414,15 @@ def build_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(sky.build_map(tables.sky_images(spark, sf_dir), reducers, _GRID, frame_count=True), "value")
 
 
-@query(
-    f"""WITH m AS (SELECT my, mx, quantile_cont(v, 0.05) AS value FROM ({_SKY_SAMPLES}) GROUP BY my, mx),
+_SUBTRACTED = f"""WITH m AS (SELECT my, mx, quantile_cont(v, 0.05) AS value FROM ({_SKY_SAMPLES}) GROUP BY my, mx),
     own AS (SELECT image_id, y, x, v AS source, {_ON_SKY} FROM ({_PIXELS})),
     taken AS (SELECT image_id, y, x, w, my + dy AS my, (mx + dx + 360) % 360 AS mx FROM own, {_TAPS}),
     e AS (SELECT image_id, y, x, sum(w * value) AS estimate FROM taken JOIN m USING (my, mx) GROUP BY ALL HAVING count(*) = 25)
-    SELECT image_id, own.y::INT AS y, own.x::INT AS x, round(source, 8) AS source, round(b.v, 8) AS blurred, round(estimate, 8) AS estimate, round(b.v - estimate, 8) AS remnant
+    SELECT image_id, own.y::INT AS y, own.x::INT AS x, source, b.v AS blurred, estimate, b.v - estimate AS remnant
     FROM own JOIN ({_BLURRED}) b USING (image_id, y, x) LEFT JOIN e USING (image_id, y, x)"""
-)
+
+
+@query(f"SELECT image_id, y, x, round(source, 8) AS source, round(blurred, 8) AS blurred, round(estimate, 8) AS estimate, round(remnant, 8) AS remnant FROM ({_SUBTRACTED})")
 def subtract_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map of all images, resampled back into the frame of each and taken off."""
     images = tables.sky_images(spark, sf_dir)
@@ -489,3 +490,58 @@ def default_grid_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = sky.plan_grid(images, 1.0, "covered")
     made = sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, grid, frame_count=True)
     return _round(made.select("y", "x", "value", "frame_count"), "value")
+
+
+_FIELD_STARS = "SELECT o_orderkey AS star_id, ((o_orderkey * 7919 % 30000) / 1000 + 345.0003::DOUBLE) % 360 AS ra, (o_orderkey * 104729 % 30000) / 1000 - 15.0003::DOUBLE AS dec, o_totalprice::DOUBLE / 50000 AS vmag FROM orders"
+_IN_IMAGES = f"""SELECT * FROM (
+    SELECT vec_id AS image_id, label, star_id, ((ra - (352.5 + vec_id % 9) + 540) % 360 + 360) % 360 - 180 AS x, dec + 9.5::DOUBLE - (vec_id // 9) % 9 AS y, vmag FROM embeddings, ({_FIELD_STARS}) WHERE vmag > 1 AND vmag < 6)
+    WHERE x > 0 AND x < 8 AND y > 0 AND y < 8"""
+
+
+@query(f"SELECT image_id, star_id, round(x, 6) AS x, round(y, 6) AS y, round(vmag, 6) AS vmag FROM ({_IN_IMAGES}) WHERE x > 1 AND x < 6 AND y > 2 AND y < 5")
+def stars_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogued stars in every image by its own wcs, less a trim of each side."""
+    found = stars.in_image_frames(tables.field_stars(spark, sf_dir), tables.sky_images(spark, sf_dir), _GRID, 1.0, 6.0, (1, 2, 2, 3))
+    return _round(found, "x", "y", "vmag", digits=6)
+
+
+@query(
+    f"""WITH s AS ({_IN_IMAGES} AND x > 3.5 AND x < 4.5 AND y > 3.5 AND y < 4.5),
+    o AS (SELECT dy, dx, dx * dx + dy * dy <= 1 AS disc FROM range(-2, 3) AS a(dy), range(-2, 3) AS b(dx) WHERE dx * dx + dy * dy <= 4),
+    p AS (SELECT image_id, {", ".join(f"coalesce(sum({c}) FILTER (disc), 0) - median({c}) FILTER (NOT disc) * 5 AS {c}" for c in ("source", "blurred", "estimate", "remnant"))}
+      FROM ({_SUBTRACTED}) q JOIN o ON q.y = 4 + dy AND q.x = 4 + dx GROUP BY image_id),
+    t AS (SELECT label, min(vec_id) AS began FROM embeddings GROUP BY label)
+    SELECT image_id, star_id, round(source, 6) AS orig_measured_flux, round(blurred, 6) AS blurred_measured_flux, round(estimate, 6) AS est_stellar_flux, round(remnant, 6) AS remnant_flux, round(vmag, 6) AS exp_magnitude,
+      label AS encounter, image_id - began AS trel
+    FROM s JOIN p USING (image_id) JOIN t USING (label) WHERE blurred > 0 AND estimate > 0"""
+)
+def photometric_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The light of every star in the images, blurred, in the map's estimate and in what is left, by magnitude, encounter and time since the encounter's first image."""
+    images = tables.sky_images(spark, sf_dir)
+    made = sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, _GRID)
+    flux = stars.photometry(images, sky.subtract_map(images, made, _GRID), tables.field_stars(spark, sf_dir), _GRID, 1.0, 6.0, 1, 0, 1)
+    known = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("encounter"))
+    began = known.groupBy("encounter").agg(F.min("image_id").alias("began"))
+    named = flux.filter("blurred_measured_flux > 0 AND est_stellar_flux > 0").join(known, "image_id").join(began, "encounter").withColumn("trel", F.col("image_id") - F.col("began")).drop("began")
+    return _round(named, "orig_measured_flux", "blurred_measured_flux", "est_stellar_flux", "remnant_flux", "exp_magnitude", digits=6)
+
+
+@query(
+    f"""SELECT my::INT AS y, mx::INT AS x, round(quantile_cont(v, 0.05), 8) AS value, count(*) AS frame_count FROM (
+      SELECT *, (mx // 4 * 4 + 2 - (352 + image_id % 9) + 540) % 360 - 180 AS u, my // 4 * 4 + 2 - (80 + (image_id // 9) % 9) AS w FROM ({_SKY_SAMPLES}))
+    WHERE u BETWEEN 1 AND 7 AND w BETWEEN 1 AND 7 GROUP BY my, mx"""
+)
+def block_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map from blocks at whose centre an image has light, and from no others."""
+    made = sky.build_map(tables.sky_images(spark, sf_dir), {"low": F.percentile("v", F.lit(0.05))}, _GRID, frame_count=True, block=(4, 4))
+    return _round(made.select("y", "x", "value", "frame_count"), "value")
+
+
+@query(ORACLE_SQL["subtract_map"])
+def subtract_stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a map written by tiles and loaded with its grid: only tiles that images touch are read."""
+    images = tables.sky_images(spark, sf_dir)
+    path = f"{tables.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    sky.save_map(sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, _GRID), _GRID, path, 32)
+    stored = sky.load_map(spark, path)
+    return _round(sky.subtract_map(images, stored.around(images), stored.grid), "source", "blurred", "estimate", "remnant")

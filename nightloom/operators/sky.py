@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.functions.projection import Projection, find_bounds, with_poles
@@ -201,19 +201,19 @@ DEFAULT_REDUCERS: Mapping[str, stack.Reducer] = {"gaussian": lambda v: gaussian_
 
 def build_map(
     images: DataFrame, reducers: Mapping[str, stack.Reducer] | None = None, grid: CarGrid | None = None, processor: Processor = Processor(), frame_count: bool = False, attribution: bool = False,
-    block: tuple[int, int] | None = None, strip: int = stack.STRIP, planes: bool = False,
+    block: tuple[int, int] | None = None, strip: int = stack.STRIP, planes: bool = False, target_bytes: int = stack.TARGET_BYTES,
 ) -> DataFrame:
     """reducer_id, output_idx, y, x, value (and frame_count, attribution; plane with planes): each reducer's value of the samples at each pixel that any image covers.
 
     Without reducers the centre of a Gaussian fit; without a grid plan_grid(images). Each plane is a map of its own; without planes an image of several is refused. Results depend on
-    neither the strip width nor the order of images. Images without an image_id take part; what is nearest to one of them is attributed to -1.
+    neither the strip width nor the order of images. Where kernels would hold more than target_bytes of samples at once, as over a deep field, the stack is cut into narrower stretches. Images without an image_id take part; what is nearest to one of them is attributed to -1.
     """
     images = processor.preprocess(images)
     grid = grid or plan_grid(images)
     rows = tables.written(resampled(images, grid, block, planes=planes, width=strip), "stack")
     if processor.postprocess_samples is not _same:
         rows = tables.written(stack.rows_of(processor.postprocess_samples(stack.samples_of(rows)), strip), "stack")
-    made = stack.reduce_rows(rows, reducers or DEFAULT_REDUCERS, attribution)
+    made = stack.reduce_rows(rows, reducers or DEFAULT_REDUCERS, attribution, strip, target_bytes)
     return made.select("reducer_id", "output_idx", *(["plane"] if planes else []), "y", "x", "value", *(["frame_count"] if frame_count else []), *(["attribution"] if attribution else []))
 
 
@@ -294,6 +294,46 @@ def subtract_map(images: DataFrame, sky: DataFrame, grid: CarGrid, processor: Pr
     return out if planes else out.drop("plane")
 
 
+@dataclass(frozen=True)
+class StoredMap:
+    """A map in a folder: pixels by tile, and one row of its grid."""
+
+    rows: DataFrame
+    grid: CarGrid
+    tile: int
+    meta: Mapping[str, str]
+
+    def around(self, images: DataFrame, margin: int = 4) -> DataFrame:
+        """The pixels of the tiles that images touch; the others' files are not read. The driver sees the tiles, no more than the map has."""
+        ny, nx = self.grid.shape
+        span = lambda low, high, n: F.explode(F.transform(F.sequence(F.floor((F.col(low) - margin) / self.tile), F.floor((F.col(high) + margin) / self.tile)), lambda t: F.pmod(t, F.lit(-(-n // self.tile)))))
+        touched = image_bounds(images, self.grid).select(span("xmin", "xmax", nx).alias("tile_x"), "ymin", "ymax").select("tile_x", span("ymin", "ymax", ny).alias("tile_y"))
+        # Tiles of one row of the map are asked for together; the ends of the circle, which need not be whole tiles, with one more.
+        tiles = {(r.tile_y, x) for r in touched.distinct().collect() for x in (r.tile_x, *([0, -(-nx // self.tile) - 2] if r.tile_x in (0, -(-nx // self.tile) - 1) else []))}
+        by_row: dict[int, list[int]] = {}
+        for y, x in sorted(tiles):
+            by_row.setdefault(y, []).append(x)
+        wanted = F.lit(False)
+        for y, xs in by_row.items():
+            wanted = wanted | ((F.col("tile_y") == y) & F.col("tile_x").isin(xs))
+        return self.rows.filter(wanted).drop("tile_y", "tile_x")
+
+
+def save_map(made: DataFrame, grid: CarGrid, path: str, tile: int = 256, meta: Mapping[str, str] | None = None, overwrite: bool = False) -> None:
+    """Writes a map as pixels by tile beside one row of its grid; refuses a path in use unless told to overwrite."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    keyed = made.withColumns({"tile_y": F.expr(f"y div {tile}").cast("int"), "tile_x": F.expr(f"x div {tile}").cast("int")})
+    keyed.repartition("tile_y", "tile_x").write.mode(mode).partitionBy("tile_y", "tile_x").parquet(f"{path}/pixels")
+    row = (list(grid.crpix), list(grid.crval), list(grid.cdelt), list(grid.shape), tile, dict(meta or {}))
+    made.sparkSession.createDataFrame([row], "crpix array<double>, crval array<double>, cdelt array<double>, shape array<int>, tile int, meta map<string,string>").coalesce(1).write.mode(mode).parquet(f"{path}/wcs")
+
+
+def load_map(spark: SparkSession, path: str) -> StoredMap:
+    """The map that save_map wrote, with the grid that it lies on."""
+    r = spark.read.parquet(f"{path}/wcs").first()
+    return StoredMap(spark.read.parquet(f"{path}/pixels"), CarGrid(tuple(r.crpix), tuple(r.crval), tuple(r.cdelt), tuple(r.shape)), r.tile, dict(r.meta))
+
+
 def save(rows: DataFrame, path: str, meta: Mapping[str, str] | None = None, overwrite: bool = False) -> None:
     """Writes a map or subtracted images as a table, refusing a path in use unless told to overwrite; meta goes beside each row as a map column."""
     if meta is not None:

@@ -15,6 +15,9 @@ from nightloom.sources import tables
 #: Pixels of a row whose stacks go to a kernel together.
 STRIP = 16
 
+#: Bytes of samples that a kernel's task holds at once.
+TARGET_BYTES = 2**28
+
 #: The stack: of each image the stretches of map rows that it covers, NaN where it has nothing there.
 ROWS = "image_id bigint, plane int, y int, x0 int, values array<double>"
 
@@ -138,7 +141,20 @@ def rows_of(samples: DataFrame, width: int = STRIP) -> DataFrame:
     return each.groupBy("plane", "y", "x0").applyInArrow(run, ROWS)
 
 
-def reduce_rows(rows: DataFrame, reducers: Mapping[str, Reducer], attribute: bool = False) -> DataFrame:
+def narrowed(rows: DataFrame, width: int, target_bytes: int) -> DataFrame:
+    """ROWS whose stretches are cut in halves until those of the most images hold no more than target_bytes, or one pixel."""
+    deepest = rows.groupBy("plane", "y", "x0").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    now = width
+    while now > 1 and deepest * now * 8 > target_bytes:
+        now = -(-now // 2)
+    if now == width:
+        return rows
+    parts = F.transform(F.sequence(F.lit(0), F.lit(width - 1), F.lit(now)), lambda at: F.struct((F.col("x0") + at).alias("x0"), F.slice("values", at + 1, F.lit(now)).alias("values")))
+    cut = rows.select("image_id", "plane", "y", F.explode(parts).alias("p")).select("image_id", "plane", "y", "p.x0", "p.values")
+    return cut.filter(F.exists("values", finite))
+
+
+def reduce_rows(rows: DataFrame, reducers: Mapping[str, Reducer], attribute: bool = False, width: int = STRIP, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """reducer_id, output_idx, plane, y, x, value, frame_count (and attribution) of several reducers over one written stack (ROWS).
 
     Aggregates share one pass of partial aggregation over samples, kernels one pass over stretches of map rows, which attributes on the way. attribution: the image
@@ -177,7 +193,7 @@ def reduce_rows(rows: DataFrame, reducers: Mapping[str, Reducer], attribute: boo
             return pa.table([pa.array(c, k) for c, k in zip(cells, kinds.values(), strict=True)], names=list(kinds))
 
         schema = "plane int, y int, x int, reducer_id string, output_idx int, value double, frame_count bigint, attribution bigint"
-        parts.append(rows.groupBy("plane", "y", "x0").applyInArrow(run, schema).select(*columns))
+        parts.append(narrowed(rows, width, target_bytes).groupBy("plane", "y", "x0").applyInArrow(run, schema).select(*columns))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

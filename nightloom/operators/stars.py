@@ -42,26 +42,44 @@ def in_frames(stars: DataFrame, footprints: DataFrame, bright: float, dim: float
     return bright_ones.join(spread, ["rb", "db"]).filter((F.round(F.abs(dx), 9) < F.col("half")) & (F.round(F.abs(dy), 9) < F.col("half"))).select("image_id", "star_id", dx.alias("dx"), dy.alias("dy"), "vmag")
 
 
-def aperture_flux(pixels: DataFrame, positions: DataFrame, shape: tuple[int, int], aperture: int, gap: int, annulus: int) -> DataFrame:
-    """image_id, star_id, flux, background: light within the aperture less the annulus' median over all its pixels.
-
-    positions(image_id, star_id, x, y) are rounded half to even; stars nearer to the edge than the cut-out (cw < y <= ny - cw - 1) are
-    left out. Offsets within reach are exploded, so pixels are found by an equi join.
-    """
-    ny, nx = shape
+def _apertures(pixels: DataFrame, positions: DataFrame, columns: Sequence[str], aperture: int, gap: int, annulus: int) -> DataFrame:
+    """image_id, star_id, and of each column its flux and background (c_flux, c_background); positions(image_id, star_id, x, y, ny, nx)."""
     reach = aperture + gap + annulus
     cut = reach + 1
-    at = positions.select("image_id", "star_id", F.rint("x").cast("int").alias("cx"), F.rint("y").cast("int").alias("cy"))
-    at = at.filter((F.col("cy") > cut) & (F.col("cy") <= ny - cut - 1) & (F.col("cx") > cut) & (F.col("cx") <= nx - cut - 1))
+    at = positions.select("image_id", "star_id", F.rint("x").cast("int").alias("cx"), F.rint("y").cast("int").alias("cy"), "ny", "nx")
+    at = at.filter((F.col("cy") > cut) & (F.col("cy") <= F.col("ny") - cut - 1) & (F.col("cx") > cut) & (F.col("cx") <= F.col("nx") - cut - 1))
     near = [(dy, dx, dx * dx + dy * dy) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
     offsets = [(dy, dx, r2 <= aperture**2) for dy, dx, r2 in near if r2 <= aperture**2 or (aperture + gap) ** 2 < r2 <= reach**2]
     spread = at.select("*", F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(disc).alias("disc")) for dy, dx, disc in offsets])).alias("o"))
     keyed = spread.select("image_id", "star_id", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x"), F.col("o.disc").alias("disc"))
-    good = F.when(F.abs("v") < float("inf"), F.col("v"))
-    light = keyed.join(pixels, ["image_id", "y", "x"], "left").groupBy("image_id", "star_id").agg(
-        F.coalesce(F.sum(F.when(F.col("disc"), good)), F.lit(0.0)).alias("light"), F.median(F.when(~F.col("disc"), good)).alias("background"), F.count_if("disc").alias("area")
-    )
-    return light.select("image_id", "star_id", (F.col("light") - F.col("background") * F.col("area")).alias("flux"), "background")
+    made = []
+    for c in columns:
+        good = F.when(F.abs(c) < float("inf"), F.col(c))
+        made += [F.coalesce(F.sum(F.when(F.col("disc"), good)), F.lit(0.0)).alias(f"{c}_light"), F.median(F.when(~F.col("disc"), good)).alias(f"{c}_background")]
+    light = keyed.join(pixels.select("image_id", "y", "x", *columns), ["image_id", "y", "x"], "left").groupBy("image_id", "star_id").agg(*made, F.count_if("disc").alias("area"))
+    return light.select("image_id", "star_id", *[e for c in columns for e in ((F.col(f"{c}_light") - F.col(f"{c}_background") * F.col("area")).alias(f"{c}_flux"), F.col(f"{c}_background"))])
+
+
+def aperture_flux(pixels: DataFrame, positions: DataFrame, shape: tuple[int, int], aperture: int, gap: int, annulus: int) -> DataFrame:
+    """image_id, star_id, flux, background: light within the aperture less the annulus' median over all its pixels.
+
+    positions(image_id, star_id, x, y) are rounded half to even; stars nearer to the edge than the cut-out (cw < y <= ny - cw - 1) are
+    left out. Offsets within reach are exploded, so pixels are found by an equi join.
+    """
+    placed = positions.withColumns({"ny": F.lit(shape[0]), "nx": F.lit(shape[1])})
+    return _apertures(pixels, placed, ["v"], aperture, gap, annulus).select("image_id", "star_id", F.col("v_flux").alias("flux"), F.col("v_background").alias("background"))
+
+
+def photometry(images: DataFrame, subtracted: DataFrame, stars: DataFrame, grid: CarGrid, bright: float, dim: float, aperture: int = 6, gap: int = 2, annulus: int = 2, trim: Sequence[float] = (0, 0, 0, 0)) -> DataFrame:
+    """image_id, star_id, orig_measured_flux, blurred_measured_flux, est_stellar_flux, remnant_flux, exp_magnitude of every catalogued star in every image, by the image's own wcs.
+
+    subtracted: of subtract_map. A star's four apertures meet their pixels in one join; stars nearer to the edge than a cut-out are left out. A flux without a background is null.
+    """
+    found = in_image_frames(stars, images, grid, bright, dim, trim)
+    placed = found.join(images.select("image_id", "ny", "nx"), "image_id")
+    flux = _apertures(subtracted, placed, ["source", "blurred", "estimate", "remnant"], aperture, gap, annulus)
+    named = flux.select("image_id", "star_id", F.col("source_flux").alias("orig_measured_flux"), F.col("blurred_flux").alias("blurred_measured_flux"), F.col("estimate_flux").alias("est_stellar_flux"), F.col("remnant_flux"))
+    return named.join(found.select("image_id", "star_id", F.col("vmag").alias("exp_magnitude")), ["image_id", "star_id"])
 
 
 def flux_of(magnitude: Column, zero: float = 3e-9) -> Column:
@@ -88,15 +106,22 @@ def in_image_frames(stars: DataFrame, images: DataFrame, grid: CarGrid, bright:
     pairs = some.join(touched, ["rb", "db"]).drop("rb", "db").join(images.select("image_id", "ny", "nx", "wcs"), "image_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Projection] = {}
         for batch in batches:
-            x, y, keep = [], [], []
-            for r in batch.select(["ra", "dec", "ny", "nx", "wcs"]).to_pylist():
-                own = known.setdefault(str(r["wcs"]), Projection.of_row(r["wcs"]))
-                u, v = (float(c) for c in own.world_to_pixel(np.float64(r["ra"]), np.float64(r["dec"])))
-                keep.append(trim[0] < u < r["nx"] - trim[1] and trim[2] < v < r["ny"] - trim[3])
-                x.append(u), y.append(v)
-            out = pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("star_id"), pa.array(x, pa.float64()), pa.array(y, pa.float64()), batch.column("vmag")], names=["image_id", "star_id", "x", "y", "vmag"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+            ids = batch.column("image_id").fill_null(-1).to_numpy()
+            _, first, of = np.unique(ids, return_index=True, return_inverse=True)
+            ra, dec = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("ra", "dec"))
+            x, y, keep = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=len(first)))
+            # The stars of one image together.
+            for k, r in enumerate(batch.select(["ny", "nx", "wcs"]).take(pa.array(first)).to_pylist()):
+                own, rows = Projection.of_row_or_none(r["wcs"]), order[ends[k - 1] if k else 0 : ends[k]]
+                if own is not None:
+                    u, v = own.world_to_pixel(ra[rows], dec[rows])
+                    with np.errstate(invalid="ignore"):
+                        keep[rows] = (trim[0] < u) & (u < r["nx"] - trim[1]) & (trim[2] < v) & (v < r["ny"] - trim[3])
+                    x[rows], y[rows] = u, v
+            out = pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("star_id"), pa.array(x), pa.array(y), batch.column("vmag")], names=["image_id", "star_id", "x", "y", "vmag"])
+            yield out.filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "image_id bigint, star_id bigint, x double, y double, vmag double")

@@ -85,6 +85,14 @@ def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def field_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """star_id, ra, dec, vmag from orders, about RA 0 and Dec 0, where sky_images() look."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("star_id"), F.pmod((k * 7919 % 30000) / 1000 + 345.0003, F.lit(360.0)).alias("ra"), ((k * 104729 % 30000) / 1000 - 15.0003).alias("dec"), (F.col("o_totalprice").cast("double") / 50000).alias("vmag")
+    )
+
+
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, group, centre and half width of pointed square frames, from parts; some cross RA 0."""
     k = F.col("p_partkey")

@@ -326,6 +326,36 @@ def test_samples_may_be_changed_on_the_way(spark):
         assert r.value == pytest.approx(plain[k].value + 10) and r.frame_count == 3 + (k[2] == 5) and r.attribution == plain[k].attribution == 1
 
 
+def test_deep_fields_are_cut_into_narrower_stretches(spark):
+    """Of 60 images on one spot and one elsewhere; rows are those of the plain map, and no group is over the target."""
+    rng = np.random.default_rng(9)
+    rows = [_image(k, rng.normal(size=(12, 12)), crval=(100.0, 0.0)) for k in range(60)] + [_image(99, np.ones((12, 12)), crval=(140.0, 0.0))]
+    images, grid = spark.createDataFrame(rows, _IMAGES), wcs.CarGrid((1.0, 1.0), (100.0, 0.0), (1.0, 1.0), (12, 60))
+    reducers = {"middle": lambda v: float(np.median(v)), "mean": F.avg("v")}
+    made = [sorted(map(str, sky.build_map(images, reducers, grid, frame_count=True, attribution=True, target_bytes=n).select("reducer_id", "y", "x", F.round("value", 9), "frame_count", "attribution").collect())) for n in (2**28, 60 * 4 * 8)]
+    assert made[0] == made[1] and len(made[0]) == 4 * 64
+    stretches = stack.narrowed(sky.resampled(images, grid), 16, 60 * 4 * 8)
+    assert stretches.groupBy("plane", "y", "x0").agg(F.sum(F.size("values")).alias("n")).agg(F.max("n")).first()[0] <= 60 * 4
+
+
+def test_stored_maps_are_read_by_tile(spark, tmp_path):
+    images = spark.createDataFrame([_image(k, np.full((12, 12), 1.0 + k), crval=(ra, 0.0)) for k, ra in enumerate((0.0, 90.0, 200.0))], _IMAGES)
+    grid = wcs.CarGrid((1.0, 13.0), (180.0, 0.0), (1.0, 1.0), (40, 360)).cropped(-180, 0, (40, 360))
+    made = sky.build_map(images, {"low": F.min("v")}, grid)
+    path = f"{tmp_path}/map"
+    sky.save_map(made, grid, path, 16, {"scale": "1"})
+    with pytest.raises(Exception):
+        sky.save_map(made, grid, path, 16)
+    stored = sky.load_map(spark, path)
+    assert (stored.grid, stored.tile, stored.meta) == (grid, 16, {"scale": "1"})
+    some = images.filter("image_id <> 1")
+    near = stored.around(some)
+    assert "PartitionFilters: [" in near._jdf.queryExecution().executedPlan().toString() and 0 < near.count() < stored.rows.count()
+    clean = lambda df: df.toPandas().sort_values(["image_id", "y", "x"]).reset_index(drop=True).round(9)
+    whole = clean(sky.subtract_map(some, made, grid))
+    assert clean(sky.subtract_map(some, near, stored.grid)).equals(whole) and whole.remnant.notna().sum() > 20
+
+
 def test_image_of_the_whole_sky_on_an_oblique_grid(spark):
     """A constant brightness comes back wherever there is a value, at the seam and about the poles as well, and soon."""
     import time
