@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.llm import mixing, ngram_join, packing, substring, toxicity
-from nightloom.llm.common import materialize, read_table
+from nightloom.llm.common import fresh, materialize, read_table
 from nightloom.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half, by a model of the labels outside of the held-out fold."""
     model = toxicity.train(toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).filter("score < 0.5").select(*docs.columns)
+    own = fresh(docs.columns, "toxicity")
+    return toxicity.score(docs, model, own, f"{own}_spans").filter(F.col(own) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document of a smaller doc_id has; n_chars follows the text."""
-    cut = substring.cut_repeats(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own = fresh(docs.columns, "cut")
+    cut = substring.cut_repeats(docs, names=(f"{own}_words", own, f"{own}_repeats"))
+    return cut.withColumn("n_chars", F.when(F.col(own) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences and places; sequences follow the order in which the mixture was written, stretch by stretch."""
-    return packing.pack_documents(packing.in_written_order(docs), tokenizer_path("byte_bpe_50k.json"))
+    placed, position = packing.in_written_order(docs)
+    return packing.pack_documents(placed, tokenizer_path("byte_bpe_50k.json"), position=position)
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(columns: Iterable[str], base: str) -> str:
+    """base, made longer until no column has a name that begins with it, in whatever case."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(base) for c in taken):
+        base += "_"
+    return base
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; of a null text an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

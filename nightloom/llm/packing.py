@@ -81,7 +81,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
-    """Adds the bin of each piece, whether it is the first of its bin, and whether the bin is given up: of a partition with a gap the emptiest bins with half of its pieces, of others the emptiest one."""
+    """Adds the bin of each piece, its place there, whether it is the first of its bin, and whether the bin is given up: of a partition with a gap the emptiest bins with half of its pieces, of others the emptiest one."""
     table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
     lengths = table["length"].to_numpy()
     bins = best_fit_decreasing(lengths, capacity)
@@ -93,61 +93,63 @@ def _pack_partition(table: pa.Table, capacity: int) -> pa.Table:
         released[order[: int(np.searchsorted(pieces_up_to, len(bins) / 2)) + 1]] = True
     else:
         released[order[:1]] = filled[order[:1]] < capacity
-    first = np.zeros(len(bins), bool)
-    first[np.unique(bins, return_index=True)[1]] = True
-    for name, values in (("bin", bins), ("first", first), ("released", released[bins])):
+    # The pieces of a bin lie in it in the order in which they are sorted.
+    by_bin = np.argsort(bins, kind="stable")
+    ahead = np.cumsum(lengths[by_bin]) - lengths[by_bin]
+    first = np.concatenate([[True], bins[by_bin][1:] != bins[by_bin][:-1]])
+    offset = np.empty(len(bins), np.int64)
+    offset[by_bin] = ahead - np.maximum.accumulate(np.where(first, ahead, 0))
+    opens = np.zeros(len(bins), bool)
+    opens[by_bin[first]] = True
+    for name, values in (("bin", bins), ("offset", offset), ("first", opens), ("released", released[bins])):
         table = table.append_column(name, pa.array(values))
     return table
 
 
-def _packed(pieces: DataFrame, round_no: int, capacity: int, parts: int, total: int) -> DataFrame:
-    if "position" in pieces.columns:
-        part = F.expr(f"cast(position as decimal(38, 0)) * {parts} div {max(total, 1)}").cast("long")
-    else:
-        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(parts))
+def _packed(pieces: DataFrame, round_no: int, capacity: int, parts: int, total: int, position: str | None) -> DataFrame:
+    if position:
+        part = F.expr(f"cast(coalesce(`{position}`, 0) as decimal(38, 0)) * {parts} div {max(total, 1)}").cast("long")
+    else:  # repeated rows differ by where they lie in the table that is read
+        part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no), F.monotonically_increasing_id()), F.lit(parts))
     dealt = pieces.select(*pieces.columns, part.alias("part"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin bigint, first boolean, released boolean"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", bin bigint, offset bigint, first boolean, released boolean"
     out = dealt.groupBy("part").applyInArrow(lambda table: _pack_partition(table, capacity), schema)
     # By where the partition begins among those of the first round, then by round.
     return out.withColumn("sequence_id", (F.col("part") * F.lit(2 ** (36 + round_no)) + F.lit(round_no) * F.lit(2**31) + F.col("bin")).cast("long")).drop("bin", "part")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION) -> DataFrame:
-    """pieces (PIECE_SCHEMA; lengths 1 to capacity) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, position: str | None = None) -> DataFrame:
+    """pieces (PIECE_SCHEMA; lengths 1 to capacity) with sequence_id and offset; further columns are left out, but for position.
 
-    With a further column position (0 to the number of documents - 1) partitions are consecutive stretches of it, neighbours exchange, and
-    sequence_id follows it stretch by stretch; else pieces are dealt by a hash. Repeated rows are packed as rows of their own; an empty table gives an empty table.
+    position: a column (0 to the number of documents - 1, null as 0) of which partitions are consecutive stretches; neighbours exchange, and
+    sequence_id follows it stretch by stretch. Without one pieces are dealt by a hash. Repeated rows are packed as rows of their own, over all partitions; an empty table gives an empty table.
     sequence_id is unique, not dense. Pieces as long as the capacity are sequences of their own.
     """
-    columns = pieces.columns
-    sequences = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(-1) - F.monotonically_increasing_id())
+    columns = [f.split()[0] for f in PIECE_SCHEMA.split(", ")] + ([position] if position else [])
+    pieces = pieces.select(*columns)
+    sequences = pieces.filter(F.col("length") == capacity).select("*", F.lit(0).cast("long").alias("offset"), (F.lit(-1) - F.monotonically_increasing_id()).alias("sequence_id"))
     current = pieces.filter(F.col("length") < capacity)
-    total = pieces.agg(F.coalesce(F.max("position"), F.lit(0)) + 1).first()[0] if "position" in columns else 0
+    total = pieces.agg(F.coalesce(F.max(position), F.lit(0)) + 1).first()[0] if position else 0
     have = np.zeros(capacity + 1, np.int64)
     for r in current.groupBy("length").count().collect():  # a row for each length, fewer than the capacity
         have[r.length] = r["count"]
     parts, round_no, left = max(1, -(-int(have.sum()) // per_partition)), 0, bound_of_counts(have, capacity)
     while True:
-        packed = materialize(_packed(current, round_no, capacity, parts, total), "packed")
+        packed = materialize(_packed(current, round_no, capacity, parts, total, position), "packed")
         bins, given_up = packed.agg(F.count_if("first"), F.count_if(F.col("first") & F.col("released"))).first()
         if parts == 1 or bins <= left or not given_up:  # nobody to exchange with, or nothing to gain
-            return _placed(sequences.unionByName(packed.drop("first", "released")))
+            return sequences.unionByName(packed.drop("first", "released"))
         sequences = sequences.unionByName(packed.filter("NOT released").drop("first", "released"))
         current, left = packed.filter("released").select(*columns), left - (bins - given_up)
         parts, round_no = -(-parts // 2), round_no + 1
 
 
-def _placed(sequences: DataFrame) -> DataFrame:
-    within = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return sequences.withColumn("offset", (F.sum("length").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).cast("long"))
-
-
-def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, position: str | None = None) -> DataFrame:
     """The pieces of every whole text; only documents longer than the capacity are cut, the first piece being the short one.
 
-    A null or empty text is the end id alone. A column position is kept beside the pieces.
+    A null or empty text is the end id alone. position: a column of documents that is kept beside the pieces, as position.
     """
-    kept = [c for c in ("position",) if c in documents.columns]
+    kept = ["position"] if position else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer, tokens.cut_before_words).encode
@@ -167,23 +169,24 @@ def document_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capac
                 names=["doc_id", "piece", "start", "length", "ids_crc32", *kept],
             )
 
-    return documents.select("doc_id", "text", *kept).mapInArrow(run, ", ".join([PIECE_SCHEMA, *(f"{c} bigint" for c in kept)]))
+    beside = [F.col(f"`{position}`").cast("long").alias("position")] if position else []
+    return documents.select("doc_id", "text", *beside).mapInArrow(run, ", ".join([PIECE_SCHEMA, *(f"{c} bigint" for c in kept)]))
 
 
-def in_written_order(documents: DataFrame) -> DataFrame:
-    """doc_id, text and position of documents read from a Parquet table of Spark's: rows count on from file to file in the order of the parts. Without files behind them there is no position."""
+def in_written_order(documents: DataFrame) -> tuple[DataFrame, str | None]:
+    """doc_id, text and position of documents read from a Parquet table of Spark's, and that column's name: rows count on from file to file in the order of the parts. Without files behind them there is no position."""
     try:
-        rows = documents.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        rows = documents.select("doc_id", "text", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).alias("file"), F.col("_metadata.row_index").alias("row"))
     except AnalysisException:
-        return documents.select("doc_id", "text")
-    rows = rows.withColumn("_file", F.expr("try_cast(_file AS bigint)"))
-    counts = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))  # a row for each file
-    ahead = counts.select(F.col("_file").alias("_f"), F.coalesce(F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    return rows.join(F.broadcast(ahead), F.expr("_file <=> _f")).select("doc_id", "text", (F.col("_ahead") + F.col("_row")).alias("position"))
+        return documents.select("doc_id", "text"), None
+    rows = rows.withColumn("file", F.expr("try_cast(file AS bigint)"))
+    counts = rows.groupBy("file").agg((F.max("row") + 1).alias("n"))  # a row for each file
+    ahead = counts.select(F.col("file").alias("f"), F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return rows.join(F.broadcast(ahead), F.expr("file <=> f")).select("doc_id", "text", (F.col("ahead") + F.col("row")).alias("position")), "position"
 
 
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
-    pieces = materialize(document_pieces(documents, tokenizer, end_id, capacity), "pieces")
-    out = pack(pieces, capacity)
+def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, position: str | None = None) -> DataFrame:
+    """Every piece of every document with its sequence and its place there; position as in pack()."""
+    pieces = materialize(document_pieces(documents, tokenizer, end_id, capacity, position), "pieces")
+    out = pack(pieces, capacity, position="position" if position else None)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

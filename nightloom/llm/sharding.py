@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Pieces into which every shard is cut to number its rows.
 PIECES = 4096
 _BITS = 52
@@ -55,28 +57,30 @@ def assign(
     columns in ties. Rows are numbered in pieces of the hash range, so no task holds a
     whole shard; what is broadcast has at most shards x pieces rows. Rows of one
     hot key share a piece. An empty table gives an empty table. Columns of rows
-    named like the new ones are replaced.
+    named like the new ones are replaced, all others are kept.
     """
+    own = fresh(rows.columns, "_at")
+    order, piece, rank, ahead = (f"{own}{k}" for k in range(4))
     name = F.coalesce(F.col(key).cast("string"), F.lit("\x00null"))
     placed = rows.withColumns(
         {
             "shard": rendezvous(F.col(key), weights),
             "grown_shard": rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int"),
-            "_order": hash52(name),
+            order: hash52(name),
         }
-    ).withColumn("_piece", F.shiftright("_order", _BITS - (pieces - 1).bit_length()))
-    before = W.partitionBy("shard").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    ).withColumn(piece, F.shiftright(order, _BITS - (pieces - 1).bit_length()))
+    before = W.partitionBy("shard").orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
     base = (
-        placed.groupBy("shard", "_piece")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("shard", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+        placed.groupBy("shard", piece)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("shard", piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(ahead))
     )
-    within = W.partitionBy("shard", "_piece").orderBy("_order", key, *ties)
+    within = W.partitionBy("shard", piece).orderBy(order, key, *ties)
     return (
-        placed.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(base), ["shard", "_piece"])
-        .withColumn("slot", (F.col("_base") + F.col("_rank")).cast("long"))
-        .drop("_order", "_piece", "_rank", "_base")
+        placed.withColumn(rank, F.row_number().over(within) - 1)
+        .join(F.broadcast(base), ["shard", piece])
+        .withColumn("slot", (F.col(ahead) + F.col(rank)).cast("long"))
+        .drop(order, piece, rank, ahead)
     )
 
 

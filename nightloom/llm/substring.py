@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .wordhash import Words, slices
 
 WINDOW = 13
@@ -192,17 +192,15 @@ def repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, broadc
     return sure.unionByName(compared).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
-def cut_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """documents with text cut, n_words, n_removed and repeats (maximal repeats as word ranges begin to end).
+def cut_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, broadcast_anchors: int = BROADCAST_ANCHORS, names: tuple[str, str, str] = ("n_words", "n_removed", "repeats")) -> DataFrame:
+    """documents with text cut, n_words, n_removed and repeats (maximal repeats as word ranges begin to end), under the given names; columns of these names are replaced.
 
     text keeps its words, joined by one space where any were removed; where none were it stays as it is. A null text stays null with 0 words;
     rows of null doc_id are kept whole and take nothing from others. Rows of equal doc_id are judged each against smaller ids.
     """
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name not in ("n_words", "n_removed", "repeats")]
-    kept = [f.name for f in documents.schema if f.name not in ("n_words", "n_removed", "repeats")]
-    own = "_s"  # no column begins with it
-    while any(c.startswith(own) for c in kept):
-        own += "_s"
+    kept = [f.name for f in documents.schema if f.name.lower() not in {n.lower() for n in names}]
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept]
+    own = fresh(kept, "_s")
     spans = repeats(documents, window, seed, broadcast_anchors).withColumnsRenamed({"doc_id": f"{own}1", "fp": f"{own}2", "spans": own})
     joined = documents.select(*kept).join(spans, (F.col("doc_id") == F.col(f"{own}1")) & (F.xxhash64("text") == F.col(f"{own}2")), "left").select(*kept, own)
 
@@ -227,10 +225,10 @@ def cut_repeats(documents: DataFrame, window: int = WINDOW, seed: int = SEED, br
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             columns = [pa.array(texts, pa.string()) if name == "text" else batch.column(name) for name in kept]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(ranges, kind)], names=[*kept, "n_words", "n_removed", "repeats"]
+                [*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(ranges, kind)], names=[*kept, *names]
             )
 
-    return joined.mapInArrow(run, ", ".join([*names, "n_words bigint", "n_removed bigint", "repeats array<struct<begin:int,end:int>>"]))
+    return joined.mapInArrow(run, ", ".join([*kinds, f"`{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` array<struct<begin:int,end:int>>"]))
 
 
 def document_digests(documents: DataFrame) -> DataFrame:

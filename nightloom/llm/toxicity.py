@@ -34,8 +34,6 @@ SPAN = 0.5
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
-SCORES = "score double, spans array<struct<begin:int,end:int>>"
-
 
 def features(word: str) -> list[str]:
     """The word in lower case without outer punctuation, and its beginnings."""
@@ -274,13 +272,13 @@ def _calibrate(best: np.ndarray, total: np.ndarray, y: np.ndarray) -> tuple[floa
     return tuple(float(i) for i in w)
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with score and spans, the offsets (code points) of the toxic words; columns of these names are replaced.
+def score(documents: DataFrame, model: Model, score_name: str = "score", spans_name: str = "spans") -> DataFrame:
+    """documents with score and spans, the offsets (code points) of the toxic words; columns of the names that these are given are replaced.
 
     A null or empty text has no spans and the score of a text without toxic words.
     """
-    documents = documents.drop("score", "spans")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), SCORES])
+    documents = documents.drop(score_name, spans_name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema), f"`{score_name}` double, `{spans_name}` array<struct<begin:int,end:int>>"])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +310,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
                 spans[k] = [{"begin": m.start(), "end": m.end()} for m, hit in zip(_WORD.finditer(texts[k]), toxic, strict=True) if hit]
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(model.document_scores(best, total)), pa.array(spans, kind)], names=[*batch.schema.names, "score", "spans"]
+                [*batch.columns, pa.array(model.document_scores(best, total)), pa.array(spans, kind)], names=[*batch.schema.names, score_name, spans_name]
             )
 
     return documents.mapInArrow(run, schema)

@@ -567,16 +567,18 @@ def test_pieces_of_documents(spark, docs):
 def test_sequences_follow_the_written_order(spark, tmp_path):
     text = F.concat(F.repeat(F.lit("one two "), (F.col("id") % 50).cast("int")), F.col("id"))
     spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(5).sortWithinPartitions("text").write.parquet(f"{tmp_path}/docs")
-    docs = packing.in_written_order(spark.read.parquet(f"{tmp_path}/docs"))
+    docs, name = packing.in_written_order(spark.read.parquet(f"{tmp_path}/docs"))
+    assert name == "position"
     position = {r.doc_id: r.position for r in docs.select("doc_id", "position").collect()}
     assert sorted(position.values()) == list(range(3000))
-    pieces = packing.document_pieces(docs, path("byte_bpe_50k.json"))
-    out = packing.pack(pieces, per_partition=400).select("doc_id", "length", "sequence_id").collect()
+    pieces = packing.document_pieces(docs, path("byte_bpe_50k.json"), position=name)
+    out = packing.pack(pieces, per_partition=400, position=name).select("doc_id", "length", "sequence_id").collect()
     assert len(out) == 3000
     assert len({r.sequence_id for r in out}) <= packing.lower_bound(np.array([r.length for r in out]), 2048) * 1.02 + 1
     by_sequence = [position[r.doc_id] for r in sorted(out, key=lambda r: r.sequence_id)]
     assert np.corrcoef(by_sequence, np.arange(3000))[0, 1] > 0.7
-    assert packing.in_written_order(spark.range(2).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))).columns == ["doc_id", "text"]
+    plain, none = packing.in_written_order(spark.range(2).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
+    assert plain.columns == ["doc_id", "text"] and none is None
 
 
 # --- n-gram join
