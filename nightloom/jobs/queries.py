@@ -545,3 +545,15 @@ def subtract_stored_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     sky.save_map(sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, _GRID), _GRID, path, 32)
     stored = sky.load_map(spark, path)
     return _round(sky.subtract_map(images, stored.around(images), stored.grid), "source", "blurred", "estimate", "remnant")
+
+
+@query(f"SELECT image_id, my::INT AS y, mx::INT AS x, round(v, 8) AS v FROM ({_SKY_SAMPLES}) WHERE mx >= 352 AND mx < 357")
+def raw_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All samples of five columns of the map, by image."""
+    return _round(sky.raw_stack(tables.sky_images(spark, sf_dir), _GRID, (352, 357)), "v")
+
+
+@query(f"SELECT star_id, round(ra, 8) AS ra, round(dec, 8) AS dec, round(vmag, 8) AS vmag FROM ({_STARS}) WHERE (ra >= 351 OR ra < 12) AND dec >= -30 AND dec < 33")
+def stars_about_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stars of the bins that a field over RA 0 touches."""
+    return _round(stars.stars_between(tables.stars(spark, sf_dir), [(353.0, 359.9), (0.0, 10.5)], -28.5, 30.2), "ra", "dec", "vmag")

@@ -22,9 +22,10 @@ from nightloom.functions.reducers import gaussian_centre
 from nightloom.functions.resample import blurred, resample
 from nightloom.functions.wcs import CarGrid, default_grid
 from nightloom.operators import stack
-from nightloom.sources import tables
+from nightloom.sources import fits, tables
 
 Step = Callable[[DataFrame], DataFrame]
+BlockTest = Callable[[np.ndarray, tuple[float, float]], bool]
 #: Map pixels that a task resamples at once.
 STRIP_PIXELS = 2**20
 
@@ -40,17 +41,26 @@ def _same(rows: DataFrame) -> DataFrame:
 class Processor:
     """What a user does to images and samples on the way: functions of DataFrames, so that Spark plans them with the rest.
 
-    preprocess: of the image table, before anything else. postprocess_samples: of samples (image_id, plane, y, x, v) on the map.
+    load: from a session and a folder to an image table, where images are given as a folder. preprocess: of the image table, before anything else. postprocess_samples: of samples (image_id, plane, y, x, v) on the map.
     postprocess_estimate: of the map's samples in image frames (image_id, plane, y, x, v).
     """
 
+    load: Callable[[SparkSession, str], DataFrame] = field(default=fits.images)
     preprocess: Step = field(default=_same)
     postprocess_samples: Step = field(default=_same)
     postprocess_estimate: Step = field(default=_same)
 
 
-def image_bounds(images: DataFrame, grid: CarGrid, trim: Sequence[float] = (0, 0, 0, 0), sky: Sequence[float | None] | None = None, wrap_point: float = 0.0, wrap_aware: bool = True) -> DataFrame:
-    """_BOXES of image_id, ny, nx, wcs: where each image lies on the grid; no row for images outside of sky. One row in, at most two out: nothing is moved."""
+def _ready(images: DataFrame | str, processor: Processor) -> DataFrame:
+    return processor.preprocess(processor.load(SparkSession.getActiveSession(), images) if isinstance(images, str) else images)
+
+
+def image_bounds(images: DataFrame, grid: CarGrid, trim: Sequence[float] | str = (0, 0, 0, 0), sky: Sequence[float | None] | None = None, wrap_point: float = 0.0, wrap_aware: bool = True) -> DataFrame:
+    """_BOXES of image_id, ny, nx, wcs: where each image lies on the grid; no row for images outside of sky. One row in, at most two out: nothing is moved.
+
+    trim: pixels to leave out (left, right, bottom, top), or the column that holds them for each image.
+    """
+    own_trim = [trim] if isinstance(trim, str) else []
     target = Projection.of_grid(grid)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,14 +70,24 @@ def image_bounds(images: DataFrame, grid: CarGrid, trim: Sequence[float] = (0, 0
                 own = Projection.of_row_or_none(r["wcs"])
                 if own is not None:
                     shape = (r["ny"], r["nx"])
-                    boxes = find_bounds(own, shape, target, tuple(trim), tuple(sky) if sky else None, wrap_point, wrap_aware)
+                    boxes = find_bounds(own, shape, target, tuple(r[trim] or (0, 0, 0, 0)) if own_trim else tuple(trim), tuple(sky) if sky else None, wrap_point, wrap_aware)
                     boxes = boxes if sky else with_poles(boxes, own, shape, target)
                     rows += [(r["image_id"], k, *box) for k, box in enumerate(boxes)]
             kinds = [pa.int64(), *[pa.int32()] * 5]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _BOXES.split(", ")])
 
-    return images.select("image_id", "ny", "nx", "wcs").mapInArrow(run, _BOXES)
+    return images.select("image_id", "ny", "nx", "wcs", *own_trim).mapInArrow(run, _BOXES)
+
+
+def collective_bounds(lists: Sequence[DataFrame], grid: CarGrid, trims: Sequence[Sequence[float]] = ((0, 0, 0, 0),)) -> DataFrame:
+    """xmin, xmax, ymin, ymax: one row, the box of all images of several image tables, each table with a trim of its own (or one for all). Nulls where no image has a place."""
+    trims = list(trims) * (len(lists) if len(trims) == 1 else 1)
+    boxes = [image_bounds(images, grid, trim, wrap_aware=False) for images, trim in zip(lists, trims, strict=True)]
+    every = boxes[0]
+    for more in boxes[1:]:
+        every = every.unionByName(more)
+    return every.agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
 
 
 def plan_grid(images: DataFrame, scale: float = 0.04, ra_bounds: tuple[float, float] | str | None = None, dec_bounds: tuple[float, float] | None = None) -> CarGrid:
@@ -138,11 +158,13 @@ def _placed_images(batches: Iterator[pa.RecordBatch], planes: bool) -> Iterator[
             yield r, data, own
 
 
-def resampled(images: DataFrame, grid: CarGrid, block: tuple[int, int] | None = None, strict: bool = True, planes: bool = False, width: int = stack.STRIP) -> DataFrame:
+def resampled(
+    images: DataFrame, grid: CarGrid, block: tuple[int, int] | None = None, strict: bool = True, planes: bool = False, width: int = stack.STRIP, good_block: BlockTest | None = None
+) -> DataFrame:
     """stack.ROWS of every image on the grid, flux conserved, in stretches of so many pixels; missing pixels spread over the kernel. All planes of an image share one mapping.
 
     block (rows, columns): only blocks of the map at whose centre the image has light are resampled, joined into strips; else the
-    boxes that hold the image's edges.
+    boxes that hold the image's edges. good_block: a test of one's own in place of light, of the image (planes, rows, columns) and the place (x, y) in it of a block's centre.
     """
     target, (ny, nx) = Projection.of_grid(grid), grid.shape
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64())]
@@ -150,7 +172,7 @@ def resampled(images: DataFrame, grid: CarGrid, block: tuple[int, int] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, data, own in _placed_images(batches, planes):
             shape = data.shape[1:]
-            boxes = with_poles(find_bounds(own, shape, target, wrap_aware=True), own, shape, target) if block is None else block_strips(np.nanmax(np.abs(np.where(np.isfinite(data), data, 0)), 0), own, target, (ny, nx), block)
+            boxes = with_poles(find_bounds(own, shape, target, wrap_aware=True), own, shape, target) if block is None else block_strips(data, own, target, (ny, nx), block, good_block)
             for xmin, xmax, ymin, ymax in boxes:
                 xmin, xmax, ymin, ymax = max(xmin, 0), min(xmax, nx), max(ymin, 0), min(ymax, ny)
                 if xmin >= xmax or ymin >= ymax:
@@ -173,21 +195,26 @@ def resampled(images: DataFrame, grid: CarGrid, block: tuple[int, int] | None =
     return images.select(*_IMAGES, *extra).mapInArrow(run, stack.ROWS)
 
 
-def block_strips(image: np.ndarray, own: Projection, target: Projection, shape: tuple[int, int], block: tuple[int, int]) -> list[tuple[int, int, int, int]]:
-    """Boxes of adjoining blocks of the map, row by row, around whose centre the image has light: any finite value but 0 in a window as large as a block."""
+def block_strips(image: np.ndarray, own: Projection, target: Projection, shape: tuple[int, int], block: tuple[int, int], good_block: BlockTest | None = None) -> list[tuple[int, int, int, int]]:
+    """Boxes of adjoining blocks of the map, row by row, that pass a test of their centre's place in the image; by default that the image (planes, rows, columns) has light around it: any finite value but 0 in a window as large as a block."""
     height, width = block
     ys, xs = np.arange(0, shape[0], height), np.arange(0, shape[1], width)
     cx, cy = np.meshgrid(xs + width // 2, ys + height // 2)
     u, v = own.world_to_pixel(*target.pixel_to_world(cx.astype(float), cy.astype(float)))
-    light = np.isfinite(image) & (image != 0)
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1), np.int64)
-    total[1:, 1:] = light.cumsum(0).cumsum(1)
     inside = np.isfinite(u) & np.isfinite(v)
-    u, v = np.where(inside, u, -1).astype(int), np.where(inside, v, -1).astype(int)
-    inside &= (u > 0) & (u < image.shape[1]) & (v > 0) & (v < image.shape[0])
-    a, b = np.clip(v - height // 2, 0, image.shape[0]), np.clip(v + height // 2, 0, image.shape[0])
-    c, d = np.clip(u - width // 2, 0, image.shape[1]), np.clip(u + width // 2, 0, image.shape[1])
-    good = inside & (total[b, d] - total[a, d] - total[b, c] + total[a, c] > 0)
+    if good_block is not None:
+        good = np.zeros(u.shape, bool)
+        for k in zip(*np.nonzero(inside), strict=True):
+            good[k] = good_block(image, (float(u[k]), float(v[k])))
+    else:
+        light = (np.isfinite(image) & (image != 0)).any(0)
+        total = np.zeros((light.shape[0] + 1, light.shape[1] + 1), np.int64)
+        total[1:, 1:] = light.cumsum(0).cumsum(1)
+        u, v = np.where(inside, u, -1).astype(int), np.where(inside, v, -1).astype(int)
+        inside &= (u > 0) & (u < light.shape[1]) & (v > 0) & (v < light.shape[0])
+        a, b = np.clip(v - height // 2, 0, light.shape[0]), np.clip(v + height // 2, 0, light.shape[0])
+        c, d = np.clip(u - width // 2, 0, light.shape[1]), np.clip(u + width // 2, 0, light.shape[1])
+        good = inside & (total[b, d] - total[a, d] - total[b, c] + total[a, c] > 0)
     boxes = []
     for i, y in enumerate(ys.tolist()):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], good[i].astype(int), [0]])))
@@ -195,36 +222,44 @@ def block_strips(image: np.ndarray, own: Projection, target: Projection, shape:
     return boxes
 
 
+def raw_stack(images: DataFrame | str, grid: CarGrid, columns: tuple[int, int], processor: Processor = Processor(), planes: bool = False) -> DataFrame:
+    """image_id, y, x, v (and plane with planes): the samples of columns from one up to another of the map, by the images that they come from. Only these are resampled."""
+    x0, x1 = columns
+    rows = resampled(_ready(images, processor), grid.cropped(x0, 0, (grid.shape[0], x1 - x0)), planes=planes)
+    found = processor.postprocess_samples(stack.samples_of(rows).withColumn("x", (F.col("x") + x0).cast("int")))
+    return found if planes else found.drop("plane")
+
+
 #: The reducer of a map that asks for none.
 DEFAULT_REDUCERS: Mapping[str, stack.Reducer] = {"gaussian": lambda v: gaussian_centre(v)}
 
 
 def build_map(
-    images: DataFrame, reducers: Mapping[str, stack.Reducer] | None = None, grid: CarGrid | None = None, processor: Processor = Processor(), frame_count: bool = False, attribution: bool = False,
-    block: tuple[int, int] | None = None, strip: int = stack.STRIP, planes: bool = False, target_bytes: int = stack.TARGET_BYTES,
+    images: DataFrame | str, reducers: Mapping[str, stack.Reducer] | None = None, grid: CarGrid | None = None, processor: Processor = Processor(), frame_count: bool = False, attribution: bool = False,
+    block: tuple[int, int] | None = None, strip: int = stack.STRIP, planes: bool = False, target_bytes: int = stack.TARGET_BYTES, good_block: BlockTest | None = None,
 ) -> DataFrame:
     """reducer_id, output_idx, y, x, value (and frame_count, attribution; plane with planes): each reducer's value of the samples at each pixel that any image covers.
 
     Without reducers the centre of a Gaussian fit; without a grid plan_grid(images). Each plane is a map of its own; without planes an image of several is refused. Results depend on
     neither the strip width nor the order of images. Where kernels would hold more than target_bytes of samples at once, as over a deep field, the stack is cut into narrower stretches. Images without an image_id take part; what is nearest to one of them is attributed to -1.
     """
-    images = processor.preprocess(images)
+    images = _ready(images, processor)
     grid = grid or plan_grid(images)
-    rows = tables.written(resampled(images, grid, block, planes=planes, width=strip), "stack")
+    rows = tables.written(resampled(images, grid, block, planes=planes, width=strip, good_block=good_block), "stack")
     if processor.postprocess_samples is not _same:
         rows = tables.written(stack.rows_of(processor.postprocess_samples(stack.samples_of(rows)), strip), "stack")
     made = stack.reduce_rows(rows, reducers or DEFAULT_REDUCERS, attribution, strip, target_bytes)
     return made.select("reducer_id", "output_idx", *(["plane"] if planes else []), "y", "x", "value", *(["frame_count"] if frame_count else []), *(["attribution"] if attribution else []))
 
 
-def subtract_map(images: DataFrame, sky: DataFrame, grid: CarGrid, processor: Processor = Processor(), tile: int = 256, planes: bool = False, strict: bool = True) -> DataFrame:
+def subtract_map(images: DataFrame | str, sky: DataFrame, grid: CarGrid, processor: Processor = Processor(), tile: int = 256, planes: bool = False, strict: bool = True) -> DataFrame:
     """image_id, y, x, source, blurred, estimate, remnant (and plane with planes): the map (y, x, value; plane) in each image's frame, flux conserved, off the image blurred as the map is.
 
     x of a map of the whole sky wraps around. estimate is null where any part of a pixel's footprint has no map; without strict where all of it has none beyond the part of the map
     that the image looks at. A map of several values at a pixel (of several reducers or outputs) is refused with ValueError. An image of several planes takes from each plane of the map, or from
     the only one that the map has.
     """
-    images = processor.preprocess(images)
+    images = _ready(images, processor)
     target, (ny, nx) = Projection.of_grid(grid), grid.shape
     cyclic = abs(nx * grid.cdelt[0] - 360.0) < 1e-9
     margin = 4

@@ -21,6 +21,21 @@ def bin_keys(ra: Column, dec: Column, size: float = BIN) -> tuple[Column, Column
     return F.floor(F.pmod(ra, F.lit(360.0)) / size).cast("int"), F.least(F.floor((dec + 90) / size), F.lit(int(180 / size) - 1)).cast("int")
 
 
+def stars_at(stars: DataFrame, ra: float, dec: float, size: float = BIN) -> DataFrame:
+    """The stars of the bin that a place lies in. Equal to stars_between of that place alone."""
+    return stars_between(stars, [(ra, ra)], dec, dec, size)
+
+
+def stars_between(stars: DataFrame, ra_segments: Sequence[tuple[float, float]], dec_min: float, dec_max: float, size: float = BIN) -> DataFrame:
+    """The stars of all bins that ranges of RA (several, as where a field crosses RA 0) and Dec touch, ends included: all that lie in the ranges, and their bins' others."""
+    ra_bin, dec_bin = bin_keys(F.col("ra"), F.col("dec"), size)
+    at = lambda dec: min(int((dec + 90) // size), int(180 / size) - 1)
+    hit = F.lit(False)
+    for low, high in ra_segments:
+        hit = hit | ra_bin.between(int(low % 360 // size), int(high % 360 // size))
+    return stars.filter(hit & dec_bin.between(at(dec_min), at(dec_max)))
+
+
 def in_frames(stars: DataFrame, footprints: DataFrame, bright: float, dim: float, size: float = BIN) -> DataFrame:
     """image_id, star_id, dx, dy of stars within square frames (strictly, to nine decimals) and magnitudes (strictly).
 

@@ -338,6 +338,49 @@ def test_deep_fields_are_cut_into_narrower_stretches(spark):
     assert stretches.groupBy("plane", "y", "x0").agg(F.sum(F.size("values")).alias("n")).agg(F.max("n")).first()[0] <= 60 * 4
 
 
+def test_blocks_by_a_test_of_ones_own(spark):
+    images = spark.createDataFrame([_image(1, np.where(np.arange(400).reshape(20, 20) % 20 < 10, 1.0, 0.0), crval=(100.0, 0.0))], _IMAGES)
+    grid = wcs.CarGrid((1.0, 1.0), (100.0, 0.0), (1.0, 1.0), (20, 20))
+    made = lambda **kw: {(r.y, r.x) for r in sky.build_map(images, {"n": F.count("v")}, grid, block=(5, 5), **kw).collect()}
+    light, mine = made(), made(good_block=lambda image, at: image.shape == (1, 20, 20) and at[1] < 10)
+    assert max(x for _, x in light) < 15 <= max(x for _, x in mine) and max(y for y, _ in mine) < 10 <= max(y for y, _ in light)
+
+
+def test_folders_are_loaded_by_the_processor(spark, tmp_path):
+    cards = {"CTYPE1": "'RA---CAR'", "CTYPE2": "'DEC--CAR'", "CRPIX1": "1", "CRPIX2": "1", "CRVAL1": "100", "CRVAL2": "0", "CDELT1": "1", "CDELT2": "1"}
+    _fits(tmp_path / "a.fits", np.full((12, 12), 3.0), cards)
+    grid = wcs.CarGrid((1.0, 1.0), (100.0, 0.0), (1.0, 1.0), (12, 12))
+    doubled = sky.Processor(load=lambda spark, path: fits.images(spark, path).withColumn("data", F.transform("data", lambda v: v * 2)))
+    for processor, want in ((sky.Processor(), 3.0), (doubled, 6.0)):
+        made = sky.build_map(str(tmp_path), {"mean": F.avg("v")}, grid, processor)
+        assert [r.value for r in made.collect()] == pytest.approx([want] * 64)
+        rest = sky.subtract_map(str(tmp_path), made, grid, processor)
+        assert rest.filter("source <> %s" % want).isEmpty() and rest.filter("abs(remnant) < 1e-9").count() == 16
+    raw = sky.raw_stack(str(tmp_path), grid, (4, 7)).collect()
+    assert {(r.y, r.x) for r in raw} == {(y, x) for y in range(2, 10) for x in range(4, 7)}
+    fitted = sky.build_map(str(tmp_path), None, None, doubled)
+    assert {r.reducer_id for r in fitted.collect()} == {"gaussian"}
+
+
+def test_bounds_of_lists_with_trims(spark):
+    grid = wcs.CarGrid((1.0, 1.0), (0.0, 0.0), (1.0, 1.0), (60, 60))
+    one = spark.createDataFrame([_image(1, np.ones((12, 10)), crpix=(1.0, 1.0), crval=(5.1, 0.0))], _IMAGES)
+    two = spark.createDataFrame([_image(2, np.ones((12, 10)), crpix=(1.0, -19.0), crval=(20.1, 0.0))], _IMAGES)
+    box = lambda images, trim: find_bounds(Projection.of_row(images.first().wcs.asDict()), (12, 10), Projection.of_grid(grid), trim)[0]
+    for trims in ([(0, 0, 0, 0)], [(1, 2, 3, 4), (2, 1, 0, 5)]):
+        a, b = box(one, trims[0]), box(two, trims[-1])
+        assert tuple(sky.collective_bounds([one, two], grid, trims).first()) == (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
+    own = one.withColumn("trim", F.array(*[F.lit(float(v)) for v in (1, 2, 3, 4)]))
+    assert tuple(sky.image_bounds(own, grid, "trim").select("xmin", "xmax", "ymin", "ymax").first()) == box(one, (1, 2, 3, 4))
+
+
+def test_star_lookups(spark):
+    table = spark.createDataFrame([(1, 0.5, 10.0), (2, 359.5, 10.0), (3, 2.9, 10.5), (4, 3.1, 10.5), (5, 100.0, 90.0), (6, 101.9, 88.0)], "star_id int, ra double, dec double")
+    ids = lambda df: sorted(r.star_id for r in df.collect())
+    assert ids(stars.stars_at(table, 1.0, 11.0)) == [1, 3] and ids(stars.stars_at(table, 100.5, 90.0)) == [5, 6]
+    assert ids(stars.stars_between(table, [(358.0, 359.0), (0.0, 0.1)], 9.0, 9.5)) == [1, 2, 3]
+
+
 def test_stored_maps_are_read_by_tile(spark, tmp_path):
     images = spark.createDataFrame([_image(k, np.full((12, 12), 1.0 + k), crval=(ra, 0.0)) for k, ra in enumerate((0.0, 90.0, 200.0))], _IMAGES)
     grid = wcs.CarGrid((1.0, 13.0), (180.0, 0.0), (1.0, 1.0), (40, 360)).cropped(-180, 0, (40, 360))
