@@ -16,8 +16,8 @@ import numpy as np
 #: Chunks remembered in one worker; beyond it the memory starts anew.
 REMEMBERED = 1_000_000
 
-#: Chunks that are encoded as one text.
-JOINED = 2000
+#: Chunks that are encoded as one text: parted by a special token, or where words begin.
+JOINED, JOINED_WORDS = 2000, 200
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACED = re.compile(r" ?[^ ]+")
@@ -50,6 +50,12 @@ class _Codes(dict):
         return n
 
 
+def _flat(ids: list[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids in a row, and how many each has."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in ids)]), size
+
+
 class ChunkEncoder:
     def __init__(self, path: str, cut: Callable[[str], list[str]], remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +65,12 @@ class ChunkEncoder:
         self.cut, self.remembered = cut, remembered
         special = sorted((k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and "<|" in t.content)
         self.parted = special[0] if special and cut is cut_at_whitespace else None  # byte-level ones gain nothing by it
+        # By id how many bytes a token of a byte-level vocabulary has: a character each.
+        self.bytes_of = None
+        if cut is cut_before_words and "ByteLevel" in repr(self.tokenizer.pre_tokenizer):
+            vocabulary = self.tokenizer.get_vocab()
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
         self.forget()
 
     def forget(self) -> None:
@@ -68,13 +80,30 @@ class ChunkEncoder:
         self.start = np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        ids = self._encoded(self.codes.new)
-        self.codes.new = []
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        new, self.codes.new = self.codes.new, []
+        ids, size = _flat(self._encoded(new)) if self.bytes_of is None else self._words(new)
         start = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.concatenate([np.asarray(x, np.uint32) for x in ids])])
+        self.ids = np.concatenate([self.ids, ids])
         self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
 
+    def _words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each has. Of chunks that begin with a space and a word and end with one many are encoded in a row: the tokenizer cuts between them, and where it did so follows from the tokens' bytes."""
+        plain = np.fromiter((len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks), bool, len(chunks))
+        words, others = ([chunks[k] for k in np.flatnonzero(rows).tolist()] for rows in (plain, ~plain))
+        joined = ["".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
+        ids, _ = _flat([x.ids for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in words), np.int64, len(words)))
+        reached = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(reached, ends)
+        if len(words) and (last[-1] >= len(reached) or (reached[last] != ends).any()):
+            raise ValueError("a token runs over the beginning of a word")
+        more, more_size = _flat(self._encoded(others))
+        ids, size = np.concatenate([ids, more]), np.concatenate([np.diff(last, prepend=-1), more_size])
+        # Back in the order of the chunks.
+        back = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), kind="stable")
+        start, size = (np.cumsum(size) - size)[back], size[back]
+        return ids[np.arange(len(ids)) + np.repeat(start - (np.cumsum(size) - size), size)], size
+
     def _encoded(self, chunks: list[str]) -> list[Sequence[int]]:
         """The ids of each chunk. Many chunks are one text where a special token can part them: the library encodes what lies between special tokens on its own."""
         if self.parted is None:

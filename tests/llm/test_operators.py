@@ -248,6 +248,23 @@ def brute_classes(rows):
     return parts
 
 
+def test_recall_of_200_images_an_edit(monkeypatch):
+    """What the distance in use finds, and what one of 40 bits would; unlike images are linked at neither."""
+    rng = np.random.default_rng(31)
+    shown = images.render(rng.normal(size=(200, 64)))
+    plain = image_rows(shown)
+    linked = lambda a, b: brute_classes([(0, *a[1:]), (1, *b[1:])])[1] == 0
+    pairs = [(a, b) for a, b in rng.integers(0, 200, (1000, 2)).tolist() if a != b]
+    edited = {name: image_rows([f(m, rng) for m in shown]) for name, f in EDITS.items()}
+    recall = {}
+    for distance in (images.DISTANCE, 40):
+        monkeypatch.setattr(images, "DISTANCE", distance)
+        recall[distance] = {name: float(np.mean([linked(a, b) for a, b in zip(plain, rows)])) for name, rows in edited.items()}
+        assert not any(linked(plain[a], plain[b]) for a, b in pairs)
+    print(recall)
+    assert all(found >= 0.9 and found >= recall[40][name] - 0.015 for name, found in recall[28].items()), recall
+
+
 def test_edited_and_cropped_copies_share_a_class(spark):
     """Recall by kind of edit, and the classes of all pairs."""
     rng = np.random.default_rng(3)
