@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import time
 import uuid
 from collections.abc import Iterable
+from contextlib import suppress
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +36,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that lie in the shared folder.
+_LEFT: set[str] = set()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
+    """Cuts the lineage: writes df as a table in the shared folder, which is deleted when the driver's process ends if not before, and reads it back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
+    _LEFT.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -67,6 +75,14 @@ def release(spark: SparkSession) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = fs.FileSystem.from_uri(df._written)
+        store.delete_dir(path)
+        _LEFT.discard(df._written)
+
+
+@atexit.register
+def _delete_what_is_left() -> None:
+    for uri in _LEFT:
+        with suppress(OSError, ValueError):  # a folder that is gone, or that only Spark reaches
+            store, path = fs.FileSystem.from_uri(uri)
+            store.delete_dir(path)

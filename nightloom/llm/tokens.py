@@ -25,6 +25,25 @@ _ODD_SPACE = re.compile(r" \s|\s | \Z|\A ")
 _BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: White space but the space, in ASCII and beyond, and what of it touches a space.
+_ASCII_WHITE, _OTHER_WHITE = (tuple(c for c in map(chr, codes) if c.isspace() and c != " ") for codes in (range(128), range(128, 0x3001)))
+_TOUCHING = ("  ", *(pair for c in _ASCII_WHITE for pair in (f" {c}", f"{c} ")))
+
+
+def _has_odd_space(text: str) -> bool:
+    """Whether a space touches other white space or an end of the text: by plain searches, the pattern only where there is white space beyond ASCII."""
+    if text.startswith(" ") or text.endswith(" "):
+        return True
+    for pair in _TOUCHING:
+        if pair in text:
+            return True
+    if not text.isascii():
+        for c in _OTHER_WHITE:
+            if c in text:
+                return _ODD_SPACE.search(text) is not None
+    return False
+
+
 def cut_at_whitespace(text: str) -> list[str]:
     """For tokenizers that drop white space."""
     return _WORDS.findall(text)
@@ -32,7 +51,7 @@ def cut_at_whitespace(text: str) -> list[str]:
 
 def cut_before_words(text: str) -> list[str]:
     """For byte-level tokenizers: cuts before a single space between two other characters; loses nothing."""
-    if _ODD_SPACE.search(text):
+    if _has_odd_space(text):
         return _BEFORE_WORD.split(text)
     return _SPACED.findall(text)
 
@@ -81,7 +100,7 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         new, self.codes.new = self.codes.new, []
-        ids, size = _flat(self._encoded(new)) if self.bytes_of is None else self._words(new)
+        ids, size = self._encoded(new) if self.bytes_of is None else self._words(new)
         start = np.cumsum(size) - size + len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
         self.size, self.start = np.concatenate([self.size, size]), np.concatenate([self.start, start])
@@ -97,24 +116,22 @@ class ChunkEncoder:
         last = np.searchsorted(reached, ends)
         if len(words) and (last[-1] >= len(reached) or (reached[last] != ends).any()):
             raise ValueError("a token runs over the beginning of a word")
-        more, more_size = _flat(self._encoded(others))
+        more, more_size = self._encoded(others)
         ids, size = np.concatenate([ids, more]), np.concatenate([np.diff(last, prepend=-1), more_size])
         # Back in the order of the chunks.
         back = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), kind="stable")
         start, size = (np.cumsum(size) - size)[back], size[back]
         return ids[np.arange(len(ids)) + np.repeat(start - (np.cumsum(size) - size), size)], size
 
-    def _encoded(self, chunks: list[str]) -> list[Sequence[int]]:
-        """The ids of each chunk. Many chunks are one text where a special token can part them: the library encodes what lies between special tokens on its own."""
+    def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each has. Many chunks are one text where a special token can part them: the library encodes what lies between special tokens on its own."""
         if self.parted is None:
-            return [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+            return _flat([x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
         number, token = self.parted
-        out: list[Sequence[int]] = []
-        for at in range(0, len(chunks), JOINED):
-            ids = np.array(self.tokenizer.encode_batch_fast([token.join(chunks[at : at + JOINED])], add_special_tokens=False)[0].ids, np.int64)
-            edges = np.concatenate([[-1], np.flatnonzero(ids == number), [len(ids)]])
-            out += [ids[a + 1 : b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return out
+        joined = [token.join(chunks[at : at + JOINED]) for at in range(0, len(chunks), JOINED)]
+        ids, _ = _flat([[*x.ids, number] for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        size = np.diff(np.flatnonzero(ids == number), prepend=-1) - 1
+        return ids[ids != number], size
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each text has. A null text has none."""
