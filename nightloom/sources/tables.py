@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/nightloom"
 
 
+#: Tables of this process that lie in the shared folder.
+_LEFT: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder."""
+    """Cuts the lineage: df as a table in the shared folder, deleted when the driver's process ends if not before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -40,6 +47,15 @@ def discard(*rows: DataFrame) -> None:
     for df in rows:
         store, path = fs.FileSystem.from_uri(df._written)
         store.delete_dir(path)
+        _LEFT.discard(df._written)
+
+
+@atexit.register
+def _delete_what_is_left() -> None:
+    for uri in _LEFT:
+        with suppress(OSError, ValueError):  # a folder that is gone, or that only Spark reaches
+            store, path = fs.FileSystem.from_uri(uri)
+            store.delete_dir(path)
 
 
 def numbered(rows: DataFrame, key: str, name: str, pieces: int = 256) -> DataFrame:
