@@ -64,8 +64,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are done: it does so once the driver's collector has run."""
+#: Written tables under this are small: what Spark shuffles of them is left to its own cleaning, and they are worked on in one go.
+SMALL_BYTES = 2**25
+
+
+def small(*tables: DataFrame) -> bool:
+    """Whether tables of materialize() are small together."""
+    places = [fs.FileSystem.from_uri(t._written) for t in tables]
+    return sum(i.size or 0 for store, place in places for i in store.get_file_info(fs.FileSelector(place))) < SMALL_BYTES
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Lets Spark remove the shuffle files of plans that are done: it does so once the driver's collector has run. tables: what these plans shuffle is in proportion to; not worth the time where they are small."""
+    if tables and small(*tables):
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

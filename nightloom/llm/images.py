@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release
+from .common import discard, materialize, release, small
 from .components import connected
 
 SIDE = 64
@@ -35,7 +35,7 @@ MIN_VOTES = 4
 ROUNDS = 2
 #: Rows of a bucket that are held at once against as many others.
 BLOCK_ROWS = 512
-#: Tables that are joined at once.
+#: Tables that are joined at once where corners are many.
 TABLES_AT_ONCE = 2
 #: Bins of a proposal: degrees, halves of scale doublings, pixels.
 TURN_BIN, SCALE_BIN, SHIFT_BIN = 30.0, 0.5, 10.0
@@ -206,17 +206,17 @@ def _matched(met: DataFrame) -> DataFrame:
 
 
 def _by_tables(shared: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links from the matches in the buckets of all tables, worked out a few tables at a time and written, so only theirs are shuffled at once."""
-    parts = []
-    for k in range(0, BANDS, TABLES_AT_ONCE):
-        parts.append(materialize(matches(shared.filter(f"bucket % {BANDS} BETWEEN {k} AND {k + TABLES_AT_ONCE - 1}")), "matches"))
-        release(shared.sparkSession)
+    """Links from the matches in the buckets of all tables, worked out a few tables at a time (of few corners all) and written, so only theirs are shuffled at once."""
+    parts, step = [], BANDS if small(shared) else TABLES_AT_ONCE
+    for k in range(0, BANDS, step):
+        parts.append(materialize(matches(shared.filter(f"bucket % {BANDS} BETWEEN {k} AND {k + step - 1}")), "matches"))
+        release(shared.sparkSession, shared)
     found = reduce(DataFrame.unionByName, parts)
     # Each match is one pair of corners; only images with enough of them can agree on a proposal.
     enough = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_VOTES).select("u", "v")
     links = materialize(_consensus(found.join(enough, ["u", "v"])), "links")
+    release(shared.sparkSession, shared)
     discard(*parts)
-    release(shared.sparkSession)
     return links
 
 
@@ -268,17 +268,17 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     # All columns are used here, so the shuffle is shared with the join below. An image has few rows of a bucket, so one holds a small part of all rows.
     several = narrow.groupBy("bucket").agg(F.min("image_id").alias("a"), F.max("image_id").alias("b"), F.count("corner").alias("n")).filter("a <> b AND n > 1").select("bucket")
     keys = materialize(narrow.join(several.hint("merge"), "bucket"), "keys")
-    release(described.sparkSession)
+    release(described.sparkSession, keys)
     # The bits come only to corners whose keys are shared.
     shared = materialize(keys.join(lone, ["image_id", "corner"]).drop("corner"), "corners")
     discard(keys)
-    release(described.sparkSession)
+    release(described.sparkSession, shared)
     links = parts = None
     for search in (*[_with_hubs] * rounds, _rest):
         new = _by_tables(shared, lambda rows, search=search, parts=parts: search(rows, parts))
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
-        release(described.sparkSession)
+        release(described.sparkSession, shared)
     discard(shared)
     rows = described.select("image_id", "digest", F.size("places").cast("long").alias("n_points")).join(same, "digest", "left")
     return rows.join(parts, F.col("one") == F.col("key"), "left").select("image_id", F.coalesce("component", "one", "image_id").alias("class_id"), "n_points")
