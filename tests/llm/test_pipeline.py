@@ -118,4 +118,4 @@ def test_pipeline_is_registered(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sum(bool(re.match(r"op\d", n)) for n in names) == 10
+    assert "pipeline" in names and sum(bool(re.match(r"op\d", n)) for n in names) == 13
