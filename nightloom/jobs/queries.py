@@ -501,7 +501,7 @@ _IN_IMAGES = f"""SELECT * FROM (
 @query(f"SELECT image_id, star_id, round(x, 6) AS x, round(y, 6) AS y, round(vmag, 6) AS vmag FROM ({_IN_IMAGES}) WHERE x > 1 AND x < 6 AND y > 2 AND y < 5")
 def stars_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogued stars in every image by its own wcs, less a trim of each side."""
-    found = stars.in_image_frames(tables.field_stars(spark, sf_dir), tables.sky_images(spark, sf_dir), _GRID, 1.0, 6.0, (1, 2, 2, 3))
+    found = stars.in_image_frames(tables.field_stars(spark, sf_dir), tables.sky_images(spark, sf_dir), _GRID, 1.0, 6.0, (1, 2, 2, 3), 1.0)
     return _round(found, "x", "y", "vmag", digits=6)
 
 
@@ -519,7 +519,7 @@ def photometric_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The light of every star in the images, blurred, in the map's estimate and in what is left, by magnitude, encounter and time since the encounter's first image."""
     images = tables.sky_images(spark, sf_dir)
     made = sky.build_map(images, {"low": F.percentile("v", F.lit(0.05))}, _GRID)
-    flux = stars.photometry(images, sky.subtract_map(images, made, _GRID), tables.field_stars(spark, sf_dir), _GRID, 1.0, 6.0, 1, 0, 1)
+    flux = stars.photometry(images, sky.subtract_map(images, made, _GRID), tables.field_stars(spark, sf_dir), _GRID, 1.0, 6.0, 1, 0, 1, size=1.0)
     known = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").alias("encounter"))
     began = known.groupBy("encounter").agg(F.min("image_id").alias("began"))
     named = flux.filter("blurred_measured_flux > 0 AND est_stellar_flux > 0").join(known, "image_id").join(began, "encounter").withColumn("trel", F.col("image_id") - F.col("began")).drop("began")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from nightloom.functions.projection import Projection
 from nightloom.functions.wcs import CarGrid
 from nightloom.operators.sky import image_bounds
+from nightloom.sources import tables
 
 BIN = 3.0
 
@@ -85,12 +86,12 @@ def aperture_flux(pixels: DataFrame, positions: DataFrame, shape: tuple[int, int
     return _apertures(pixels, placed, ["v"], aperture, gap, annulus).select("image_id", "star_id", F.col("v_flux").alias("flux"), F.col("v_background").alias("background"))
 
 
-def photometry(images: DataFrame, subtracted: DataFrame, stars: DataFrame, grid: CarGrid, bright: float, dim: float, aperture: int = 6, gap: int = 2, annulus: int = 2, trim: Sequence[float] = (0, 0, 0, 0)) -> DataFrame:
+def photometry(images: DataFrame, subtracted: DataFrame, stars: DataFrame, grid: CarGrid, bright: float, dim: float, aperture: int = 6, gap: int = 2, annulus: int = 2, trim: Sequence[float] = (0, 0, 0, 0), size: float = BIN) -> DataFrame:
     """image_id, star_id, orig_measured_flux, blurred_measured_flux, est_stellar_flux, remnant_flux, exp_magnitude of every catalogued star in every image, by the image's own wcs.
 
     subtracted: of subtract_map. A star's four apertures meet their pixels in one join; stars nearer to the edge than a cut-out are left out. A flux without a background is null.
     """
-    found = in_image_frames(stars, images, grid, bright, dim, trim)
+    found = tables.written(in_image_frames(stars, images, grid, bright, dim, trim, size), "stars")  # read by the apertures and by their magnitudes
     placed = found.join(images.select("image_id", "ny", "nx"), "image_id")
     flux = _apertures(subtracted, placed, ["source", "blurred", "estimate", "remnant"], aperture, gap, annulus)
     named = flux.select("image_id", "star_id", F.col("source_flux").alias("orig_measured_flux"), F.col("blurred_flux").alias("blurred_measured_flux"), F.col("estimate_flux").alias("est_stellar_flux"), F.col("remnant_flux"))
@@ -106,7 +107,7 @@ def in_image_frames(stars: DataFrame, images: DataFrame, grid: CarGrid, bright:
     """image_id, star_id, x, y, vmag of stars strictly within images' frames less a trim (left, right, bottom, top), in pixels of the image by its own wcs.
 
     Images are spread over the bins of the sky that their boxes on a whole-sky grid touch, so stars and images meet by an equi join; the
-    projection then runs on those pairs alone.
+    projection then runs on the stars of each image together. size: of the bins; about that of the images.
     """
     ra_bin, dec_bin = bin_keys(F.col("ra"), F.col("dec"), size)
     some = stars.filter((F.col("vmag") > bright) & (F.col("vmag") < dim)).select("star_id", "ra", "dec", "vmag", ra_bin.alias("rb"), dec_bin.alias("db"))
@@ -118,25 +119,20 @@ def in_image_frames(stars: DataFrame, images: DataFrame, grid: CarGrid, bright:
         .select("image_id", F.pmod(F.col("b"), F.lit(columns)).cast("int").alias("rb"), F.explode(F.sequence(F.floor((F.col("d0") + 90) / size), F.floor((F.col("d1") + 90) / size))).alias("db"))
         .select("image_id", "rb", F.greatest(F.least("db", F.lit(rows - 1)), F.lit(0)).cast("int").alias("db")).distinct()
     )
-    pairs = some.join(touched, ["rb", "db"]).drop("rb", "db").join(images.select("image_id", "ny", "nx", "wcs"), "image_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("image_id").fill_null(-1).to_numpy()
-            _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-            ra, dec = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("ra", "dec"))
-            x, y, keep = np.full(len(ids), np.nan), np.full(len(ids), np.nan), np.zeros(len(ids), bool)
-            order = np.argsort(of, kind="stable")
-            ends = np.cumsum(np.bincount(of, minlength=len(first)))
-            # The stars of one image together.
-            for k, r in enumerate(batch.select(["ny", "nx", "wcs"]).take(pa.array(first)).to_pylist()):
-                own, rows = Projection.of_row_or_none(r["wcs"]), order[ends[k - 1] if k else 0 : ends[k]]
-                if own is not None:
-                    u, v = own.world_to_pixel(ra[rows], dec[rows])
-                    with np.errstate(invalid="ignore"):
-                        keep[rows] = (trim[0] < u) & (u < r["nx"] - trim[1]) & (trim[2] < v) & (v < r["ny"] - trim[3])
-                    x[rows], y[rows] = u, v
-            out = pa.RecordBatch.from_arrays([batch.column("image_id"), batch.column("star_id"), pa.array(x), pa.array(y), batch.column("vmag")], names=["image_id", "star_id", "x", "y", "vmag"])
-            yield out.filter(pa.array(keep))
-
-    return pairs.mapInArrow(run, "image_id bigint, star_id bigint, x double, y double, vmag double")
+    pairs = some.join(touched, ["rb", "db"]).select("image_id", "star_id", "ra", "dec", "vmag")
+    names = ["image_id", "star_id", "x", "y", "vmag"]
+
+    def run(image: pa.Table, found: pa.Table) -> pa.Table:
+        ra, dec = (found[c].to_numpy().astype(float) for c in ("ra", "dec"))
+        parts = []
+        for r in image.to_pylist():
+            own = Projection.of_row_or_none(r["wcs"])
+            if own is not None and len(ra):
+                x, y = own.world_to_pixel(ra, dec)
+                with np.errstate(invalid="ignore"):
+                    rows = np.flatnonzero((trim[0] < x) & (x < r["nx"] - trim[1]) & (trim[2] < y) & (y < r["ny"] - trim[3]))
+                kept = found.take(pa.array(rows))
+                parts.append(pa.table([pa.array([r["image_id"]] * len(rows), pa.int64()), kept["star_id"].cast(pa.int64()), pa.array(x[rows]), pa.array(y[rows]), kept["vmag"].cast(pa.float64())], names=names))
+        return pa.concat_tables(parts) if parts else pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), *[pa.float64()] * 3)], names=names)
+
+    return images.select("image_id", "ny", "nx", "wcs").groupBy("image_id").cogroup(pairs.groupBy("image_id")).applyInArrow(run, "image_id bigint, star_id bigint, x double, y double, vmag double")
