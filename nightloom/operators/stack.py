@@ -257,8 +257,8 @@ def quantiles(rows: DataFrame, shares: Sequence[float], value: str = "v", exact_
     found: dict[int, float] = {}
     left = {r: (low, high, 0, n) for r in ranks}  # of each rank a closed range, how many values lie below it and in it
     while left:
-        for r, (a, b, below, inside) in list(left.items()):
-            if a == b or inside == 1 and a == b:
+        for r, (a, b, _, _) in list(left.items()):
+            if a == b:
                 found[r] = a
                 del left[r]
         ranges = sorted({(a, b) for a, b, _, inside in left.values() if inside > exact_below})
@@ -270,10 +270,11 @@ def quantiles(rows: DataFrame, shares: Sequence[float], value: str = "v", exact_
                     found[r] = float(values[r - below])
                     del left[r]
         if ranges:
-            at = [F.when(F.col("v").between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.floor((F.col("v") - a) / (b - a) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).alias("bin"))) for k, (a, b) in enumerate(ranges)]
+            share = lambda a, b: (F.col("v") - a) / (b - a) if np.isfinite(b - a) else (F.col("v") / 2 - a / 2) / (b / 2 - a / 2)
+            at = [F.when(F.col("v").between(a, b), F.struct(F.lit(k).alias("k"), F.least(F.floor(share(a, b) * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).alias("bin"))) for k, (a, b) in enumerate(ranges)]
             each = good.select("v", F.explode(F.array(*at)).alias("at")).filter("at IS NOT NULL")
             counted = each.groupBy("at.k", "at.bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "bin").collect()
-            for r, (a, b, below, inside) in list(left.items()):
+            for r, (a, b, below, _) in list(left.items()):
                 for c in (c for c in counted if ranges[c.k] == (a, b)):
                     if r < below + c.n:
                         left[r] = (c.lo, c.hi, below, c.n)

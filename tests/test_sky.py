@@ -507,6 +507,8 @@ def test_quantiles_of_one_large_group(spark, exact_below):
     found = stack.quantiles(rows, shares, exact_below=exact_below).collect()
     assert [r.share for r in found] == shares and [r.value for r in found] == pytest.approx(np.quantile(values[np.isfinite(values)], shares).tolist(), rel=1e-12)
     assert [r.value for r in stack.quantiles(rows.limit(0), [0.5]).collect()] == [None]
+    wide = spark.createDataFrame([(v,) for v in (-1.7e308, -1.0, 0.0, 2.0, 1.7e308)], "v double")
+    assert [r.value for r in stack.quantiles(wide, [0.0, 0.25, 0.5, 1.0], exact_below=exact_below).collect()] == [-1.7e308, -1.0, 0.0, 1.7e308]
 
 
 def _fits(path, data, cards):
