@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Iterable
 from contextlib import suppress
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +63,27 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _store(uri: str):
+    """A filesystem and a path in it. Only the driver needs it, so it is not loaded into the memory of all workers."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def _sizes(uri: str) -> int:
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return sum(i.size or 0 for i in store.get_file_info(fs.FileSelector(path)))
+
+
 #: Written tables under this are small: what Spark shuffles of them is left to its own cleaning, and they are worked on in one go.
 SMALL_BYTES = 2**25
 
 
 def small(*tables: DataFrame) -> bool:
     """Whether tables of materialize() are small together."""
-    places = [fs.FileSystem.from_uri(t._written) for t in tables]
-    return sum(i.size or 0 for store, place in places for i in store.get_file_info(fs.FileSelector(place))) < SMALL_BYTES
+    return sum(_sizes(t._written) for t in tables) < SMALL_BYTES
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
@@ -87,7 +99,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialize() that nothing reads any more."""
     for df in tables:
-        store, path = fs.FileSystem.from_uri(df._written)
+        store, path = _store(df._written)
         store.delete_dir(path)
         _LEFT.discard(df._written)
 
@@ -96,5 +108,5 @@ def discard(*tables: DataFrame) -> None:
 def _delete_what_is_left() -> None:
     for uri in _LEFT:
         with suppress(OSError, ValueError):  # a folder that is gone, or that only Spark reaches
-            store, path = fs.FileSystem.from_uri(uri)
+            store, path = _store(uri)
             store.delete_dir(path)

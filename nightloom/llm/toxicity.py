@@ -30,6 +30,8 @@ SAMPLE_CHARS = 14_000_000
 LOG_ODDS = 3.0
 G2_SHARE, G2_LEAST, G2_COVER = 0.15, 20.0, 15.0
 SPAN = 0.5
+#: Words whose odds a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -292,7 +294,7 @@ def score(documents: DataFrame, model: Model, score_name: str = "score", spans_n
 
         known = Codes()
         for batch in (part for whole in batches for part in slices(whole)):
-            if len(known) > 500_000:
+            if len(known) > REMEMBERED:
                 known, odds = Codes(), []
             texts = batch.column("text").to_pylist()
             codes, count = [], np.zeros(len(texts), np.int64)
