@@ -172,6 +172,12 @@ def encoder(path: str, cut: Callable[[str], list[str]]) -> ChunkEncoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Gives up what this worker process remembers of texts, for stages that need the memory and no ids."""
+    for known in _encoders.values():
+        known.forget()
+
+
 def append_end(ids: np.ndarray, count: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends an end id to the ids of each text."""
     return np.insert(ids, np.cumsum(count), end).astype(np.uint32), count + 1

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .wordhash import slices
 
 #: The bounded training sample: labelled rows of each kind, by a hash of doc_id, and characters in all.
@@ -284,6 +285,7 @@ def score(documents: DataFrame, model: Model, score_name: str = "score", spans_n
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()  # a worker may come from a stage of ids
         model, known, odds = shared.value, {}, []
 
         class Codes(dict):
