@@ -5,8 +5,8 @@ Corners (Harris) are found on several scales; each gets an orientation from its
 there are tables agree on a band for certain, others mostly. Those that meet in a table match if their Hamming distance on all bits is
 small enough. A pair of matched corners proposes a turn, a scale and a shift; images are linked where enough distinct corners propose
 the same. In a table's bucket images are first held against hubs: against the smallest image, then against the smallest of what is not
-yet in its class. What still lies in different classes is then held all against all, in blocks of bounded size, so classes
-are those of all pairs that meet.
+yet in its class. What still lies in different classes is then held all against all: by single corners where few rows share a bucket, elsewhere
+by pairs of an image's corners, of which unlike images share few. So classes are those of all pairs that meet.
 """
 
 from __future__ import annotations
@@ -33,7 +33,11 @@ RADIUS = 14
 MIN_VOTES = 4
 #: Rounds against hubs before the rest of the buckets is compared.
 ROUNDS = 2
-#: Rows of a bucket that are held at once against as many others.
+#: Rows of a bucket that all meet each other; in larger buckets pairs of corners meet.
+LIGHT_ROWS = 16
+#: Parts of the larger buckets. MIN_VOTES - 1 corners in them leave two in one part.
+HALVES = MIN_VOTES - 2
+#: Rows of a key that are held at once against as many others.
 BLOCK_ROWS = 512
 #: Tables that are joined at once where corners are many.
 TABLES_AT_ONCE = 2
@@ -220,19 +224,75 @@ def _by_tables(shared: DataFrame, matches: Callable[[DataFrame], DataFrame]) ->
     return links
 
 
-def _rest(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """Matches, in both directions, of all images that share a bucket and lie in different components. A large bucket's rows are cut into blocks by a hash, and each block meets each other one by a key of its own."""
+def _live(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their component and the number n of the bucket's rows."""
     placed = _placed(shared, parts)
-    open_ = (
-        placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks"))
-        .filter("a <> b").select("bucket", "blocks")
-    )
-    placed = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("image_id", "place"), F.col("blocks")))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", "n")
+    return materialize(placed.join(open_, "bucket"), "live")
+
+
+def _each_with_each(rows: DataFrame, key: str, near: Column) -> DataFrame:
+    """Rows a and b of one key, of which there are n. A large key's rows are cut into blocks by a hash, and each block meets each other one by a key of its own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(*rows.columns), F.col("blocks")))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    one = placed.select("*", F.col("block").alias("i"), blocks.alias("j"))
-    two = placed.select("*", blocks.alias("i"), F.col("block").alias("j"))
-    met = one.alias("a").join(two.alias("b"), F.expr("a.bucket = b.bucket AND a.i = b.i AND a.j = b.j"))
-    return _matched(met)
+    one = rows.select("*", F.col("block").alias("i"), blocks.alias("j"))
+    two = rows.select("*", blocks.alias("i"), F.col("block").alias("j"))
+    return one.alias("a").join(two.alias("b"), F.expr(f"a.{key} = b.{key} AND a.i = b.i AND a.j = b.j AND a.component <> b.component") & near)
+
+
+def _by_light_buckets(live: DataFrame) -> DataFrame:
+    """u, v with two distinct corners of u that match in buckets of at most LIGHT_ROWS rows, so a row meets a bounded number of others."""
+    light = live.filter(F.col("n") <= LIGHT_ROWS)
+    matches = _matched(light.alias("a").join(light.alias("b"), F.expr("a.bucket = b.bucket")))
+    corners = matches.select("u", "v", F.expr("place_u div 1024").alias("corner")).distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    return corners.filter("n > 1").select("u", "v")
+
+
+def _by_pairs_of_corners(live: DataFrame, part: int) -> DataFrame:
+    """u, v with two distinct corners of u that match in larger buckets of one of the HALVES: what meets are pairs of an image's rows, by both their buckets."""
+    heavy = live.filter((F.col("n") > LIGHT_ROWS) & (F.pmod(F.xxhash64("bucket"), F.lit(HALVES)) == part))
+    own = heavy.groupBy("image_id", "component").agg(F.collect_list(F.struct("bucket", "place")).alias("own"))
+    # A row is a pair with itself as well, as corners of u may all match one corner of v.
+    two = "flatten(transform(own, x -> transform(filter(own, y -> y.bucket >= x.bucket), y -> struct(xxhash64(x.bucket, y.bucket) AS key, x.place AS one, y.place AS two))))"
+    pairs = own.select("image_id", "component", F.explode(F.expr(two)).alias("p")).select("image_id", "component", "p.*").repartition("key")
+    # All columns are used here, so the shuffle is shared with the join below.
+    several = (
+        pairs.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(F.expr("one div 1024 <> two div 1024")).alias("apart"), F.count("image_id").alias("n"))
+        .filter("a <> b AND apart").select("key", "n")
+    )
+    kept = materialize(pairs.join(several.hint("merge"), "key"), "pairs")
+    release(live.sparkSession, live)
+    words = [f"w{k}" for k in range(WORDS)]
+    corners = heavy.select("image_id", "place", *words).distinct()
+    rows = kept
+    for place in ("one", "two"):
+        rows = rows.join(corners.select("image_id", F.col("place").alias(place), *[F.col(w).alias(f"{place}_{w}") for w in words]), ["image_id", place])
+    rows = materialize(rows, "pairs")
+    discard(kept)
+    near = [" + ".join(f"bit_count(a.{place}_{w} ^ b.{place}_{w})" for w in words) + f" <= {DISTANCE}" for place in ("one", "two")]
+    met = _each_with_each(rows, "key", F.expr(" AND ".join([*near, "a.one div 1024 <> a.two div 1024"])))
+    found = materialize(met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v")).distinct(), "candidates")
+    discard(rows)
+    release(live.sparkSession, live)
+    return found
+
+
+def _rest(live: DataFrame) -> DataFrame:
+    """Links of all images that share a bucket and lie in different components, without the matches of all of them.
+
+    Of the MIN_VOTES corners of a link two match in light buckets, or all but one in larger ones: then two of those in buckets of one of
+    the HALVES. Images of which neither holds are not linked; all matches of the others are then voted on.
+    """
+    light = materialize(_by_light_buckets(live), "candidates")
+    release(live.sparkSession, live)
+    parts = [light, *(_by_pairs_of_corners(live, part) for part in range(HALVES))]
+    candidates = reduce(DataFrame.unionByName, parts).distinct()
+    one = live.join(candidates, F.col("image_id") == F.col("u")).drop("u")
+    matches = materialize(_matched(one.alias("a").join(live.alias("b"), F.expr("a.v = b.image_id AND a.bucket = b.bucket"))), "matches")
+    links = materialize(_consensus(matches), "links")
+    discard(matches, *parts)
+    return links
 
 
 def _placed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -274,12 +334,17 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     discard(keys)
     release(described.sparkSession, shared)
     links = parts = None
-    for search in (*[_with_hubs] * rounds, _rest):
-        new = _by_tables(shared, lambda rows, search=search, parts=parts: search(rows, parts))
+    for _ in range(rounds):
+        new = _by_tables(shared, lambda rows, parts=parts: _with_hubs(rows, parts))
         links = new if links is None else links.unionByName(new)
         parts = connected(links)
         release(described.sparkSession, shared)
+    live = _live(shared, parts)
     discard(shared)
+    release(described.sparkSession, live)
+    new = _rest(live)
+    discard(live)
+    parts = connected(new if links is None else links.unionByName(new))
     rows = described.select("image_id", "digest", F.size("places").cast("long").alias("n_points")).join(same, "digest", "left")
     return rows.join(parts, F.col("one") == F.col("key"), "left").select("image_id", F.coalesce("component", "one", "image_id").alias("class_id"), "n_points")
 

@@ -292,6 +292,40 @@ def test_classes_of_mixed_buckets_are_those_of_all_pairs(spark, monkeypatch, blo
     assert found == {k: k % 6 for k in range(12)}
 
 
+@pytest.mark.parametrize("light", [16, 1])
+def test_unlike_images_of_large_buckets_are_not_written_by_pairs(spark, monkeypatch, light):
+    """40 images agree on a bucket by accident, each with all others; 1 and 39 are linked through four corners of their own, 2 and 38 through corners that 2 has on one of 38."""
+    monkeypatch.setattr(images, "LIGHT_ROWS", light, raising=False)
+    monkeypatch.setattr(images, "DISTANCE", images.BITS)
+    written, materialize = [], images.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        if name == "matches":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(images, "materialize", counted)
+    rng = np.random.default_rng(12)
+    fresh = iter(range(1000, 10**6))
+    spot = lambda x, y: (int(x) * 128 + int(y)) * 1024
+    corner = lambda first: [first << 32 | next(fresh), *(next(fresh) << 32 | next(fresh) for _ in range(images.WORDS - 1))]
+    rows = [(k, str(k), [spot(*rng.integers(0, 127, 2))], corner(7)) for k in range(40)]
+    own = [spot(*rng.integers(0, 127, 2)) for _ in range(4)]
+    for k in (1, 39):
+        rows[k] = (k, str(k), rows[k][2] + own, rows[k][3] + [w for c in range(4) for w in corner(100 + c)])
+    near = [spot(61 + c, 61) for c in range(4)]
+    rows[2] = (2, "2", rows[2][2] + near, rows[2][3] + [w for _ in near for w in corner(200)])
+    rows[38] = (38, "38", rows[38][2] + [spot(62, 61)], rows[38][3] + corner(200))
+    # More rows in the buckets of those pairs.
+    for k in range(20):
+        rows.append((40 + k, str(40 + k), [spot(*rng.integers(0, 127, 2))], corner([100, 101, 102, 103, 200][k % 5])))
+    found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS), rounds=0).collect()}
+    assert found == brute_classes(rows)
+    assert found[39] == 1 and found[38] == 2
+    assert sum(written) <= 100, written
+
+
 def test_images_of_odd_tables(spark):
     grid = np.random.default_rng(4).normal(size=64).tolist()
     rows = [(1, grid), (2, grid), (2, grid), (3, None), (4, [1.0]), (5, [0.5] * 64), (6, [0.5] * 64), (7, [None] * 64), (None, grid)]
