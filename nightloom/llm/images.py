@@ -169,28 +169,29 @@ def points(rows: DataFrame, image_id: str = "image_id", grid: str = "grid") -> D
     return rows.select(F.col(image_id).cast("long"), grid).mapInArrow(run, _POINTS)
 
 
-def _consensus(matches: DataFrame) -> DataFrame:
-    """Links (u, v) of matches (place_u, place_v) of which MIN_VOTES distinct corners propose one turn, scale and shift; bins overlap by half."""
+def _bins(place_u: str, place_v: str, half: Column) -> list[Column]:
+    """The bins of turn, scale and shift that a match proposes; those of the two halves overlap."""
 
     def part(place: str, low: int, size: int) -> Column:
         return F.expr(f"({place} div {low}) % {size}").cast("double")
 
     size = F.create_map(*[F.lit(v) for k, scale in enumerate(SCALES) for v in (float(k), scale)])
-    turn = (part("place_v", 4, 256) - part("place_u", 4, 256)) * (360 / 256)
-    ratio = size[part("place_u", 1, 4)] / size[part("place_v", 1, 4)]
+    turn = (part(place_v, 4, 256) - part(place_u, 4, 256)) * (360 / 256)
+    ratio = size[part(place_u, 1, 4)] / size[part(place_v, 1, 4)]
     cos, sin = F.cos(F.radians(turn)), F.sin(F.radians(turn))
-    x_u, y_u, x_v, y_v = part("place_u", 1024 * 128, 128), part("place_u", 1024, 128), part("place_v", 1024 * 128, 128), part("place_v", 1024, 128)
-    proposed = matches.select(
-        "u", "v", F.expr("place_u div 1024").alias("corner"), F.pmod(turn, F.lit(360.0)).alias("turn"), F.log2(ratio).alias("ratio"),
-        (x_v - ratio * (cos * x_u - sin * y_u)).alias("sx"), (y_v - ratio * (sin * x_u + cos * y_u)).alias("sy"),
-        F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("half"),
-    )
-    bins = [
-        F.pmod(F.floor(F.col("turn") / TURN_BIN + F.col("half")), F.lit(int(360 / TURN_BIN))).alias("t"),
-        F.floor(F.col("ratio") / SCALE_BIN + F.col("half")).alias("r"),
-        F.floor(F.col("sx") / SHIFT_BIN + F.col("half")).alias("bx"),
-        F.floor(F.col("sy") / SHIFT_BIN + F.col("half")).alias("by"),
+    x_u, y_u, x_v, y_v = part(place_u, 1024 * 128, 128), part(place_u, 1024, 128), part(place_v, 1024 * 128, 128), part(place_v, 1024, 128)
+    return [
+        F.pmod(F.floor(F.pmod(turn, F.lit(360.0)) / TURN_BIN + half), F.lit(int(360 / TURN_BIN))).alias("t"),
+        F.floor(F.log2(ratio) / SCALE_BIN + half).alias("r"),
+        F.floor((x_v - ratio * (cos * x_u - sin * y_u)) / SHIFT_BIN + half).alias("bx"),
+        F.floor((y_v - ratio * (sin * x_u + cos * y_u)) / SHIFT_BIN + half).alias("by"),
     ]
+
+
+def _consensus(matches: DataFrame) -> DataFrame:
+    """Links (u, v) of matches (place_u, place_v) of which MIN_VOTES distinct corners propose one turn, scale and shift; bins overlap by half."""
+    proposed = matches.select("u", "v", "place_u", "place_v", F.expr("place_u div 1024").alias("corner"), F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("half"))
+    bins = _bins("place_u", "place_v", F.col("half"))
     votes = proposed.select("u", "v", "corner", "half", *bins).distinct().groupBy("u", "v", "half", "t", "r", "bx", "by").agg(F.count(F.lit(1)).alias("votes"))
     return votes.filter(F.col("votes") >= MIN_VOTES).select("u", "v").distinct()
 
@@ -209,11 +210,17 @@ def _matched(met: DataFrame) -> DataFrame:
     return near.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v"), F.col("a.place").alias("place_u"), F.col("b.place").alias("place_v"))
 
 
+def _some_tables(rows: DataFrame) -> list[DataFrame]:
+    """rows of a few tables at a time, of few corners those of all."""
+    step = BANDS if small(rows) else TABLES_AT_ONCE
+    return [rows.filter(f"bucket % {BANDS} BETWEEN {k} AND {k + step - 1}") for k in range(0, BANDS, step)]
+
+
 def _by_tables(shared: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links from the matches in the buckets of all tables, worked out a few tables at a time (of few corners all) and written, so only theirs are shuffled at once."""
-    parts, step = [], BANDS if small(shared) else TABLES_AT_ONCE
-    for k in range(0, BANDS, step):
-        parts.append(materialize(matches(shared.filter(f"bucket % {BANDS} BETWEEN {k} AND {k + step - 1}")), "matches"))
+    parts = []
+    for rows in _some_tables(shared):
+        parts.append(materialize(matches(rows), "matches"))
         release(shared.sparkSession, shared)
     found = reduce(DataFrame.unionByName, parts)
     # Each match is one pair of corners; only images with enough of them can agree on a proposal.
@@ -226,9 +233,19 @@ def _by_tables(shared: DataFrame, matches: Callable[[DataFrame], DataFrame]) ->
 
 def _live(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, with their component and the number n of the bucket's rows."""
-    placed = _placed(shared, parts)
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", "n")
-    return materialize(placed.join(open_, "bucket"), "live")
+    written = None
+    for rows in _some_tables(shared):
+        placed = _placed(rows, parts)
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", "n")
+        live = placed.join(open_, "bucket")
+        if written is None:
+            written = materialize(live, "live")
+        else:
+            live.write.mode("append").parquet(written._written)
+        release(shared.sparkSession, shared)
+    out = shared.sparkSession.read.schema(written.schema).parquet(written._written)
+    out._written = written._written
+    return out
 
 
 def _each_with_each(rows: DataFrame, key: str, near: Column) -> DataFrame:
@@ -243,14 +260,21 @@ def _each_with_each(rows: DataFrame, key: str, near: Column) -> DataFrame:
 
 def _by_light_buckets(live: DataFrame) -> DataFrame:
     """u, v with two distinct corners of u that match in buckets of at most LIGHT_ROWS rows, so a row meets a bounded number of others."""
-    light = live.filter(F.col("n") <= LIGHT_ROWS)
-    matches = _matched(light.alias("a").join(light.alias("b"), F.expr("a.bucket = b.bucket")))
-    corners = matches.select("u", "v", F.expr("place_u div 1024").alias("corner")).distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    return corners.filter("n > 1").select("u", "v")
+    parts = []
+    for rows in _some_tables(live):
+        light = rows.filter(F.col("n") <= LIGHT_ROWS)
+        matches = _matched(light.alias("a").join(light.alias("b"), F.expr("a.bucket = b.bucket")))
+        parts.append(materialize(matches.select("u", "v", F.expr("place_u div 1024").alias("corner")).distinct(), "met"))
+        release(live.sparkSession, live)
+    corners = reduce(DataFrame.unionByName, parts).distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
+    found = materialize(corners.filter("n > 1").select("u", "v"), "candidates")
+    discard(*parts)
+    release(live.sparkSession, live)
+    return found
 
 
 def _by_pairs_of_corners(live: DataFrame, part: int) -> DataFrame:
-    """u, v with two distinct corners of u that match in larger buckets of one of the HALVES: what meets are pairs of an image's rows, by both their buckets."""
+    """u, v with two distinct corners of u that match in larger buckets of one of the HALVES and propose the same: what meets are pairs of an image's rows, by both their buckets."""
     heavy = live.filter((F.col("n") > LIGHT_ROWS) & (F.pmod(F.xxhash64("bucket"), F.lit(HALVES)) == part))
     own = heavy.groupBy("image_id", "component").agg(F.collect_list(F.struct("bucket", "place")).alias("own"))
     # A row is a pair with itself as well, as corners of u may all match one corner of v.
@@ -271,7 +295,9 @@ def _by_pairs_of_corners(live: DataFrame, part: int) -> DataFrame:
     rows = materialize(rows, "pairs")
     discard(kept)
     near = [" + ".join(f"bit_count(a.{place}_{w} ^ b.{place}_{w})" for w in words) + f" <= {DISTANCE}" for place in ("one", "two")]
-    met = _each_with_each(rows, "key", F.expr(" AND ".join([*near, "a.one div 1024 <> a.two div 1024"])))
+    halves = (zip(_bins("a.one", "b.one", F.lit(half)), _bins("a.two", "b.two", F.lit(half)), strict=True) for half in (0.0, 0.5))
+    agree = reduce(Column.__or__, (reduce(Column.__and__, (one == two for one, two in bins)) for bins in halves))
+    met = _each_with_each(rows, "key", F.expr(" AND ".join([*near, "a.one div 1024 <> a.two div 1024"])) & agree)
     found = materialize(met.select(F.col("a.image_id").alias("u"), F.col("b.image_id").alias("v")).distinct(), "candidates")
     discard(rows)
     release(live.sparkSession, live)
@@ -284,14 +310,15 @@ def _rest(live: DataFrame) -> DataFrame:
     Of the MIN_VOTES corners of a link two match in light buckets, or all but one in larger ones: then two of those in buckets of one of
     the HALVES. Images of which neither holds are not linked; all matches of the others are then voted on.
     """
-    light = materialize(_by_light_buckets(live), "candidates")
-    release(live.sparkSession, live)
-    parts = [light, *(_by_pairs_of_corners(live, part) for part in range(HALVES))]
-    candidates = reduce(DataFrame.unionByName, parts).distinct()
-    one = live.join(candidates, F.col("image_id") == F.col("u")).drop("u")
-    matches = materialize(_matched(one.alias("a").join(live.alias("b"), F.expr("a.v = b.image_id AND a.bucket = b.bucket"))), "matches")
-    links = materialize(_consensus(matches), "links")
-    discard(matches, *parts)
+    parts = [_by_light_buckets(live), *(_by_pairs_of_corners(live, part) for part in range(HALVES))]
+    candidates = materialize(reduce(DataFrame.unionByName, parts).distinct(), "candidates")
+
+    def matches(rows: DataFrame) -> DataFrame:
+        one = rows.join(candidates, F.col("image_id") == F.col("u")).drop("u")
+        return _matched(one.alias("a").join(rows.alias("b"), F.expr("a.v = b.image_id AND a.bucket = b.bucket")))
+
+    links = _by_tables(live, matches)
+    discard(candidates, *parts)
     return links
 
 
