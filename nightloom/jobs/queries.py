@@ -37,7 +37,7 @@ def query(sql: str | None = None):
 
 def _round(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
     """Doubles rounded, with infinite and missing ones as null."""
-    return df.withColumns({n: F.when(stack.finite(F.col(n)), F.round(n, digits) + 0.0) for n in names})
+    return df.withColumns({n: F.when(stack.finite(F.col(n)), stack.rounded(F.col(n), digits)) for n in names})
 
 
 @query(f"SELECT y::INT AS y, x::INT AS x, round(quantile_cont(v, 0.05), 8) AS value, count(*) AS frame_count FROM ({_SAMPLES}) GROUP BY y, x")
@@ -501,8 +501,8 @@ _IN_IMAGES = f"""SELECT * FROM (
 @query(f"SELECT image_id, star_id, round(x, 6) AS x, round(y, 6) AS y, round(vmag, 6) AS vmag FROM ({_IN_IMAGES}) WHERE x > 1 AND x < 6 AND y > 2 AND y < 5")
 def stars_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogued stars in every image by its own wcs, less a trim of each side."""
-    found = stars.in_image_frames(tables.field_stars(spark, sf_dir), tables.sky_images(spark, sf_dir), _GRID, 1.0, 6.0, (1, 2, 2, 3), 1.0)
-    return _round(found, "x", "y", "vmag", digits=6)
+    shown = lambda found: _round(found, "x", "y", "vmag", digits=6)
+    return stars.in_image_frames(tables.field_stars(spark, sf_dir), tables.sky_images(spark, sf_dir), _GRID, 1.0, 6.0, (1, 2, 2, 3), 1.0, shown)
 
 
 @query(

@@ -629,6 +629,24 @@ def test_frames_are_spread_over_bins_without_an_aggregation(spark, capsys):
     assert "Aggregate" not in capsys.readouterr().out
 
 
+def test_rounded_equals_round(spark):
+    """Bit by bit, near ties too, of large values and of -0.0."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.uniform(-360, 360, 20000), rng.integers(-(10**9), 10**9, 20000) / 1e9, rng.integers(-(10**7), 10**7, 20000) / 1e7, rng.normal(0, 1e-8, 2000), rng.normal(0, 1e12, 2000), [0.0, -0.0, -1e-12, 2.5e-8, 5e-9, -5e-9, 1e300]])
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for digits in (6, 8):
+        same = F.xxhash64(stack.rounded(F.col("v"), digits)) == F.xxhash64(F.round("v", digits) + 0.0)
+        assert rows.filter(~same).count() == 0
+    assert [str(r[0]) for r in rows.filter("v = 0 OR v = -1e-12").select(stack.rounded(F.col("v"), 8)).collect()] == ["0.0"] * 3
+
+
+def test_stars_of_a_frame_are_rounded_once(spark, capsys):
+    """Above the join with the frames' images there is nothing but the choice of columns; a frame's stars go to many keys."""
+    QUERIES["stars_in_images"](spark, SF).explain()
+    above, below = capsys.readouterr().out.split("Join", 1)
+    assert "round(" not in above and "round(" in below and "deal" in above + below.split("\n")[0]
+
+
 def test_saved_tables_are_not_overwritten_unasked(spark, tmp_path):
     rows = spark.createDataFrame([(1, 2, 3.0)], "y int, x int, value double")
     sky.save(rows, f"{tmp_path}/map", {"scale": "1"})
