@@ -663,6 +663,27 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, limit, common,
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_ngram_join_cuts_all_texts_once(spark, monkeypatch, limit):
+    """Of any number of shared features: all texts are read for the sets, and once more where a set may have a similar one."""
+    plans, real = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().toString()), real(df, name))[1])
+    same, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"x{k}" for k in range(60))
+    rows = [(1, same), (2, same), (2, same), (None, same + " y"), (4, other), (5, None), (6, "w1 w2 w3 w4 w5 w6")]
+    got = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit)
+    assert Counter((r.doc_id, r.component_id) for r in got.collect()) == Counter({(1, 1): 1, (2, 1): 2, (None, 1): 1, (4, 4): 1, (5, 5): 1, (6, 6): 1})
+    assert [name for name, plan in plans.items() if "text#" in plan] == ["sets", "candidates"]
+
+
+def test_hits_are_features_of_other_sets(spark):
+    rng = np.random.default_rng(3)
+    sets = {k: np.unique(rng.integers(0, 400, 30)).astype(np.uint64) for k in range(-10, 10)}
+    sets[50] = np.array([2**64 - 1], np.uint64)
+    rows = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "key long, features binary").repartition(3)
+    want = {k: sum(any(f in w for j, w in sets.items() if j != k) for f in v) for k, v in sets.items()}
+    assert {r.key: r.hits for r in ngram_join._hits(rows).collect()} == {k: n for k, n in want.items() if n}
+
+
 def test_signatures_never_miss_a_similar_pair():
     rng = np.random.default_rng(8)
     for _ in range(200):
