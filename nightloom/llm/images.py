@@ -18,6 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, small
@@ -33,8 +34,10 @@ RADIUS = 14
 MIN_VOTES = 4
 #: Rounds against hubs before the rest of the buckets is compared.
 ROUNDS = 2
-#: Rows of a bucket that all meet each other; in larger buckets pairs of corners meet.
-LIGHT_ROWS = 16
+#: Rows of a bucket that all meet each other, at least, and how often they are doubled at most; in larger buckets pairs of corners meet.
+LIGHT_ROWS, LIGHT_DOUBLINGS = 16, 8
+#: Meetings of rows that cost as much as a pair of an image's rows.
+PAIR_COST = 16
 #: Parts of the larger buckets. MIN_VOTES - 1 corners in them leave two in one part.
 HALVES = MIN_VOTES - 2
 #: Rows of a key that are held at once against as many others.
@@ -236,8 +239,9 @@ def _live(shared: DataFrame, parts: DataFrame) -> DataFrame:
     written = None
     for rows in _some_tables(shared):
         placed = _placed(rows, parts)
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("bucket", "n")
-        live = placed.join(open_, "bucket")
+        bucket = W.partitionBy("bucket")
+        among = placed.withColumns({"a": F.min("component").over(bucket), "b": F.max("component").over(bucket), "n": F.count("component").over(bucket)})
+        live = among.filter("a <> b").drop("a", "b")
         if written is None:
             written = materialize(live, "live")
         else:
@@ -258,24 +262,37 @@ def _each_with_each(rows: DataFrame, key: str, near: Column) -> DataFrame:
     return one.alias("a").join(two.alias("b"), F.expr(f"a.{key} = b.{key} AND a.i = b.i AND a.j = b.j AND a.component <> b.component") & near)
 
 
-def _by_light_buckets(live: DataFrame) -> DataFrame:
-    """u, v with two distinct corners of u that match in buckets of at most LIGHT_ROWS rows, so a row meets a bounded number of others."""
+def _light_rows(live: DataFrame) -> int:
+    """Rows of a bucket that all meet each other: the least of LIGHT_ROWS, doubled so often, that costs least by the counts of what meets.
+
+    Buckets grow with the images; at one limit for all the pairs of an image's rows in larger ones would grow with the square of its rows in them, up to all it has.
+    """
+    levels = [LIGHT_ROWS * 2**k for k in range(LIGHT_DOUBLINGS + 1)]
+    own = live.groupBy("image_id").agg(*[f(level) for level in levels for f in (lambda n: F.count_if(F.col("n") > n).alias(f"h{n}"), lambda n: F.sum(F.when(F.col("n") <= n, F.col("n"))).alias(f"c{n}"))])
+    cost = [(F.sum(F.col(f"h{n}").cast("double") ** 2) / (2 * HALVES) + F.coalesce(F.sum(f"c{n}"), F.lit(0)) / PAIR_COST).alias(str(n)) for n in levels]
+    found = own.agg(*cost).first()
+    return min(levels, key=lambda n: (found[str(n)] or 0.0, n))
+
+
+def _by_light_buckets(live: DataFrame, most: int) -> DataFrame:
+    """u, v with two distinct corners of u that match in buckets of at most so many rows, so a row meets a bounded number of others."""
     parts = []
     for rows in _some_tables(live):
-        light = rows.filter(F.col("n") <= LIGHT_ROWS)
-        matches = _matched(light.alias("a").join(light.alias("b"), F.expr("a.bucket = b.bucket")))
-        parts.append(materialize(matches.select("u", "v", F.expr("place_u div 1024").alias("corner")).distinct(), "met"))
+        light = rows.filter(F.col("n") <= most)
+        matches = _matched(light.alias("a").join(light.alias("b"), F.expr("a.bucket = b.bucket AND a.image_id < b.image_id")))  # each pair once, for both its orders
+        parts.append(materialize(matches.select("u", "v", F.expr("place_u div 1024").alias("one"), F.expr("place_v div 1024").alias("two")), "met"))
         release(live.sparkSession, live)
-    corners = reduce(DataFrame.unionByName, parts).distinct().groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"))
-    found = materialize(corners.filter("n > 1").select("u", "v"), "candidates")
+    corners = reduce(DataFrame.unionByName, parts).groupBy("u", "v").agg((F.min("one") < F.max("one")).alias("one"), (F.min("two") < F.max("two")).alias("two")).filter("one OR two")
+    ordered = F.expr("explode(array_compact(array(if(one, struct(u, v), NULL), if(two, struct(v AS u, u AS v), NULL))))").alias("p")
+    found = materialize(corners.select(ordered).select("p.u", "p.v"), "candidates")
     discard(*parts)
     release(live.sparkSession, live)
     return found
 
 
-def _by_pairs_of_corners(live: DataFrame, part: int) -> DataFrame:
+def _by_pairs_of_corners(live: DataFrame, part: int, most: int) -> DataFrame:
     """u, v with two distinct corners of u that match in larger buckets of one of the HALVES and propose the same: what meets are pairs of an image's rows, by both their buckets."""
-    heavy = live.filter((F.col("n") > LIGHT_ROWS) & (F.pmod(F.xxhash64("bucket"), F.lit(HALVES)) == part))
+    heavy = live.filter((F.col("n") > most) & (F.pmod(F.xxhash64("bucket"), F.lit(HALVES)) == part))
     own = heavy.groupBy("image_id", "component").agg(F.collect_list(F.struct("bucket", "place")).alias("own"))
     # A row is a pair with itself as well, as corners of u may all match one corner of v.
     two = "flatten(transform(own, x -> transform(filter(own, y -> y.bucket >= x.bucket), y -> struct(xxhash64(x.bucket, y.bucket) AS key, x.place AS one, y.place AS two))))"
@@ -310,7 +327,8 @@ def _rest(live: DataFrame) -> DataFrame:
     Of the MIN_VOTES corners of a link two match in light buckets, or all but one in larger ones: then two of those in buckets of one of
     the HALVES. Images of which neither holds are not linked; all matches of the others are then voted on.
     """
-    parts = [_by_light_buckets(live), *(_by_pairs_of_corners(live, part) for part in range(HALVES))]
+    most = _light_rows(live)
+    parts = [_by_light_buckets(live, most), *(_by_pairs_of_corners(live, part, most) for part in range(HALVES))]
     candidates = materialize(reduce(DataFrame.unionByName, parts).distinct(), "candidates")
 
     def matches(rows: DataFrame) -> DataFrame:
@@ -330,15 +348,14 @@ def _placed(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def _with_hubs(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Matches of the rows of a bucket with its hub: in the first round the smallest image, later the smallest outside of the smallest component."""
+    """Matches of the rows of a bucket with its hub, one row: in the first round the smallest image's, later that of the smallest outside of the smallest component."""
     placed = _placed(shared, parts)
-    if parts is None:
-        hubs = placed.groupBy("bucket").agg(F.min("image_id").alias("hub"))
-    else:
-        least = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
-        hubs = placed.join(least, "bucket").filter("component <> a").groupBy("bucket").agg(F.min("image_id").alias("hub"))
-    with_hub = placed.join(hubs, "bucket")
-    return _matched(with_hub.alias("a").join(with_hub.filter("image_id = hub").alias("b"), F.expr("a.bucket = b.bucket")))
+    row, bucket = F.struct("image_id", "place", *[f"w{k}" for k in range(WORDS)], "component"), W.partitionBy("bucket")
+    if parts is not None:
+        placed = placed.withColumn("least", F.min("component").over(bucket))
+        row = F.when(F.col("component") != F.col("least"), row)
+    near = placed.withColumn("hub", F.min(row).over(bucket)).alias("a").filter(F.expr("a.component <> hub.component") & _near("a", "hub"))
+    return near.select(F.col("image_id").alias("u"), F.col("hub.image_id").alias("v"), F.col("place").alias("place_u"), F.col("hub.place").alias("place_v"))
 
 
 def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -352,9 +369,9 @@ def classes(described: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     lone = described.join(ids, "image_id", "left_semi").select("image_id", F.posexplode("places").alias("corner", "place"), "bits")
     lone = lone.select("image_id", "corner", "place", *[F.get("bits", F.col("corner") * WORDS + k).alias(f"w{k}") for k in range(WORDS)]).dropDuplicates(["image_id", "corner"])
     narrow = lone.select("image_id", "corner", F.explode(_buckets()).alias("bucket")).repartition("bucket")
-    # All columns are used here, so the shuffle is shared with the join below. An image has few rows of a bucket, so one holds a small part of all rows.
-    several = narrow.groupBy("bucket").agg(F.min("image_id").alias("a"), F.max("image_id").alias("b"), F.count("corner").alias("n")).filter("a <> b AND n > 1").select("bucket")
-    keys = materialize(narrow.join(several.hint("merge"), "bucket"), "keys")
+    bucket = W.partitionBy("bucket")  # an image has few rows of a bucket, so one holds a small part of all rows
+    among = narrow.withColumns({"a": F.min("image_id").over(bucket), "b": F.max("image_id").over(bucket)})
+    keys = materialize(among.filter("a <> b").drop("a", "b"), "keys")
     release(described.sparkSession, keys)
     # The bits come only to corners whose keys are shared.
     shared = materialize(keys.join(lone, ["image_id", "corner"]).drop("corner"), "corners")

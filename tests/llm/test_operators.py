@@ -326,6 +326,40 @@ def test_unlike_images_of_large_buckets_are_not_written_by_pairs(spark, monkeypa
     assert sum(written) <= 100, written
 
 
+def test_limit_of_light_buckets_follows_the_buckets(spark):
+    """Many rows of an image in middling buckets all meet; few in very large ones are left to pairs of corners; without rows it is the least."""
+    live = lambda sizes: spark.createDataFrame([(k, n) for k in range(50) for n in sizes], "image_id long, n long")
+    assert images._light_rows(live([40] * 30)) == 64
+    assert images._light_rows(live([40] * 30 + [5000] * 2)) == 64
+    assert images._light_rows(live([3, 5000, 5000])) == images.LIGHT_ROWS
+    assert images._light_rows(live([])) == images.LIGHT_ROWS
+
+
+def test_images_of_middling_buckets_are_not_held_by_pairs_of_corners(spark, monkeypatch):
+    """Two pairs of linked images, among others that share many buckets with them by accident: no pair of an image's rows is written."""
+    written, materialize = [], images.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        if name in ("pairs", "met"):
+            written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(images, "materialize", counted)
+    rng = np.random.default_rng(21)
+    word = lambda: int(rng.integers(0, 2**31))
+    spot = lambda x, y: (int(x) * 128 + int(y)) * 1024
+    rows = [(k, str(k), [spot(*rng.integers(0, 127, 2)) for _ in range(24)], [w for c in range(24) for w in (c << 32 | word(), *(word() << 32 | word() for _ in range(images.WORDS - 1)))]) for k in range(30)]
+    for one, two in ((3, 17), (22, 9)):
+        places = [spot(10 + 9 * c, 100 - 7 * c) for c in range(4)]
+        bits = [w for c in range(4) for w in (word() << 32 | word(), *(word() << 32 | word() for _ in range(images.WORDS - 1)))]
+        rows[one], rows[two] = ((k, str(k), rows[k][2] + places, rows[k][3] + bits) for k in (one, two))
+    found = {r.image_id: r.class_id for r in images.classes(spark.createDataFrame(rows, images._POINTS), rounds=0).collect()}
+    assert found == brute_classes(rows)
+    assert found[17] == 3 and found[22] == 9 and len(set(found.values())) == 28
+    assert sum(n for name, n in written if name == "pairs") == 0 and 8 <= sum(n for name, n in written if name == "met") <= 50, written
+
+
 def test_images_of_odd_tables(spark):
     grid = np.random.default_rng(4).normal(size=64).tolist()
     rows = [(1, grid), (2, grid), (2, grid), (3, None), (4, [1.0]), (5, [0.5] * 64), (6, [0.5] * 64), (7, [None] * 64), (None, grid)]
