@@ -36,8 +36,8 @@ MIN_VOTES = 4
 ROUNDS = 2
 #: Rows of a bucket that all meet each other, at least, and how often they are doubled at most; in larger buckets pairs of corners meet.
 LIGHT_ROWS, LIGHT_DOUBLINGS = 16, 8
-#: Meetings of rows that cost as much as a pair of an image's rows.
-PAIR_COST = 16
+#: Meetings of rows, counted for both orders, that cost as much as a pair of an image's rows; about as measured.
+PAIR_COST = 64
 #: Parts of the larger buckets. MIN_VOTES - 1 corners in them leave two in one part.
 HALVES = MIN_VOTES - 2
 #: Rows of a key that are held at once against as many others.
